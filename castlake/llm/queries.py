@@ -7,17 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import sharding, toxicity
 from .shared import read_table
 
 
+def held_out(modulus: int, remainder: int):
+    """Whether crc32 of doc_id, written as text, has this remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(~held_out(3, 1)))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"), "offending")
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read_table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_feistel_shards": op7_feistel_shards}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op7_feistel_shards": op7_feistel_shards,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

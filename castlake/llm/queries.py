@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import partenum, sharding, toxicity
+from . import ngram_lm, partenum, sharding, toxicity
 from .shared import read_table
 
 
@@ -26,6 +26,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"), "offending")
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = ngram_lm.score(docs, ngram_lm.fit(docs.where(~held_out(5, 1)).select("text")))
+    return out.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", ngram_lm.perplexity().alias("perplexity"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,7 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_ngram_lm": op2_ngram_lm,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op7_feistel_shards": op7_feistel_shards,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_lm, partenum, sharding, toxicity
+from . import bpe_stream, langid, ngram_lm, partenum, sharding, toxicity
 from .shared import read_table
 
 
@@ -41,12 +41,34 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.fit(docs.where(~held_out(5, 0)))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, language_model(docs)).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "shares")
+
+
+def vocabulary_path() -> str:
+    """The public tokenizer's file; workers have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.digests(read_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_ngram_lm": op2_ngram_lm,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op7_feistel_shards": op7_feistel_shards,
+        "op8_language_id": op8_language_id,
+        "op9_bpe_stream": op9_bpe_stream,
     }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, langid, ngram_lm, partenum, sharding, toxicity
+from . import bpe_stream, decontam, langid, ngram_lm, partenum, sharding, toxicity
 from .shared import read_table
 
 
@@ -61,6 +61,10 @@ def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_feistel_shards": op7_feistel_shards,
         "op8_language_id": op8_language_id,
         "op9_bpe_stream": op9_bpe_stream,
+        "op10_decontamination": op10_decontamination,
     }
 
 

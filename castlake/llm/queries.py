@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, decontam, langid, ngram_lm, partenum, sharding, toxicity
+from . import bpe_stream, decontam, langid, ngram_lm, partenum, quality, sharding, toxicity
 from .shared import read_table
 
 
@@ -36,6 +36,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read_table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_ngram_lm": op2_ngram_lm,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_quality_rules": op4_quality_rules,
         "op7_feistel_shards": op7_feistel_shards,
         "op8_language_id": op8_language_id,
         "op9_bpe_stream": op9_bpe_stream,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, decontam, langid, ngram_lm, partenum, quality, sharding, toxicity
+from . import bpe_stream, decontam, langid, licenses, ngram_lm, partenum, quality, sharding, toxicity, unigram_count
 from .shared import read_table
 
 
@@ -41,6 +41,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_count.token_counts(read_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read_table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,15 +63,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, language_model(docs)).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "shares")
 
 
-def vocabulary_path() -> str:
-    """The public tokenizer's file; workers have it at the same place."""
+def vocabulary_path(name: str) -> str:
+    """A public tokenizer's file; workers have it at the same place."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_stream.digests(read_table(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe_stream.digests(read_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_lm": op2_ngram_lm,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_quality_rules": op4_quality_rules,
+        "op5_licence_scan": op5_licence_scan,
+        "op6_token_counts": op6_token_counts,
         "op7_feistel_shards": op7_feistel_shards,
         "op8_language_id": op8_language_id,
         "op9_bpe_stream": op9_bpe_stream,

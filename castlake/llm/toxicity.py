@@ -161,3 +161,16 @@ def score(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(s), pa.array(where, schema.field(2).type)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, offending array<struct<start:long,end:long,p:double>>")
+
+
+def kept(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of docs, with all their columns, that score under limit."""
+    spark = ready(docs.sparkSession)
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [scored(held.value, data, offs, 2.0)[0] < limit for _, _, data, offs in blocks(batch["text"])]
+            yield batch.filter(pa.array(np.concatenate(low) if low else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

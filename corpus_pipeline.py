@@ -6,11 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from castlake.llm import bpe_stream, decontam, dedup, langid, queries, toxicity
 from castlake.llm.shared import read_table, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that have a language (texts without a letter have none)."""
+    found = langid.identify(docs, queries.language_model(docs), docs.columns)
+    return found.where(found.lang_pred != langid.UND).select(docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a score under 0.7."""
+    return toxicity.kept(docs, queries.toxicity_model(docs, spark, sf_dir), 0.7)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one of the least id, of each component."""
+    return dedup.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in which no benchmark item occurs."""
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digests of what is left: ids, and what they decode to."""
+    return bpe_stream.digests(docs, queries.vocabulary_path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("toxicity", toxic),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", decontamination),
+    ("bpe_stream", encoding),
+]
 
 #: Trained models and searches by signatures have no SQL form; tests/llm holds the result against a brute-force version.
 ORACLE_SQL = None

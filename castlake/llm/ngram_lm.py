@@ -38,7 +38,7 @@ from .words import U, blocks, hashes, mixed, spans, sums
 
 START, END = U(0x5EED57A127), U(0x5EED0E9D)
 FLUSH = 1 << 21
-RANGE = 3_000_000  # pairs of a range, on average at most
+RANGE = 2_000_000  # pairs of a range, on average at most
 COLUMNS = ("count", "kinds", "once", "twice", "more")
 
 
@@ -85,14 +85,29 @@ ROWS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("payload", pa.bina
 ROWS_DDL = "bucket int, n int, payload binary, stats array<long>"
 
 
-def _unpacked(payload: bytes, n: int, kinds: list[type]) -> list[np.ndarray]:
+def _unpacked(payload: bytes, sizes: tuple[int, ...], kinds: tuple[type, ...]) -> list[np.ndarray]:
     out, at = [], 0
-    for kind in kinds:
+    for n, kind in zip(sizes, kinds):
         out.append(np.frombuffer(payload, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return out
 
 
+def _pairs_packed(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs as numbers in a list of their distinct tokens, in the order of the contexts (equal ones compress)."""
+    kinds, number = np.unique(np.concatenate([context, word]), return_inverse=True)
+    order = np.argsort(number[: len(context)], kind="stable")
+    number = number.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
+    return np.array([len(kinds)], np.uint32).tobytes() + b"".join(x.tobytes() for x in (kinds, number[: len(context)][order], number[len(context) :][order], n[order].astype(np.uint32)))
+
+
+def _pairs_unpacked(payload: bytes, n: int) -> list[np.ndarray]:
+    many = int(np.frombuffer(payload, np.uint32, 1)[0])
+    kind = np.uint16 if many <= 1 << 16 else np.uint32
+    kinds, context, word, count = _unpacked(payload[4:], (many, n, n, n), (np.uint64, kind, kind, np.uint32))
+    return [kinds[context], kinds[word], count]
+
+
 def _count(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -102,8 +117,9 @@ def _count(ranges: int):
             held.clear()
             key, first, n = np.unique(pair_key(context, word), return_index=True, return_counts=True)
             context, word, n = context[first], word[first], n.astype(np.uint32)
-            order = np.lexsort((context, range_of(key, ranges)))  # equal contexts side by side compress
-            return pa.RecordBatch.from_pylist(_packed(key[order], ranges, [context[order], word[order], n[order]]), ROWS)
+            cuts = np.searchsorted(range_of(key, ranges), np.arange(ranges + 1, dtype=np.uint64)).tolist()
+            rows = [{"bucket": k, "n": b - a, "payload": _pairs_packed(context[a:b], word[a:b], n[a:b]), "stats": None} for k, a, b in zip(range(ranges), cuts, cuts[1:]) if b > a]
+            return pa.RecordBatch.from_pylist(rows, ROWS)
 
         for batch in batches:
             for _, _, data, offs in blocks(batch["text"]):
@@ -141,7 +157,7 @@ def _merge_pairs(folder: str, ranges: int):
         parts: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
             for bucket, n, payload in zip(*(batch[c].to_pylist() for c in ("bucket", "n", "payload"))):
-                parts.setdefault(bucket, []).append(_unpacked(payload, n, [np.uint64, np.uint64, np.uint32]))
+                parts.setdefault(bucket, []).append(_pairs_unpacked(payload, n))
         for bucket in list(parts):
             context, word, n = (np.concatenate(x) for x in zip(*parts.pop(bucket)))
             key = pair_key(context, word)
@@ -158,7 +174,7 @@ def _merge_pairs(folder: str, ranges: int):
             own = [n, zero, n == 1, n == 2, n >= 3]
             end = word == END
             token, share = _summed(np.concatenate([context, word]), [np.concatenate(x) for x in zip(own, [np.where(end, n, 0), one, zero, zero, zero])])
-            rows = _packed(token, ranges, [token, *(x.astype(np.uint32) for x in share)])
+            rows = _packed(token, ranges, [token, share[0].astype(np.uint64), *(x.astype(np.uint32) for x in share[1:])])
             rows.append({"bucket": bucket, "n": 0, "payload": None, "stats": [2, len(key), int(n.sum()), *_of_counts(n)]})
             yield pa.RecordBatch.from_pylist(rows, ROWS)
 
@@ -174,11 +190,11 @@ def _merge_tokens(folder: str, ranges: int):
                 if row["stats"]:
                     stats.append(row["stats"])
                 else:
-                    parts.setdefault(row["bucket"], []).append(_unpacked(row["payload"], row["n"], [np.uint64, *[np.uint32] * 5]))
+                    parts.setdefault(row["bucket"], []).append(_unpacked(row["payload"], (row["n"],) * 6, (np.uint64, np.uint64, *[np.uint32] * 4)))
         for bucket in list(parts):
             token, *share = (np.concatenate(x) for x in zip(*parts.pop(bucket)))
             token, share = _summed(token, share)
-            _store(f"{folder}/tokens-{bucket}", key=token, **dict(zip(COLUMNS, share)))
+            _store(f"{folder}/tokens-{bucket}", key=token, **{c: x.astype(np.min_scalar_type(int(x.max()))) for c, x in zip(COLUMNS, share)})
             kinds = share[1][token != START]
             stats.append([1, len(kinds), int(kinds.sum()), *_of_counts(kinds)])
         yield pa.RecordBatch.from_pylist([dict(zip(("level", "kinds", "total", "n1", "n2", "n3", "n4"), x)) for x in stats], pa.schema([(c, pa.int64()) for c in ("level", "kinds", "total", "n1", "n2", "n3", "n4")]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, decontam, langid, licenses, ngram_lm, partenum, quality, sharding, toxicity, unigram_count
+from . import bpe_stream, decontam, langid, licenses, ngram_lm, oracles, partenum, quality, sharding, toxicity, unigram_count
 from .shared import read_table
 
 
@@ -94,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_jaccard": oracles.JACCARD, "op4_quality_rules": oracles.QUALITY}

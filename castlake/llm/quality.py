@@ -112,15 +112,14 @@ def binomial_cdf(x: Column, n: Column, p: float) -> Column:
 
 def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum and a column for each signal: the certified cutoff that is used, null where there is none."""
-    known = features.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").where(~base_failed())
-    sizes = known.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n"), F.count("*").alias("all"))
+    known = stored(features.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").where(~base_failed()), "labelled")
+    sizes = known.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n"))
     shares = F.array(*(F.struct(F.lit(name).alias("signal"), signal(e).alias("value")) for name, e in SIGNALS.items()))
     grid = F.array(*map(F.lit, GRID))
     over = known.select("stratum", "quality", F.explode(shares).alias("s")).select("stratum", "quality", "s.signal", F.explode(F.filter(grid, lambda c: F.col("s.value") > c)).alias("cutoff"))
     rejected = over.groupBy("stratum", "signal", "cutoff").agg(F.count_if(F.col("quality") == 1).alias("x"), F.count_if(F.col("quality") == 0).alias("bad"))
-    tests = F.col("strata") * len(SIGNALS) * len(GRID)
-    strata = sizes.agg(F.count("*").alias("strata"))
-    judged = rejected.join(sizes, "stratum").join(strata).where(binomial_cdf(F.col("x"), F.col("n"), alpha / len(SIGNALS)) <= F.lit(delta) / tests)
+    tests = max(1, sizes.count()) * len(SIGNALS) * len(GRID)
+    judged = rejected.join(sizes, "stratum").where(binomial_cdf(F.col("x"), F.col("n"), alpha / len(SIGNALS)) <= delta / tests)
     best = judged.groupBy("stratum", "signal").agg(F.max(F.struct("bad", "cutoff")).alias("b")).where("b.bad > 0")
     return best.groupBy("stratum").agg(*(F.max(F.when(F.col("signal") == name, F.col("b.cutoff"))).alias(f"cut_{name}") for name in SIGNALS))
 

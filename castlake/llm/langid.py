@@ -205,6 +205,7 @@ def label_positions(model: Model, text: str) -> list[str]:
 def fit(docs: DataFrame, per_lang: int = 400, per_lang_segments: int = 6000) -> Model:
     """Trains from text and lang of docs; at most per_lang rows of each language reach the driver."""
     salted = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # the limit on row numbers is applied in each task before the shuffle, and a frequent language is dealt over 64 groups
     first = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
     then = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = salted.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang).withColumn("k", F.row_number().over(then)).where(F.col("k") <= per_lang).select("doc_id", "lang").distinct()
@@ -230,28 +231,44 @@ def fit(docs: DataFrame, per_lang: int = 400, per_lang_segments: int = 6000) ->
     return trained(x[keep], y[keep], langs)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns of keep, lang_pred, score and shares (letters' bytes with each label) for every row of docs."""
+def _labelled(m: Model, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, list[dict[str, int]]]:
+    """Language, score and labels' shares of a block's rows."""
+    n = len(offs) - 1
+    lang, score, shares = [UND] * n, np.zeros(n), [{} for _ in range(n)]
+    if not m.langs:
+        return lang, score, shares
+    p, labels = pooled(m, data, offs)
+    best = p.argmax(1)
+    in_ascii = np.add.reduceat(np.append(LETTER[data] & (data < 128), False).astype(np.int64), offs[:-1]) * (np.diff(offs) > 0)
+    for k in range(n):
+        if in_ascii[k] or any(c.isalpha() for c in data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace")):
+            lang[k], score[k] = m.langs[best[k]], min(1.0, p[k, best[k]])
+            shares[k] = {x: int(v) for x, v in zip(m.langs, labels[k]) if v}
+    return lang, score, shares
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score and shares (letters' bytes with each label) of every row of docs."""
     spark = ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
-    picked = docs.select(*(keep or [F.col("doc_id").cast("long").alias("doc_id")]), *([] if keep and "text" in keep else ["text"]))
-    carried = keep or ["doc_id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         for batch in batches:
             for i, j, data, offs in blocks(batch["text"], 1 << 21):
-                part = batch.slice(i, j - i)
-                lang, score, shares = [UND] * (j - i), np.zeros(j - i), [{} for _ in range(j - i)]
-                if m.langs:
-                    p, labels = pooled(m, data, offs)
-                    best = p.argmax(1)
-                    ascii_letter = np.add.reduceat(np.append(LETTER[data] & (data < 128), False).astype(np.int64), offs[:-1]) * (np.diff(offs) > 0)
-                    for k in range(j - i):
-                        if ascii_letter[k] or any(c.isalpha() for c in part["text"][k].as_py() or ""):
-                            lang[k], score[k] = m.langs[best[k]], min(1.0, p[k, best[k]])
-                            shares[k] = {x: int(v) for x, v in zip(m.langs, labels[k]) if v}
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in carried), pa.array(lang), pa.array(score), pa.array([list(x.items()) for x in shares], pa.map_(pa.string(), pa.int64()))], names=[*carried, "lang_pred", "score", "shares"])
-
-    return picked.mapInArrow(run, f"{schema}, lang_pred string, score double, shares map<string,long>")
+                lang, score, shares = _labelled(held.value, data, offs)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(lang, pa.string()), pa.array(score), pa.array([list(x.items()) for x in shares], pa.map_(pa.string(), pa.int64()))], names=["doc_id", "lang_pred", "score", "shares"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, shares map<string,long>")
+
+
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that have a language."""
+    spark = ready(docs.sparkSession)
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = [x for _, _, data, offs in blocks(batch["text"], 1 << 21) for x in _labelled(held.value, data, offs)[0]]
+            yield batch.filter(pa.array([x != UND for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

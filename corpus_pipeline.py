@@ -14,8 +14,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language (texts without a letter have none)."""
-    found = langid.identify(docs, queries.language_model(docs), docs.columns)
-    return found.where(found.lang_pred != langid.UND).select(docs.columns)
+    return langid.kept(docs, queries.language_model(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

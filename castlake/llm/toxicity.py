@@ -5,8 +5,8 @@ its words' features: the word and its first four and five bytes, A-Z lower-cased
 1 - prod(1 - p_sentence), so that one bad sentence makes a document toxic however long the rest is; only document labels
 are needed for the training, and the sentence probabilities then say where the trouble is.
 
-The training takes at most max_rows labelled documents of each class (a documented bound of the sample; in the order of
-a hash of doc_id, so the same rows each time). Features are kept when they occur more often in toxic documents of the
+The training takes at most max_rows labelled documents of each class, of at most max_bytes each (the documented bounds
+of the sample; in the order of a hash of doc_id, so the same rows each time). Features are kept when they occur more often in toxic documents of the
 sample than in others and the likelihood ratio of that difference is at least min_ratio; their weights start at their
 log odds. Scoring covers every text, whole.
 
@@ -68,31 +68,37 @@ def _xlog(x: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def trained(texts: pa.Array, labels: np.ndarray, min_ratio: float = 15.0, rounds: int = 300, rate: float = 0.3, decay: float = 1e-3) -> Model:
     """Maximum likelihood of the noisy-or bags by AdaGrad over the sample."""
+    size = 1 << BITS
+    weights, bias = np.zeros(size), -5.0
+    y = labels.astype(float)
+    # documents of each class that hold each feature; then the pairs of the features that are kept, block by block
+    counts = np.zeros((2, size), np.int64)
+    for i, _, data, offs in blocks(texts):
+        _, _, sentence, rows, cols = features(data, offs)
+        row = rows[sentence] if len(rows) else sentence
+        held = np.unique(np.concatenate([row[c >= 0] << BITS | c[c >= 0] for c in cols]))
+        toxic = y[(held >> BITS) + i] > 0
+        for k, x in enumerate((toxic, ~toxic)):
+            counts[k] += np.bincount(held[x] & (size - 1), minlength=size)
+    a, b = counts
+    m, n = max(y.sum(), 1), max((1 - y).sum(), 1)
+    part = (a + b) / (m + n)
+    ratio = 2 * (_xlog(a, a / m, part) + _xlog(m - a, 1 - a / m, 1 - part) + _xlog(b, b / n, part) + _xlog(n - b, 1 - b / n, 1 - part))
+    keep = np.append((a / m > b / n) & (ratio >= min_ratio), False)
     sent_doc, feat_sent, feat = [], [], []
     n_sent = 0
     for i, _, data, offs in blocks(texts):
         _, _, sentence, rows, cols = features(data, offs)
         sent_doc.append(rows + i)
         for c in cols:
-            own = c >= 0
+            own = np.flatnonzero(keep[c])
             pair = np.unique((sentence[own] + n_sent) << BITS | c[own])
             feat_sent.append(pair >> BITS)
-            feat.append(pair & ((1 << BITS) - 1))
+            feat.append(pair & (size - 1))
         n_sent += len(rows)
-    size = 1 << BITS
-    weights, bias = np.zeros(size), -5.0
     if not n_sent:
         return Model(weights.astype(np.float32), bias)
     sent_doc, feat_sent, feat = map(np.concatenate, (sent_doc, feat_sent, feat))
-    y = labels.astype(float)
-    held = np.unique(sent_doc[feat_sent] << BITS | feat)
-    toxic = y[held >> BITS] > 0
-    a, b = (np.bincount(held[x] & (size - 1), minlength=size) for x in (toxic, ~toxic))
-    m, n = max(y.sum(), 1), max((1 - y).sum(), 1)
-    part = (a + b) / (m + n)
-    ratio = 2 * (_xlog(a, a / m, part) + _xlog(m - a, 1 - a / m, 1 - part) + _xlog(b, b / n, part) + _xlog(n - b, 1 - b / n, 1 - part))
-    keep = ((a / m > b / n) & (ratio >= min_ratio))[feat]
-    feat_sent, feat = feat_sent[keep], feat[keep]
     seen, back = np.unique(feat, return_inverse=True)
     w = np.log((a + 0.5) / (m + 1))[seen] - np.log((b + 0.5) / (n + 1))[seen]
     past, past_bias = np.full(len(seen), 1e-6), 1e-6
@@ -138,12 +144,13 @@ def scored(model: Model, data: np.ndarray, offs: np.ndarray, offending: float) -
     return -np.expm1(none), where
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
-    """Trains on at most max_rows toxic and max_rows other documents of docs joined with labels (doc_id, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 100_000) -> Model:
+    """Trains on at most max_rows toxic and max_rows other documents of docs joined with labels (doc_id, toxic); texts of
+    more than max_bytes are left out of the sample."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(max_rows).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(max_rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow()
+    sample = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow()
     sample = sample.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")]) if len(sample) else sample
     return trained(sample["text"].combine_chunks(), sample["toxic"].to_numpy())
 

@@ -10,8 +10,9 @@ the fewest elements) and keeps k + 1: the first of the agreeing signatures in th
 with p <= k signs its empty parts, too. So no linked pair is without a common signature, whatever the order.
 
 Equal sets are one class from the start. Classes that share a signature are candidates: each group is first joined as a
-star to its least class and verified exactly; only groups that then still hold several components are taken as pairs of
-blocks of members, and verified the same. Signatures that many sets share are dealt over all tasks, never gathered.
+star to its hub (the member of most groups) and verified exactly. In groups that then still hold several components the
+members of different components are compared within a task, in large groups block by block, by outlines that bound their difference from below, and what is
+left is verified the same. Signatures that many sets share are dealt over all tasks, never gathered.
 
 Defined results: texts that are null, empty or without words have an empty set, link with nothing and are their own
 component; a text of one to four words has its whole sequence as its only element; equal doc_ids are taken as they come
@@ -33,12 +34,15 @@ from .shared import ready, stored
 from .words import U, blocks, grams, hashes, mixed, one_hash, spans, sums
 
 SHINGLE = 5
-PARTS = 0.8  # parts of a band's domain, times its least size
-HEAVY = 1 << 16  # commonest signatures that are known by name; the order needs no more to be exact
-LOCAL_HEAVY = 6  # sets of a task's share from which a signature is reported as common
+PERCENT = 75
+PARTS = 2  # parts of a band's domain, times its least size: most elements are alone, so passages that many sets share
+# make up few of the signatures that are kept
+FOLD = 2  # parts to a byte of a set's outline
+HEAVY = 1 << 18  # commonest signatures that are known by name; the order needs no more to be exact
+LOCAL_HEAVY = 3  # sets of a task's share from which a signature is reported as common
 SPLIT = 256  # sets from which a signature's group is dealt over all tasks
 FLUSH = 1 << 21
-BLOCK = 64
+BLOCK = 1024  # members of a block of an unsettled group
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -62,51 +66,66 @@ def class_of(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([int(mixed(mixed(s).sum(keepdims=True) + U(len(s)))[0]) if len(s) else 0 for s in sets], np.uint64)
 
 
-def signatures(sets: list[np.ndarray], heavy: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """(set's number, signature) of the sets' parts: all non-empty ones if heavy is None, else those that are kept.
-    heavy: common signatures, sorted, and the number of sets of each."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    full = np.flatnonzero(sizes)
-    if not len(full):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    own = np.frexp(sizes[full].astype(float))[1] - 1
-    next_too = 4 * sizes[full] // 3 >= np.left_shift(2, own)
-    number = np.concatenate([full, full[next_too]])
-    band = np.concatenate([own, own[next_too] + 1])
-    n = sizes[number]
-    parts = np.ceil(PARTS * np.left_shift(1, band)).astype(np.int64)
-    differ = (n + np.minimum(4 * n // 3, np.left_shift(2, band) - 1)) // 7
-    elements = np.concatenate([sets[i] for i in number])
-    unit = np.repeat(np.arange(len(number)), n)
-    seed = mixed(band.astype(np.uint64) + U(0x1234567))
-    base = np.concatenate([[0], np.cumsum(parts)])
-    spread = mixed(elements ^ seed[unit])
-    place = base[unit] + (spread % parts[unit].astype(np.uint64)).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    place, unit = place[order], unit[order]
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    count = np.diff(np.append(first, len(place)))
-    unit, place = unit[first], place[first]
-    content = np.add.reduceat(mixed(spread[order] + U(0xABCDEF)), first)
-    sig = mixed(content ^ mixed(seed[unit] + (place - base[unit]).astype(np.uint64)))
-    if heavy is None:
-        return number[unit], sig
-    common = np.zeros(len(sig), np.int64)
+class Parts:
+    """The parts of some sets: unit u signs for set number[u] in a band, and has base[u + 1] - base[u] parts. Of each
+    non-empty part: its unit, its place (base included), the count of its elements and its signature."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        full = np.flatnonzero(sizes)
+        own = np.frexp(sizes[full].astype(float))[1] - 1
+        next_too = 4 * sizes[full] // 3 >= np.left_shift(2, own)
+        self.own = len(full)
+        self.number = np.concatenate([full, full[next_too]])
+        band = np.concatenate([own, own[next_too] + 1])
+        n = sizes[self.number]
+        parts = PARTS * np.left_shift(1, band).astype(np.int64)
+        self.differ = (n + np.minimum(4 * n // 3, np.left_shift(2, band) - 1)) // 7
+        self.base = base = np.concatenate([[0], np.cumsum(parts)])
+        self.seed = seed = mixed(band.astype(np.uint64) + U(0x1234567))
+        elements = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in self.number)])
+        unit = np.repeat(np.arange(len(self.number)), n)
+        spread = mixed(elements ^ seed[unit])
+        place = base[unit] + (spread % parts[unit].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place, unit = place[order], unit[order]
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        self.count = np.diff(np.append(first, len(place)))
+        self.unit, self.place = unit[first], place[first]
+        content = np.add.reduceat(mixed(spread[order] + U(0xABCDEF)), first) if len(first) else np.zeros(0, np.uint64)
+        self.sig = mixed(content ^ mixed(seed[self.unit] + (self.place - base[self.unit]).astype(np.uint64)))
+
+    def bytes_of(self, rows: int) -> tuple[list[bytes | None], list[bytes | None]]:
+        """An outline of each set, for its own band and for the next one: a byte for each FOLD parts. Where two outlines
+        differ the parts have different elements, so the number of differing bytes bounds that of elements from below."""
+        base = self.base // FOLD
+        flat = np.bincount(self.place // FOLD, (self.sig & U(255)).astype(float), base[-1]).astype(np.int64).astype(np.uint8)
+        own: list[bytes | None] = [None] * rows
+        after: list[bytes | None] = [None] * rows
+        for u, i in enumerate(self.number.tolist()):
+            (own if u < self.own else after)[i] = flat[base[u] : base[u + 1]].tobytes()
+        return own, after
+
+
+def signatures(sets: list[np.ndarray], heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(set's number, signature) of the signatures that are kept. heavy: common ones, sorted, and their numbers of sets."""
+    p = Parts(sets)
+    common = np.zeros(len(p.sig), np.int64)
     if len(heavy[0]):
-        i = np.minimum(np.searchsorted(heavy[0], sig), len(heavy[0]) - 1)
-        hit = heavy[0][i] == sig
+        i = np.minimum(np.searchsorted(heavy[0], p.sig), len(heavy[0]) - 1)
+        hit = heavy[0][i] == p.sig
         common[hit] = np.frexp(heavy[1][i[hit]].astype(float))[1]
-    key = unit.astype(np.uint64) << U(40) | np.minimum(common, 63).astype(np.uint64) << U(34) | (15 - np.minimum(count, 15)).astype(np.uint64) << U(30) | sig >> U(34)
+    key = p.unit.astype(np.uint64) << U(40) | np.minimum(common, 63).astype(np.uint64) << U(34) | (15 - np.minimum(p.count, 15)).astype(np.uint64) << U(30) | p.sig >> U(34)
     order = np.argsort(key, kind="stable")
-    unit, sig = unit[order], sig[order]
-    have = np.bincount(unit, minlength=len(number))
+    unit, sig = p.unit[order], p.sig[order]
+    have = np.bincount(unit, minlength=len(p.number))
     rank = np.arange(len(unit)) - np.concatenate([[0], np.cumsum(have)])[unit]
-    keep = rank <= differ[unit]
-    out_number, out_sig = [number[unit[keep]]], [sig[keep]]
-    for u in np.flatnonzero(have <= differ):  # all its parts are kept; the empty ones sign, too
-        empty = np.setdiff1d(np.arange(parts[u]), place[order][unit == u] - base[u])
-        out_number.append(np.full(len(empty), number[u]))
-        out_sig.append(mixed(mixed(seed[u : u + 1] + empty.astype(np.uint64)) ^ U(0x77)))
+    keep = rank <= p.differ[unit]
+    out_number, out_sig = [p.number[unit[keep]]], [sig[keep]]
+    for u in np.flatnonzero(have <= p.differ):  # all its parts are kept; the empty ones sign, too
+        empty = np.setdiff1d(np.arange(p.base[u + 1] - p.base[u]), p.place[p.unit == u] - p.base[u])
+        out_number.append(np.full(len(empty), p.number[u]))
+        out_sig.append(mixed(mixed(p.seed[u : u + 1] + empty.astype(np.uint64)) ^ U(0x77)))
     return np.concatenate(out_number), np.concatenate(out_sig)
 
 
@@ -114,8 +133,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("own", pa.binary()), ("after", pa.binary()), ("sig", pa.int64()), ("hits", pa.int64())])
+SCAN_DDL = "doc_id long, n long, cls long, own binary, after binary, sig long, hits long"
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's size and class; common signatures of the task's distinct sets."""
+    """Each text's size, class and bytes of its parts; common signatures of the task's distinct sets."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
 
@@ -123,22 +146,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
         held.clear()
         sig, n = sig[n >= LOCAL_HEAVY], n[n >= LOCAL_HEAVY]
-        none = pa.nulls(len(sig), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, _signed(sig), pa.array(n.astype(np.int64))], names=["doc_id", "n", "cls", "sig", "hits"])
+        none = [pa.nulls(len(sig), f.type) for f in SCAN][:5]
+        return pa.RecordBatch.from_arrays([*none, _signed(sig), pa.array(n.astype(np.int64))], schema=SCAN)
 
     for batch in batches:
         for i, j, data, offs in blocks(batch["text"]):
             sets = shingle_sets(data, offs)
             cls = class_of(sets)
+            parts = Parts(sets)
+            own, after = parts.bytes_of(j - i)
             none = pa.nulls(j - i, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), _signed(cls), none, none], names=["doc_id", "n", "cls", "sig", "hits"])
-            fresh = []
-            for c, s in zip(cls.tolist(), sets):
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), _signed(cls), pa.array(own, pa.binary()), pa.array(after, pa.binary()), none, none], schema=SCAN)
+            fresh = np.zeros(j - i, bool)
+            for k, c in enumerate(cls.tolist()):
                 if c not in seen:
                     seen.add(c)
-                    fresh.append(s)
-            if fresh:
-                held.append(signatures(fresh, None)[1])
+                    fresh[k] = True
+            held.append(parts.sig[fresh[parts.number[parts.unit]]])
             if sum(map(len, held)) > FLUSH:
                 yield heavy()
     yield heavy()
@@ -241,6 +265,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(class_of(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "set"])
 
 
+def _alike(percent: int):
+    """Leaves out pairs whose sizes, or the bytes of whose parts, show that they differ in too many elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, own_a, after_a, own_b, after_b in zip(*(batch[c].to_pylist() for c in ("n_a", "n_b", "own_a", "after_a", "own_b", "after_b"))):
+                x, y = (own_a, own_b) if m.bit_length() == n.bit_length() else (after_a, own_b) if m < n else (own_a, after_b)
+                if 100 * min(m, n) < percent * max(m, n) or x is None or y is None or len(x) != len(y):
+                    keep.append(False)
+                else:
+                    most = (m + n) * (100 - percent) // (100 + percent)
+                    keep.append(np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)) <= most)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,10 +298,66 @@ def _verified(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("set").alias(f"set_{x}"))
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.count_nonzero(x != y, axis=1)
+
+
+def _unsettled(percent: int):
+    """Pairs of members, of different components, of two blocks of a group that sizes and outlines do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros((0, 2), np.int64)]
+            for row in batch.to_pylist():
+                m = row["a"] + (row["b"] if row["i"] != row["j"] else [])
+                cls, comp, n = (np.array([x[c] for x in m], np.int64) for c in ("cls", "comp", "n"))
+                kinds, count = np.unique(comp, return_counts=True)
+                band = np.frexp(n.astype(float))[1] - 1
+                by = {t: np.flatnonzero(band == t) for t in np.unique(band).tolist()}
+                own = {t: np.stack([np.frombuffer(m[k]["own"], np.uint8) for k in v]) for t, v in by.items()}
+                for k in np.flatnonzero(comp != kinds[count.argmax()]).tolist():  # pairs within the largest component are settled
+                    t = int(band[k])
+                    for other in (t - 1, t, t + 1):
+                        if other not in by:
+                            continue
+                        v = by[other]
+                        near = (comp[v] != comp[k]) & (100 * np.minimum(n[v], n[k]) >= percent * np.maximum(n[v], n[k]))
+                        if other > t:
+                            near &= m[k]["after"] is not None
+                        if other < t:
+                            near &= np.array([m[x]["after"] is not None for x in v])
+                        at = np.flatnonzero(near)
+                        if not len(at):
+                            continue
+                        if other < t:
+                            apart = _differ(np.stack([np.frombuffer(m[x]["after"], np.uint8) for x in v[at]]), np.frombuffer(m[k]["own"], np.uint8))
+                        else:
+                            apart = _differ(own[other][at], np.frombuffer(m[k]["own" if other == t else "after"], np.uint8))
+                        found = v[at][apart <= (n[v[at]] + n[k]) * (100 - percent) // (100 + percent)]
+                        out.append(np.sort(np.stack([cls[found], np.full(len(found), cls[k])], 1), axis=1))
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of classes that link. Bytes of parts rule most others out; sets are made for what is left."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long")
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("own").alias(f"own_{x}"), F.col("after").alias(f"after_{x}"))
+    both = both.join(side("a"), "a").join(side("b"), "b")
+    left = stored(both.mapInArrow(_alike(percent), "a long, b long"), "alike")
+    chosen = stored(classes.join(_ends(left), "cls").select("doc_id").distinct(), "chosen")
+    few = chosen.count() <= 500_000  # 8 bytes each; beyond that both sides are shuffled
+    texts = docs.join(F.broadcast(chosen) if few else chosen, "doc_id", "left_semi")
+    sets = stored(texts.mapInArrow(_sets, "cls long, n long, set binary").dropDuplicates(["cls"]), "sets")
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("set").alias(f"set_{x}"))
+    return stored(left.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long"), "linked")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,7 +365,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = ready(docs.sparkSession)
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(docs.mapInArrow(_scan, "doc_id long, n long, cls long, sig long, hits long"), "classes")
+    found = stored(docs.mapInArrow(_scan, SCAN_DDL), "classes")
     rows = found.where("sig is null").select("doc_id", "n", "cls")
     # at most HEAVY rows come to the driver, whatever the input
     heavy = found.where("sig is not null").groupBy("sig").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "sig").limit(HEAVY).toArrow()
@@ -278,28 +377,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     packed = docs.mapInArrow(_signer(known, 4 * parts), "bucket int, hot boolean, n int, payload binary")
     groups = stored(packed.repartition(parts, "bucket").mapInArrow(_groups, "gid long, a long, b long"), "groups")
     members = groups.where("gid is not null").select("gid", F.col("a").alias("cls")).distinct()
-    pivots = members.groupBy("gid").agg(F.min("cls").alias("a"), F.count("*").alias("g"))
-    stars = members.join(pivots, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
+    # the hub of a group is the member of most groups: an original shares more with each copy than two copies do
+    weights = members.groupBy("cls").agg(F.count("*").alias("w"))
+    hubs = members.join(weights, "cls").groupBy("gid").agg(F.max(F.struct("w", "cls")).alias("hub")).select("gid", F.col("hub.cls").alias("a"))
+    stars = members.join(hubs, "gid").where("cls <> a").select("a", F.col("cls").alias("b"))
     pairs = stored(groups.where("gid is null").select("a", "b").unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
-    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    chosen = stored(rows.where("n > 0").join(named, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "chosen")
-    few = chosen.count() <= 500_000  # 8 bytes each; beyond that both sides are shuffled
-    texts = docs.join(F.broadcast(chosen) if few else chosen, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets, "cls long, n long, set binary").dropDuplicates(["cls"]), "sets")
-
-    links = stored(_verify(pairs, sets), "linked")
+    met = members.select("cls").unionByName(_ends(pairs)).distinct()
+    classes = stored(found.where("n > 0").join(met, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("after").alias("after")), "candidates")
+    links = _verify(pairs, classes, docs)
     comp = stored(components(links), "components")
-    # groups that hold several components yet: all pairs of their blocks, but those that are known or too unlike in size
+    # groups that hold several components yet: each two blocks of their members meet once, in a task of their own
     placed = members.join(comp, members.cls == comp.v, "left").select("gid", "cls", F.coalesce("comp", "cls").alias("comp"))
-    rest = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g")).where("lo <> hi").select("gid", F.ceil(F.col("g") / BLOCK).alias("k"))
-    open_ = stored(placed.join(rest, "gid").join(sets.select("cls", "n"), "cls").withColumn("at", F.pmod(F.xxhash64("cls", "gid"), F.col("k"))), "open")
-    if not open_.isEmpty():
-        left = open_.select("gid", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("k") - 1)).alias("j"))
-        right = open_.select("gid", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("at").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("at"))).alias("i"))
-        more = left.join(right, ["gid", "i", "j"]).where("(i < j or a < b) and comp_a <> comp_b and 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-        more = stored(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.unionByName(_verify(more, sets)), "linked")
+    rest = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g")).where("lo <> hi").select("gid", "g")
+    member = F.struct("cls", "comp", "n", "own", "after")
+    open_ = stored(placed.join(rest, "gid"), "unsettled").join(classes.drop("doc_id"), "cls")
+    single = open_.where(F.col("g") <= BLOCK).groupBy("gid").agg(F.collect_list(member).alias("a")).select(F.lit(0).alias("i"), F.lit(0).alias("j"), "a", F.slice("a", 1, 0).alias("b"))
+    large = open_.where(F.col("g") > BLOCK).withColumn("at", F.pmod(F.xxhash64("cls", "gid"), F.ceil(F.col("g") / BLOCK)).cast("int"))
+    packed = stored(large.groupBy("gid", "at").agg(F.collect_list(member).alias("m")), "blocks")
+    both = packed.select("gid", F.col("at").alias("i"), F.col("m").alias("a")).join(packed.select("gid", F.col("at").alias("j"), F.col("m").alias("b")), "gid").where("i <= j").select("i", "j", "a", "b").unionByName(single)
+    more = both.mapInArrow(_unsettled(PERCENT), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = stored(more, "pairs")
+    if not more.isEmpty():
+        links = links.unionByName(_verify(more, classes, docs))
         comp = stored(components(links), "components")
     in_class = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(comp, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "least")
     least = in_class.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -1,6 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts and benchmark items are reduced to lower-case letters, digits and single spaces. An item of m bytes may occur in a
+Texts and benchmark items are reduced to lower-case letters (with their marks), digits and single spaces, in every
+script: composed (NFC), case-folded and composed again, so that accented, Greek or Cyrillic capitals cost no edits; the
+Turkish i's are taken as one letter, as capitals do not tell them apart. Punctuation, symbols and white space of any
+script are spaces, signs without a shape of their own (soft hyphens, joiners, variation selectors) are left out. An item of m bytes may occur in a
 document with at most e = rate * m edits. Then at least T = m + 1 - q (e + 1) of its q-grams survive (the q-gram lemma),
 and the alignment moves over e + 1 diagonals at most. Shared q-grams are counted in bands of 2 (e + 1) diagonals, each
 overlapping the next by half, so that every such alignment lies within a band; bands with T shared q-grams or more are
@@ -18,6 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from unicodedata import category, combining, decomposition, is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ready
-from .words import ALNUM, LOWER, U, blocks, hashes, sums
+from .words import U, blocks, hashes, sums
 
 Q = 10
 RATE = 0.07
@@ -34,17 +39,132 @@ TABLE_BITS = 22
 BESIDE = 1  # a byte that no reduced text has
 
 
-def reduced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block with one space for each run of other signs (none at the begin of a row), its offs, and each byte's place
-    in the block as it was."""
-    own = ALNUM[data]
-    before = np.zeros(len(data), bool)
+OTHER, NOTHING, OWN = 0, 1, 2  # a space, left out, a sign of its own
+TABLED = 0x20000  # the signs beyond are ideographs, or selectors and tags, or not assigned
+DOT, SMALL_I = 0x307, 0x69
+
+
+@cache
+def _signs() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """Of each sign below TABLED: its kind, whether it may join the sign before it, its fold; and folds of several signs."""
+    kind, joins, fold, more = np.full(TABLED, OWN, np.uint8), np.zeros(TABLED, bool), np.arange(TABLED, dtype=np.int64), {}
+    for k in range(TABLED):
+        c = chr(k)
+        if 0xD800 <= k < 0xE000:
+            continue
+        what = category(c)
+        if what == "Cf" or 0xFE00 <= k < 0xFE10:
+            kind[k] = NOTHING
+        elif what[0] in "PSZ" or what == "Cc":
+            kind[k] = OTHER
+        joins[k] |= combining(c) > 0
+        parts = decomposition(c).split()
+        if len(parts) == 2 and parts[0][0] != "<" and int(parts[1], 16) < TABLED:
+            joins[int(parts[1], 16)] = True
+        to = "i" if c in "\u0130\u0131" else normalize("NFC", c.casefold())
+        fold[k] = ord(to[0])
+        if len(to) > 1:
+            more[k] = [ord(x) for x in to]
+    joins[0x1161:0x1176] = joins[0x11A8:0x11C3] = True  # vowels and ends of Hangul syllables
+    return kind, joins, fold, more
+
+
+def _low(sign: np.ndarray) -> np.ndarray:
+    """Places in the tables; the signs beyond them count as an ideograph."""
+    return np.where(sign < TABLED, sign, 0x4E00)
+
+
+def _string(sign: np.ndarray) -> str:
+    return sign.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _decoded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and where each begins; bytes that are not UTF-8 give U+FFFD."""
+    lead = (data & 0xC0) != 0x80
+    lead[offs[:-1][offs[:-1] < len(data)]] = True
+    first = np.flatnonzero(lead)
+    size = np.diff(np.append(first, len(data)))
+    b = data[first].astype(np.int64)
+    many = 1 + (b >= 0xC0) + (b >= 0xE0) + (b >= 0xF0)
+    sign = np.where(b < 0x80, b, b & (0xFF >> (many + 1)))
+    for k in range(1, 4):
+        at = np.flatnonzero((many > k) & (size > k))
+        sign[at] = sign[at] << 6 | (data[first[at] + k] & 0x3F)
+    bad = (size != many) | (b >= 0xF8) | ((b & 0xC0) == 0x80) | (sign > 0x10FFFF)
+    return np.where(bad, 0xFFFD, sign), first
+
+
+def _composed(sign: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signs in form NFC, and the bytes that each stands for; no sign joins one of the row before."""
+    text = _string(sign)
+    if is_normalized("NFC", text):
+        return sign, first, past
+    joins = _signs()[1][_low(sign)]
+    # a run: a sign, and those that may join it; only runs whose form differs are taken up
+    begin = np.flatnonzero(~joins | (np.arange(len(sign)) == 0))
+    end = np.append(begin[1:], len(sign))
+    known: dict[str, str] = {}
+    out, a, b, last = [], [], [], 0
+    for x, y in zip(begin.tolist(), end.tolist()):
+        own = text[x:y]
+        to = known.get(own)
+        if to is None:
+            to = known[own] = normalize("NFC", own)
+        if to != own:
+            out += [sign[last:x], np.array([ord(c) for c in to], np.int64)]
+            a += [first[last:x], np.full(len(to), first[x])]
+            b += [past[last:x], np.full(len(to), past[y - 1])]
+            last = y
+    return np.concatenate([*out, sign[last:]]), np.concatenate([*a, first[last:]]), np.concatenate([*b, past[last:]])
+
+
+def _folded(sign: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, _, fold, more = _signs()
+    low = np.where(sign < TABLED, fold[_low(sign)], sign)
+    wide = np.flatnonzero(np.isin(sign, np.fromiter(more, np.int64, len(more))))
+    if len(wide):
+        to = [more[k] for k in sign[wide].tolist()]
+        many = np.ones(len(sign), np.int64)
+        many[wide] = [len(x) for x in to]
+        low, first, past = (np.repeat(x, many) for x in (low, first, past))
+        at = (np.cumsum(many) - many)[wide]
+        for k in range(1, max(map(len, to))):
+            own = [j for j, x in enumerate(to) if len(x) > k]
+            low[at[own] + k] = [to[j][k] for j in own]
+    dotted = np.zeros(len(low), bool)
+    dotted[1:] = (low[1:] == DOT) & (low[:-1] == SMALL_I)
+    return low[~dotted], first[~dotted], past[~dotted]
+
+
+def reduced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block with one space for each run of other signs (none at the begin of a row), its offs, and where the sign that
+    each byte stands for begins and ends in the block as it was."""
+    sign, first = _decoded(data, offs)
+    past = np.append(first[1:], len(data)).astype(np.int64)
+    if len(data) and data.max() >= 0x80:
+        # a row that begins with a mark must not join the one before: a line break stands between any two rows
+        cut = np.searchsorted(first, offs[1:-1])
+        sign, first, past = np.insert(sign, cut, 0x0A), np.insert(first, cut, offs[1:-1]), np.insert(past, cut, offs[1:-1])
+        sign, first, past = _composed(*_folded(*_composed(sign, first, past)))
+        own = past > first
+        sign, first, past = sign[own], first[own], past[own]
+    else:
+        sign = _signs()[2][sign]
+    kind = _signs()[0][_low(sign)]
+    kind[(sign >= 0xE0000) & (sign < 0xE1000)] = NOTHING
+    seen = kind != NOTHING
+    sign, first, past, kind = sign[seen], first[seen], past[seen], kind[seen]
+    own = kind == OWN
+    before = np.zeros(len(sign), bool)
     before[1:] = own[:-1]
-    edge = offs[:-1]
-    before[edge[edge < len(data)]] = False
+    edge = np.searchsorted(first, offs[:-1])
+    before[edge[edge < len(sign)]] = False
     at = np.flatnonzero(own | before)
-    out = np.where(own[at], LOWER[data[at]], 0x20).astype(np.uint8)
-    return out, np.searchsorted(at, offs), at
+    sign, first, past = np.where(own[at], sign[at], 0x20), first[at], past[at]
+    size = 1 + (sign >= 0x80) + (sign >= 0x800) + (sign >= 0x10000)
+    out = np.frombuffer(_string(sign).encode("utf-8", "surrogatepass"), np.uint8)
+    first, past = np.repeat(first, size), np.repeat(past, size)
+    return out, np.searchsorted(first, offs), first, past
 
 
 def reduced_text(text: str) -> bytes:
@@ -130,7 +250,7 @@ def aligned(items: list[np.ndarray], text: np.ndarray, lows: np.ndarray, highs:
 def matches(ix: Index, data: np.ndarray, offs: np.ndarray, q: int = Q) -> list[tuple[int, int, int, int, int]]:
     """(row, item_id, distance, start, end) of a block; start and end are bytes of the row's text (start may be off by
     the edits)."""
-    text, at, where = reduced(data, offs)
+    text, at, where, past = reduced(data, offs)
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
     for i, raw in ix.short:
         flat = text.tobytes()
@@ -138,7 +258,7 @@ def matches(ix: Index, data: np.ndarray, offs: np.ndarray, q: int = Q) -> list[t
         while k >= 0:
             row = int(np.searchsorted(at, k, "right")) - 1
             if k + len(raw) <= at[row + 1] and (k == at[row] or flat[k - 1] == 32) and (k + len(raw) == at[row + 1] or flat[k + len(raw)] == 32):
-                out.setdefault((row, i), (0, int(where[k] - offs[row]), int(where[k + len(raw) - 1] + 1 - offs[row])))
+                out.setdefault((row, i), (0, int(where[k] - offs[row]), int(past[k + len(raw) - 1] - offs[row])))
             k = flat.find(raw, k + 1)
     if len(text) >= q and len(ix.grams):
         start = np.arange(len(text) - q + 1)
@@ -173,7 +293,7 @@ def matches(ix: Index, data: np.ndarray, offs: np.ndarray, q: int = Q) -> list[t
                     row, which = int(r[x]), int(item[k[x]])
                     last = int(min(end[x], at[row + 1])) - 1
                     begin = max(int(at[row]), last + 1 - len(ix.items[which]))
-                    found = int(distance[x]), int(where[begin] - offs[row]), int(where[last] + 1 - offs[row])
+                    found = int(distance[x]), int(where[begin] - offs[row]), int(past[last] - offs[row])
                     name = row, ix.ids[which]
                     out[name] = min(out.get(name, found), found)
     return sorted((row, i, *x) for (row, i), x in out.items())

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -381,6 +382,54 @@ def test_decontamination(spark, documents, odd, none):
     assert decontam.contaminated(none, benchmark).count() == 0 and decontam.contaminated(odd, benchmark.limit(0)).count() == 0
 
 
+def reduced_alone(t):
+    """The reduction, sign by sign."""
+    t = unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).replace("\u0130", "i").replace("\u0131", "i").casefold())
+    kinds = [(c, unicodedata.category(c)) for c in t]
+    return " ".join("".join(" " if k[0] in "PSZ" or k == "Cc" else c for c, k in kinds if k != "Cf").split()).encode()
+
+
+def test_decontamination_of_capitals(spark):
+    """Copies in capitals, decomposed, or with other punctuation, in several scripts, beside a brute force."""
+    items = {
+        1: "l'été dernier, où les élèves étaient à l'école, près de la forêt, ils répétèrent déjà",
+        2: "die größte Straße führt über schöne Brücken, außer für Füße – „müßig“ wäre, wer zögerte",
+        3: "el año pasado, ¿quién llegó más allá de la montaña? según dirán, jamás volverá así",
+        4: "η μεγάλη οδός της πόλεως είναι ανοιχτή, και όλοι οι άνθρωποι περπατούν ελεύθεροι",
+        5: "каждый день мы читаем новую книгу, а потом долго говорим о ней за ужином",
+        6: "ılık rüzgâr kışın kıyıdan çıkınca, kırık sandığı sıkıca kapadı; ışık sızdı",
+        7: "çünkü",
+    }
+    change = [
+        lambda t: t,
+        str.upper,
+        lambda t: unicodedata.normalize("NFD", t),
+        lambda t: unicodedata.normalize("NFD", t.upper()),
+        lambda t: t.replace(" ", "\u00a0—\u2003"),
+        lambda t: "\u00ad".join(t.upper()),
+        lambda t: t.upper()[: len(t) // 3] + "ЖЖЖЖЖЖЖЖЖЖ" + t[len(t) // 3 :],
+    ]
+    rows = [(10 * i + k, f"Avant… {f(t)} « après »") for i, t in items.items() for k, f in enumerate(change)]
+    small = lambda t: min(int(0.07 * len(t)), len(t) // 10 - 1)
+    want = {}
+    for d, t in rows:
+        for i, p in items.items():
+            p, own = reduced_alone(p), reduced_alone(t)
+            best = sellers(p, own) if len(p) >= 10 else 0 if p in own.split() else 99
+            if best <= max(small(p), 0):
+                want[d, i] = best
+    assert all((10 * i + k, i) in want for i in items for k in range(6))
+    schema = "long, text string"
+    docs, benchmark = spark.createDataFrame(rows, f"doc_id {schema}"), spark.createDataFrame(list(items.items()), f"item_id {schema}")
+    out = decontam.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in out} == want
+    for r in out:
+        if r.distance == 0:
+            part = dict(rows)[r.doc_id].encode()[r.start : r.end].decode()
+            assert reduced_alone(part) == reduced_alone(items[r.item_id])
+    assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_pipeline(spark, documents):
     from tokenizers import Tokenizer
 

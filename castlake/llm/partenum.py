@@ -362,6 +362,12 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
+    return rows_of(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n, cls, comp, component_id of every row of docs: the class of its text, the component's least class (null
+    where the text has no shingle) and the least doc_id."""
     spark = ready(docs.sparkSession)
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -403,5 +409,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comp = stored(components(links), "components")
     in_class = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(comp, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "least")
     least = in_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = in_class.join(least, "comp").select(F.col("cls").alias("c"), "component_id")
-    return rows.join(of, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = in_class.join(least, "comp").select(F.col("cls").alias("c"), "comp", "component_id")
+    return rows.join(of, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left").select("doc_id", "n", "cls", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -189,6 +189,16 @@ def test_one_of_each(spark, odd, none):
     assert dedup.one_of_each(none).count() == 0
 
 
+def test_one_of_each_where_ids_repeat(spark):
+    """Rows of one id are judged by their own texts."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(3, b), (5, a), (5, b), (6, a), (7, c), (7, c + " more"), (7, d), (7, d), (8, d), (8, ""), (8, None), (9, ""), (None, a), (2, c), (1, "x y"), (1, "X  y"), (1, "")]
+    got = sorted(((r.doc_id or 0), r.text) for r in dedup.one_of_each(docs_of(spark, [(i, t, "en") for i, t in rows])).collect() if r.text)
+    assert got == sorted([(0, a), (1, got[1][1]), (2, c), (3, b), (5, a), (7, d)]) and got[1][1].split()[1] == "y"
+    blank = [r.doc_id for r in dedup.one_of_each(docs_of(spark, [(i, t, "en") for i, t in rows])).collect() if not r.text]
+    assert sorted(blank) == [1, 8, 9]
+
+
 def test_quality(spark, documents, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     for table in (documents, odd):

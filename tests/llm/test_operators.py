@@ -183,6 +183,13 @@ def test_components(spark):
     assert got == {k: 0 for k in range(31)} | {100: 100, 101: 100}
 
 
+def test_components_are_settled_or_an_error(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        graph.components(chain, 2)
+    assert {r.v: r.comp for r in graph.components(chain, 64).collect()} == dict.fromkeys(range(31), 0)
+
+
 def test_one_of_each(spark, odd, none):
     kept = [r.doc_id for r in dedup.one_of_each(odd).collect()]
     assert sorted(k for k in kept if k) == [1, 2, 3, 4, 5, 8, 9, 10, 11] and kept.count(None) == 1

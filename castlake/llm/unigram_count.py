@@ -10,6 +10,10 @@ No piece has the sign U+2581 after another character, and none holds a line brea
 signs with the word behind it; those are remembered in a table of bounded size. The working memory of a run is a window
 as long as the longest piece.
 
+The registered query has no unigram vocabulary to read: it takes the pieces of a BPE file, whose scores are minus merge
+ranks. The search is exact for these scores, but the counts are not those of the file's own (BPE) tokenizer; the README
+has the measured difference.
+
 Defined results: null and empty texts have no tokens and score 0; repeated rows and clashing further columns have no
 influence; an empty table gives an empty result.
 """

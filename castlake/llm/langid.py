@@ -262,7 +262,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, that have a language."""
+    """The rows of docs, with all their columns, that have a language: those with a letter, whatever its label and score."""
     spark = ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
 

@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays, mapped by workers.
+"""Interpolated modified Kneser-Ney model of any order (bigrams unless said otherwise), counted in Spark, stored as sorted hash arrays, mapped by workers.
 
 Tokens are 64-bit hashes of words (A-Z lower-cased, split at ASCII white space) and one end of each text; a start token
 is a context only. Counting: each task makes the pairs of its texts unique and counts them, packed arrays are dealt by
@@ -13,6 +13,11 @@ pruned. Scoring: workers map the files into memory, look the sorted hashes of a
 with k(w) the number of contexts of w, K its sum, and the discounts of each level from its counts of counts (0.5, 1, 1.5
 where those are too thin). After an unseen context, p(w|h) = p(w).
 
+Of a higher order N, the grams of N tokens are counted so (a text has N - 1 start tokens before it), and each shorter gram
+counts the tokens that stand before it; every level k above 1 has the first formula with its own counts and discounts, and
+p of the level below. Each level is a pass of its own over packed arrays, stored as the pairs are, with a table of the
+contexts' sums.
+
 Memory: a task holds the pairs of FLUSH tokens, and in the merge one range of hashes; ranges have a fixed mean size, so
 their number grows with the input. The files must be reachable as files (a mounted shared folder).
 
@@ -30,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +46,7 @@ START, END = U(0x5EED57A127), U(0x5EED0E9D)
 FLUSH = 1 << 21
 RANGE = 2_000_000  # pairs of a range, on average at most
 COLUMNS = ("count", "kinds", "once", "twice", "more")
+SUMS = ("count", "once", "twice", "more")
 
 
 @dataclass
@@ -52,6 +59,8 @@ class Model:
     high: tuple[float, float, float]
     low: tuple[float, float, float]
     gamma: float
+    order: int = 2
+    upper: tuple[tuple[float, float, float], ...] = ()  # of the levels from 3
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,6 +79,26 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(context * U(0x9FB21C651E98DF25) + word)
 
 
+def gram_columns(data: np.ndarray, offs: np.ndarray, order: int) -> list[np.ndarray]:
+    """The tokens of a block, behind columns of those 1, 2, .. order - 1 places before (the farthest first)."""
+    context, word, begin = tokens(data, offs)
+    out = [context, word]
+    while len(out) < order:
+        before = np.empty_like(word)
+        before[1:] = out[0][:-1]
+        before[begin[:-1]] = START
+        out.insert(0, before)
+    return out
+
+
+def folded(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash of successive tokens; a single one is its own."""
+    key = columns[0]
+    for c in columns[1:]:
+        key = pair_key(key, c)
+    return key
+
+
 def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     """Ranges in the order of the keys."""
     return (key >> U(32)) * U(ranges) >> U(32)
@@ -81,8 +110,10 @@ def _packed(key: np.ndarray, ranges: int, arrays: list[np.ndarray]) -> list[dict
     return [{"bucket": int(k), "n": int(b - a), "payload": b"".join(x[a:b].tobytes() for x in arrays), "stats": None} for k, a, b in zip(range(ranges), cuts[:-1].tolist(), cuts[1:].tolist()) if b > a]
 
 
-ROWS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("payload", pa.binary()), ("stats", pa.list_(pa.int64()))])
-ROWS_DDL = "bucket int, n int, payload binary, stats array<long>"
+ROWS = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("payload", pa.binary()), ("stats", pa.list_(pa.int64())), ("kind", pa.int32())])
+ROWS_DDL = "bucket int, n int, payload binary, stats array<long>, kind int"
+#: Rows that go along with the grams of a level: figures, words' occurrences, and from 3 the contexts of that level.
+FIGURES, WORDS = 1, 2
 
 
 def _unpacked(payload: bytes, sizes: tuple[int, ...], kinds: tuple[type, ...]) -> list[np.ndarray]:
@@ -95,35 +126,47 @@ def _unpacked(payload: bytes, sizes: tuple[int, ...], kinds: tuple[type, ...]) -
 
 def _pairs_packed(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
     """Pairs as numbers in a list of their distinct tokens, in the order of the contexts (equal ones compress)."""
-    kinds, number = np.unique(np.concatenate([context, word]), return_inverse=True)
-    order = np.argsort(number[: len(context)], kind="stable")
-    number = number.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
-    return np.array([len(kinds)], np.uint32).tobytes() + b"".join(x.tobytes() for x in (kinds, number[: len(context)][order], number[len(context) :][order], n[order].astype(np.uint32)))
+    return _grams_packed([context, word], n)
 
 
-def _pairs_unpacked(payload: bytes, n: int) -> list[np.ndarray]:
+def _grams_packed(columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    size = len(n)
+    kinds, number = np.unique(np.concatenate(columns), return_inverse=True)
+    number = number.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32).reshape(len(columns), size)
+    order = np.lexsort(number[-2::-1]) if len(columns) > 2 else np.argsort(number[0], kind="stable")
+    return np.array([len(kinds)], np.uint32).tobytes() + b"".join(x.tobytes() for x in (kinds, *number[:, order], n[order].astype(np.uint32)))
+
+
+def _grams_unpacked(payload: bytes, n: int, level: int) -> list[np.ndarray]:
     many = int(np.frombuffer(payload, np.uint32, 1)[0])
     kind = np.uint16 if many <= 1 << 16 else np.uint32
-    kinds, context, word, count = _unpacked(payload[4:], (many, n, n, n), (np.uint64, kind, kind, np.uint32))
-    return [kinds[context], kinds[word], count]
+    kinds, *columns, count = _unpacked(payload[4:], (many, *[n] * (level + 1)), (np.uint64, *[kind] * level, np.uint32))
+    return [*(kinds[c] for c in columns), count]
+
+
+def _pairs_unpacked(payload: bytes, n: int) -> list[np.ndarray]:
+    return _grams_unpacked(payload, n, 2)
+
 
+def _gram_rows(columns: list[np.ndarray], n: np.ndarray, key: np.ndarray, ranges: int) -> list[dict]:
+    """Rows of grams that are sorted by key."""
+    cuts = np.searchsorted(range_of(key, ranges), np.arange(ranges + 1, dtype=np.uint64)).tolist()
+    return [{"bucket": k, "n": b - a, "payload": _grams_packed([c[a:b] for c in columns], n[a:b])} for k, a, b in zip(range(ranges), cuts, cuts[1:]) if b > a]
 
-def _count(ranges: int):
+
+def _count(ranges: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            context, word = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64),) * 2
+            columns = [np.concatenate(x) for x in zip(*held)] if held else [np.zeros(0, np.uint64)] * order
             held.clear()
-            key, first, n = np.unique(pair_key(context, word), return_index=True, return_counts=True)
-            context, word, n = context[first], word[first], n.astype(np.uint32)
-            cuts = np.searchsorted(range_of(key, ranges), np.arange(ranges + 1, dtype=np.uint64)).tolist()
-            rows = [{"bucket": k, "n": b - a, "payload": _pairs_packed(context[a:b], word[a:b], n[a:b]), "stats": None} for k, a, b in zip(range(ranges), cuts, cuts[1:]) if b > a]
-            return pa.RecordBatch.from_pylist(rows, ROWS)
+            key, first, n = np.unique(folded(columns), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_pylist(_gram_rows([c[first] for c in columns], n.astype(np.uint32), key, ranges), ROWS)
 
         for batch in batches:
             for _, _, data, offs in blocks(batch["text"]):
-                held.append(tokens(data, offs)[:2])
+                held.append(gram_columns(data, offs, order))
                 if sum(len(x[0]) for x in held) > FLUSH:
                     yield flush()
         yield flush()
@@ -150,6 +193,64 @@ def _summed(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
     return key[first], [np.add.reduceat(c[order].astype(np.int64), first) if len(key) else c for c in columns]
 
 
+def _beside(folder: str, merge):
+    """merge over the grams alone; the rows that go along are stored, the figures passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[tuple[int, int], list[list[np.ndarray]]] = {}
+        figures: list[dict] = []
+
+        def grams() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.filter(pa.compute.is_valid(batch["kind"])).to_pylist():
+                    if row["kind"] == FIGURES:
+                        figures.append(row)
+                    else:
+                        many = 2 if row["kind"] == WORDS else 5
+                        sides.setdefault((row["kind"], row["bucket"]), []).append(_unpacked(row["payload"], (row["n"],) * many, (np.uint64,) * many))
+                yield batch.filter(pa.compute.is_null(batch["kind"]))
+
+        yield from merge(grams())
+        for kind, bucket in list(sides):
+            key, *share = (np.concatenate(x) for x in zip(*sides.pop((kind, bucket))))
+            key, share = _summed(key, share)
+            _store(f"{folder}/beside{kind}-{bucket}", key=key, **{c: x.astype(np.min_scalar_type(int(x.max()))) for c, x in zip(SUMS, share)})
+        yield pa.RecordBatch.from_pylist(figures, ROWS)
+
+    return run
+
+
+def _merge_grams(folder: str, ranges: int, level: int, top: bool):
+    """Writes each range of the grams of a level from 3; yields those of the level below, and the rows that go along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            for bucket, n, payload in zip(*(batch[c].to_pylist() for c in ("bucket", "n", "payload"))):
+                parts.setdefault(bucket, []).append(_grams_unpacked(payload, n, level))
+        for bucket in list(parts):
+            *columns, n = (np.concatenate(x) for x in zip(*parts.pop(bucket)))
+            key = folded(columns)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True))
+            n = np.add.reduceat(n[order].astype(np.int64), first)
+            key, columns = key[first], [c[order[first]] for c in columns]
+            large = np.flatnonzero(n >= 255)
+            _store(f"{folder}/grams{level}-{bucket}", key=key, n=np.minimum(n, 255).astype(np.uint8), large=np.stack([large, n[large]]))
+            below, at, ways = np.unique(folded(columns[1:]), return_index=True, return_counts=True)
+            rows = _gram_rows([c[at] for c in columns[1:]], ways, below, ranges)
+            context, share = _summed(folded(columns[:-1]), [n, n == 1, n == 2, n >= 3])
+            rows += [{**r, "kind": level} for r in _packed(context, ranges, [context, *(x.astype(np.uint64) for x in share)])]
+            if top:
+                word, share = _summed(columns[-1], [n])
+                rows += [{**r, "kind": WORDS} for r in _packed(word, ranges, [word, share[0].astype(np.uint64)])]
+            rows.append({"bucket": bucket, "n": 0, "stats": [level, len(key), int(n.sum()), *_of_counts(n)], "kind": FIGURES})
+            yield pa.RecordBatch.from_pylist(rows, ROWS)
+
+    return run
+
+
 def _merge_pairs(folder: str, ranges: int):
     """Writes each range of pairs; yields the tokens' shares, and the counts of counts."""
 
@@ -210,8 +311,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return found if all(0 < d <= k for k, d in enumerate(found, 1)) else (0.5, 1.0, 1.5)
 
 
-def fit(texts: DataFrame) -> Model:
-    """Counts the pairs of column text of all rows."""
+def fit(texts: DataFrame, order: int = 2) -> Model:
+    """Counts the grams of order tokens (2 and more) of column text of all rows."""
+    if order < 2:
+        raise ValueError(f"the order must be 2 or more, not {order}")
     spark = ready(texts.sparkSession)
     base = shared_dir(spark)
     if base.startswith("file:"):
@@ -223,8 +326,12 @@ def fit(texts: DataFrame) -> Model:
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(16, size // (6 * RANGE))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges // 2)
-    counted = texts.select("text").mapInArrow(_count(ranges), ROWS_DDL).repartition(parts, "bucket")
-    merged = counted.mapInArrow(_merge_pairs(folder, ranges), ROWS_DDL).repartition(parts, "bucket")
+    counted = texts.select("text").mapInArrow(_count(ranges, order), ROWS_DDL).repartition(parts, "bucket")
+    for level in range(order, 2, -1):
+        merge = _merge_grams(folder, ranges, level, level == order)
+        counted = counted.mapInArrow(_beside(folder, merge), ROWS_DDL).repartition(parts, "bucket")
+    merge = _merge_pairs(folder, ranges)
+    merged = counted.mapInArrow(merge if order == 2 else _beside(folder, merge), ROWS_DDL).repartition(parts, "bucket")
     stats = merged.mapInArrow(_merge_tokens(folder, ranges), "level long, kinds long, total long, n1 long, n2 long, n3 long, n4 long")
     sums_of = {r["level"]: r.asDict() for r in stats.groupBy("level").agg(*(F.sum(c).alias(c) for c in ("kinds", "total", "n1", "n2", "n3", "n4"))).collect()}
     none = dict.fromkeys(("kinds", "total", "n1", "n2", "n3", "n4"), 0)
@@ -232,7 +339,8 @@ def fit(texts: DataFrame) -> Model:
     low = discounts(*(one[f"n{k}"] for k in range(1, 5)))
     more = one["kinds"] - one["n1"] - one["n2"]
     gamma = (low[0] * one["n1"] + low[1] * one["n2"] + low[2] * more) / one["total"] if one["total"] else 1.0
-    return Model(folder, ranges, two["total"], one["kinds"], two["kinds"], discounts(*(two[f"n{k}"] for k in range(1, 5))), low, gamma)
+    high, *upper = (discounts(*(sums_of.get(level, none)[f"n{k}"] for k in range(1, 5))) for level in range(2, order + 1))
+    return Model(folder, ranges, sums_of.get(order, none)["total"], one["kinds"], two["kinds"], high, low, gamma, order, tuple(upper))
 
 
 class Mapped:
@@ -260,22 +368,22 @@ class Mapped:
                 hit = np.flatnonzero(np.asarray(table[at]) == part)
                 yield k, hit + cuts[k], at[hit]
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
+    def pairs(self, keys: np.ndarray, kind: str = "pairs") -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        for k, to, at in self.found("pairs", keys):
-            n = np.asarray(self.array("pairs", k, "n")[at]).astype(np.int64)
+        for k, to, at in self.found(kind, keys):
+            n = np.asarray(self.array(kind, k, "n")[at]).astype(np.int64)
             big = np.flatnonzero(n == 255)
             if len(big):
-                where, value = self.array("pairs", k, "large")
+                where, value = self.array(kind, k, "large")
                 n[big] = value[np.searchsorted(where, at[big])]
             out[to] = n
         return out
 
-    def tokens(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(COLUMNS), len(keys)), np.int64)
-        for k, to, at in self.found("tokens", keys):
-            for row, name in zip(out, COLUMNS):
-                row[to] = self.array("tokens", k, name)[at]
+    def tokens(self, keys: np.ndarray, kind: str = "tokens", names: tuple[str, ...] = COLUMNS) -> np.ndarray:
+        out = np.zeros((len(names), len(keys)), np.int64)
+        for k, to, at in self.found(kind, keys):
+            for row, name in zip(out, names):
+                row[to] = self.array(kind, k, name)[at]
         return out
 
 
@@ -297,6 +405,18 @@ def scored(mapped: Mapped, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     c = mapped.pairs(pair)[to]
     total = count[before]
     p = np.where(total > 0, np.maximum(c - high[np.minimum(c, 3)], 0) / np.maximum(total, 1) + spare[before] * p_low[place], p_low[place])
+    columns = gram_columns(data, offs, m.order)
+    for level, d in enumerate(m.upper, 3):
+        d = np.array([0, *d])
+        before, of_before = np.unique(folded(columns[-level:-1]), return_inverse=True)
+        total, once, twice, more = mapped.tokens(before, f"beside{level}", SUMS)
+        spare = ((d[1] * once + d[2] * twice + d[3] * more) / np.maximum(total, 1))[of_before]
+        total = total[of_before]
+        gram, to = np.unique(folded(columns[-level:]), return_inverse=True)
+        c = mapped.pairs(gram, f"grams{level}")[to]
+        p = np.where(total > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total, 1) + spare * p, p)
+    if m.order > 2:
+        count = mapped.tokens(kinds, f"beside{WORDS}", SUMS[:1])[0]
     known = np.where(kinds == START, 0, count)[place]
     base = np.log10((known + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
     at = begin[:-1]

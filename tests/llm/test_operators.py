@@ -125,6 +125,50 @@ def test_ngram_model(spark, documents):
         assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t)))
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_ngram_model_of_higher_order(spark, documents, odd, none, order):
+    rows = sorted(texts(documents))[:40]
+    rows += [(i, t) for i, t in ((9001, "the of and the of and the of"), (9002, ""), (9003, None), (9004, "the " * 700))]
+    tokens = {i: WORD.findall(low(t)) + ["</s>"] for i, t in rows}
+    train = [i for i in tokens if i % 3]
+    counts = {order: Counter(), 1: Counter()}
+    raw = Counter()
+    padded = lambda t: ["<s>"] * (order - 1) + t
+    for i in train:
+        t = padded(tokens[i])
+        counts[order].update(tuple(t[k : k + order]) for k in range(len(tokens[i])))
+        raw.update(tokens[i])
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut, sums, kinds = {}, {}, {}
+    for k, table in counts.items():
+        cut[k] = [0, *ngram_lm.discounts(*(sum(c == x for c in table.values()) for x in (1, 2, 3, 4)))]
+        for g, c in table.items():
+            sums[g[:-1]] = sums.get(g[:-1], 0) + c
+            kinds.setdefault(g[:-1], [0, 0, 0, 0])[min(c, 3)] += 1
+
+    def p(context, w):
+        c, k = counts[len(context) + 1].get((*context, w), 0), len(context) + 1
+        below = p(context[1:], w) if context else 1 / (len(counts[1]) + 1)
+        if not sums.get(context):
+            return below
+        return (max(c - cut[k][min(c, 3)], 0) + sum(cut[k][x] * kinds[context][x] for x in (1, 2, 3)) * below) / sums[context]
+
+    head = ("the", "of", "and")[: order - 1]
+    assert abs(sum(p(head, w) for w in raw) + p(head, "never seen") - 1) < 1e-9
+    table = docs_of(spark, [(i, t, "en") for i, t in rows])
+    model = ngram_lm.fit(table.where("doc_id % 3 <> 0"), order)
+    out = ngram_lm.score(table, model).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        t, full = tokens[r.doc_id], padded(tokens[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in raw for w in t), sum(raw.values()))
+        assert r.base_score == pytest.approx(sum(math.log10((raw.get(w, 0) + 0.5) / (sum(raw.values()) + 0.5 * (len(raw) + 1))) for w in t))
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(full[k : k + order - 1]), w)) for k, w in enumerate(t)))
+    assert ngram_lm.score(odd, ngram_lm.fit(odd, order)).count() == odd.count()
+    assert all(r.score == 0 for r in ngram_lm.score(odd, ngram_lm.fit(none, order)).collect())
+
+
 def test_ngram_model_on_odd_tables(spark, odd, none):
     out = ngram_lm.score(odd, ngram_lm.fit(odd)).collect()
     assert len(out) == odd.count() and {r.n_tokens for r in out if r.doc_id in (1, 2, 3)} == {1}

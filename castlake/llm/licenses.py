@@ -5,7 +5,8 @@ Texts and templates are reduced to lower-case words (runs of letters and digits)
 of bigrams of passage and template and C that of the common ones (all with repeats), Dice is 2C / (A + B). As C is at
 most the smaller of A and B, only templates with A t / (2 - t) <= B <= A (2 - t) / t can reach t: the templates are
 sorted by size and only that range is compared. Passages begin and end with a unit that has a bigram of some template.
-Of overlapping passages for a template the one of greatest Dice is kept (the first, the shortest of equals).
+Of overlapping passages for a licence the one of greatest Dice is kept (the first, the shortest of equals). A passage
+that reaches t with several licences (GPL notices differ in a version alone) is one of those of greatest Dice.
 
 Defined results: null texts and texts with fewer than two words match nothing; repeated rows are each reported; an empty
 table gives an empty result; further columns are ignored.
@@ -27,6 +28,16 @@ from .shared import ready
 from .words import ALNUM, blocks, grams, hashes, spans, sums
 
 THRESHOLD = 0.9
+
+
+def _gnu(name: str, version: str, of: str = "program") -> str:
+    return f"This {of} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This {of} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+
+
+def _bsd(more: str = "") -> str:
+    return f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {more}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
+
 #: Wordings of licences and notices, by identifier.
 TEMPLATES = {
     "Apache-2.0": (
@@ -42,10 +53,26 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "All-rights-reserved": ("All rights reserved.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", _gnu("General Public License", "2")),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", _gnu("Lesser General Public License", "2.1", "library"), _gnu("Lesser General Public License", "2.1")),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", _gnu("Lesser General Public License", "3", "library"), _gnu("Lesser General Public License", "3")),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", _gnu("Affero General Public License", "3")),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", _bsd()),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", _bsd("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+    "MPL-2.0": (
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 }
 BREAK = np.zeros(256, np.int64)
 BREAK[[ord(c) for c in ".!?\n"]] = 1
@@ -112,11 +139,15 @@ def passages(t: Templates, data: np.ndarray, offs: np.ndarray) -> list[tuple[int
                 near_sizes = t.range(n)
                 if len(near_sizes):
                     bag = Counter(pair[begin : stop - 1].tolist())
+                    reached: dict[str, float] = {}
                     for k in near_sizes:
                         other = t.bags[k]
                         dice = 2 * sum(min(v, other[g]) for g, v in bag.items() if g in other) / (n + t.sizes[k])
                         if dice >= t.threshold:
-                            found.setdefault(t.names[k], []).append((-dice, begin, stop, n))
+                            reached[t.names[k]] = max(dice, reached.get(t.names[k], 0))
+                    for name, dice in reached.items():
+                        if dice == max(reached.values()):
+                            found.setdefault(name, []).append((-dice, begin, stop, n))
         for name, spots in found.items():
             taken: list[tuple[int, int]] = []
             for dice, begin, stop, n in sorted(spots, key=lambda s: (s[0], s[1], s[2])):

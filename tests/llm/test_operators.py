@@ -292,6 +292,19 @@ def test_licences(spark, odd, none):
         assert all((k in t.range(n)) == (2 * min(n, s) / (n + s) >= t.threshold - 1e-12) for k, s in enumerate(t.sizes))
 
 
+def test_every_licence_is_told_apart(spark):
+    """Each wording, with a few words changed where it is long, is reported as its own licence and as no other."""
+    rows = []
+    for name, wordings in licenses.TEMPLATES.items():
+        for text in wordings:
+            rows.append((len(rows), f"Before it, nothing else.\n{text}\nAnd after it, more.", name))
+            if len(text) > 400:
+                rows.append((len(rows), text.replace("following", "next").replace("useful", "helpful"), name))
+    assert {"BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "LGPL-2.1", "LGPL-3.0", "GPL-2.0", "AGPL-3.0"} <= {x[2] for x in rows}
+    out = licenses.scan(docs_of(spark, [(i, t, "en") for i, t, _ in rows])).collect()
+    assert {(r.doc_id, r.licence) for r in out} == {(i, name) for i, _, name in rows}
+
+
 @pytest.fixture(scope="module")
 def unigram():
     from tokenizers import Tokenizer, models, pre_tokenizers

@@ -31,7 +31,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is the least of their component; one row of each component.
     Where a doc_id occurs more than once, each row is judged by its own text: it goes if another row that stays is of its
     component (or, without a shingle, of its doc_id). Rows with a null doc_id stay."""
-    found = stored(rows_of(docs), "components-of")
+    found = rows_of(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     few = gone.count() <= 500_000  # 8 bytes each; beyond that both sides are shuffled
     once = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)

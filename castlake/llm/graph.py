@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame, most_rounds: int | None = None, under: str | None = None) -> DataFrame:
     """(v, comp): comp is the smallest vertex that v reaches; links has columns a, b.
 
     Alternating large-star and small-star steps: each is one aggregation and one join over the links, their number
     grows with the logarithm of the vertices, and no vertex's links are gathered in one place. The rounds go on until one
     changes nothing; the links left then are (vertex, component) pairs. Where most_rounds is given and not enough, an
-    error is raised.
+    error is raised. under: the folder of the rounds' tables.
     """
-    pairs = stored(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("c")).distinct(), "links")
+    pairs = stored(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("c")).distinct(), "links", under)
     last = None
     for done in count():
         if done == most_rounds:
@@ -29,7 +29,7 @@ def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
         large = large.where("v <> c").distinct()
         low = large.groupBy("v").agg(F.min("c").alias("m"))
         small = large.join(low, "v").select(F.col("c").alias("v"), F.col("m").alias("c")).where("v <> c").unionByName(low.select("v", F.col("m").alias("c")))
-        pairs = stored(small.distinct(), "links")
+        pairs = stored(small.distinct(), "links", under)
         now = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("v", "c") % 1000000007), F.lit(0)).alias("h")).first()
         if last == now:
             break

@@ -4,13 +4,14 @@ Texts and benchmark items are reduced to lower-case letters (with their marks),
 script: composed (NFC), case-folded and composed again, so that accented, Greek or Cyrillic capitals cost no edits; the
 Turkish i's are taken as one letter, as capitals do not tell them apart. Punctuation, symbols and white space of any
 script are spaces, signs without a shape of their own (soft hyphens, joiners, variation selectors) are left out. An item of m bytes may occur in a
-document with at most e = rate * m edits. Then at least T = m + 1 - q (e + 1) of its q-grams survive (the q-gram lemma),
-and the alignment moves over e + 1 diagonals at most. Shared q-grams are counted in bands of 2 (e + 1) diagonals, each
+document with at most e = rate * m edits. Then at least T = m + 1 - q (e + 1) of its q-grams survive (the q-gram lemma; an
+item for which that is less than one is searched by shorter grams), and the alignment moves over e + 1 diagonals at most. Shared q-grams are counted in bands of 2 (e + 1) diagonals, each
 overlapping the next by half, so that every such alignment lies within a band; bands with T shared q-grams or more are
 verified by an alignment within the band, of the whole item against the document.
 
-The items of a benchmark are held by the workers, up to ITEM_BYTES at a time (a checked bound); a larger benchmark is
-dealt into as many parts, each with a pass over the documents. Documents are read whole, in blocks of rows.
+The items of a benchmark are held by the workers, up to ITEM_BYTES at a time (a checked bound; the index of a part, some 64
+MB, is broadcast); a larger benchmark is dealt into as many parts, built and sent one after the other, each with a pass
+over the documents. Documents are read whole, in blocks of rows.
 
 Defined results: null texts and texts without letters or digits match nothing, and such items are matched by nothing;
 items shorter than q are found as they stand, between word borders; equal items and repeated documents are each
@@ -34,7 +35,7 @@ from .words import U, blocks, hashes, sums
 
 Q = 10
 RATE = 0.07
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 2 << 20  # an index takes about 32 bytes for each byte of its items
 TABLE_BITS = 22
 BESIDE = 1  # a byte that no reduced text has
 
@@ -184,7 +185,9 @@ class Index:
     first: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    q: int
     short: list[tuple[int, bytes]] = field(default_factory=list)
+    rest: Index | None = None  # items that need shorter grams
     table: np.ndarray | None = None
 
     def __getstate__(self):
@@ -197,17 +200,20 @@ class Index:
         return np.flatnonzero(self.table[(h >> U(64 - TABLE_BITS)).astype(np.int64)])
 
 
-def index(rows: list[tuple[int, str]], q: int = Q, rate: float = RATE) -> Index:
+def _index(rows: list[tuple[int, bytes]], q: int, rate: float) -> Index:
     ids, items, short = [], [], []
-    for i, text in rows:
-        raw = reduced_text(text or "")
-        if len(raw) >= q:
+    for i, raw in rows:
+        if len(raw) >= Q:
             ids.append(i)
             items.append(np.frombuffer(raw, np.uint8))
         elif raw:
             short.append((i, raw))
     m = np.array([len(x) for x in items], np.int64)
-    budget = np.minimum((rate * m).astype(np.int64), m // q - 1)
+    budget = (rate * m).astype(np.int64)
+    least = m + 1 - q * (budget + 1)
+    rest = [(ids[k], items[k].tobytes()) for k in np.flatnonzero(least < 1)]
+    own = np.flatnonzero(least >= 1)
+    ids, items, m, budget, least = [ids[k] for k in own], [items[k] for k in own], m[own], budget[own], least[own]
     data = np.concatenate([np.zeros(0, np.uint8), *items])
     item = np.repeat(np.arange(len(items)), m - q + 1)
     at = np.arange(len(item)) - np.repeat(np.cumsum(m - q + 1) - (m - q + 1), m - q + 1)
@@ -215,7 +221,11 @@ def index(rows: list[tuple[int, str]], q: int = Q, rate: float = RATE) -> Index:
     h = hashes(sums(data), start, start + q)
     order = np.argsort(h, kind="stable")
     grams, first = np.unique(h[order], return_index=True)
-    return Index(ids, items, budget, m + 1 - q * (budget + 1), grams, np.append(first, len(h)), item[order], at[order], short)
+    return Index(ids, items, budget, least, grams, np.append(first, len(h)), item[order], at[order], q, short, _index(rest, max(1, q // 2), rate) if rest else None)
+
+
+def index(rows: list[tuple[int, str]], q: int = Q, rate: float = RATE) -> Index:
+    return _index([(i, reduced_text(text or "")) for i, text in rows], q, rate)
 
 
 def aligned(items: list[np.ndarray], text: np.ndarray, lows: np.ndarray, highs: np.ndarray, diagonals: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,64 +257,74 @@ def aligned(items: list[np.ndarray], text: np.ndarray, lows: np.ndarray, highs:
     return best, end
 
 
-def matches(ix: Index, data: np.ndarray, offs: np.ndarray, q: int = Q) -> list[tuple[int, int, int, int, int]]:
+def matches(ix: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item_id, distance, start, end) of a block; start and end are bytes of the row's text (start may be off by
     the edits)."""
     text, at, where, past = reduced(data, offs)
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    flat = text.tobytes() if ix.short else b""
     for i, raw in ix.short:
-        flat = text.tobytes()
         k = flat.find(raw)
         while k >= 0:
             row = int(np.searchsorted(at, k, "right")) - 1
             if k + len(raw) <= at[row + 1] and (k == at[row] or flat[k - 1] == 32) and (k + len(raw) == at[row + 1] or flat[k + len(raw)] == 32):
                 out.setdefault((row, i), (0, int(where[k] - offs[row]), int(past[k + len(raw) - 1] - offs[row])))
             k = flat.find(raw, k + 1)
-    if len(text) >= q and len(ix.grams):
-        start = np.arange(len(text) - q + 1)
-        h = hashes(sums(text), start, start + q)
-        place = ix.known(h)
-        g = np.minimum(np.searchsorted(ix.grams, h[place]), len(ix.grams) - 1)
-        hit = ix.grams[g] == h[place]
-        place, g = place[hit], g[hit]
-        many = ix.first[g + 1] - ix.first[g]
-        place = np.repeat(place, many)
-        k = np.repeat(ix.first[g], many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
-        item = ix.item[k]
-        diagonal = place - ix.at[k]
-        half = ix.budget[item] + 1
-        band = diagonal // half + 1  # 0 and more: a diagonal is at least -m
-        shift = int(max(len(x) for x in ix.items)) + 2
-        key = item << 40 | (band + shift)
-        kinds, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        item = kinds >> 40
-        keep = count >= ix.least[item]
-        item, low = item[keep], ((kinds[keep] & ((1 << 40) - 1)) - shift - 1) * (ix.budget[item[keep]] + 1)
-        if len(item):
-            # a band near a row's border is tried in both rows
-            m = np.array([len(x) for x in ix.items])[item]
-            one = np.clip(np.searchsorted(at, low, "right") - 1, 0, len(offs) - 2)
-            two = np.clip(np.searchsorted(at, low + m + 2 * (ix.budget[item] + 1), "right") - 1, 0, len(offs) - 2)
-            rows = [(r, k) for k, (a, b) in enumerate(zip(one.tolist(), two.tolist())) for r in range(a, b + 1)]
-            for part in range(0, len(rows), 256):
-                r, k = map(np.array, zip(*rows[part : part + 256]))
-                distance, end = aligned([ix.items[x] for x in item[k]], text, at[r], at[r + 1], low[k], 2 * (ix.budget[item[k]] + 1))
-                for x in np.flatnonzero(distance <= ix.budget[item[k]]):
-                    row, which = int(r[x]), int(item[k[x]])
-                    last = int(min(end[x], at[row + 1])) - 1
-                    begin = max(int(at[row]), last + 1 - len(ix.items[which]))
-                    found = int(distance[x]), int(where[begin] - offs[row]), int(past[last] - offs[row])
-                    name = row, ix.ids[which]
-                    out[name] = min(out.get(name, found), found)
+    part: Index | None = ix
+    while part is not None:
+        for name, found in _within(part, text, at, where, past, offs):
+            out[name] = min(out.get(name, found), found)
+        part = part.rest
     return sorted((row, i, *x) for (row, i), x in out.items())
 
 
-def _indexes(benchmark: DataFrame) -> list[Index]:
-    """The benchmark's items, in parts of at most about ITEM_BYTES."""
+def _within(ix: Index, text: np.ndarray, at: np.ndarray, where: np.ndarray, past: np.ndarray, offs: np.ndarray) -> Iterator[tuple[tuple[int, int], tuple[int, int, int]]]:
+    """((row, item_id), (distance, start, end)) of the bands with enough grams that the alignment confirms."""
+    q = ix.q
+    if len(text) < q or not len(ix.grams):
+        return
+    start = np.arange(len(text) - q + 1)
+    h = hashes(sums(text), start, start + q)
+    place = ix.known(h)
+    g = np.minimum(np.searchsorted(ix.grams, h[place]), len(ix.grams) - 1)
+    hit = ix.grams[g] == h[place]
+    place, g = place[hit], g[hit]
+    many = ix.first[g + 1] - ix.first[g]
+    place = np.repeat(place, many)
+    k = np.repeat(ix.first[g], many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+    item = ix.item[k]
+    diagonal = place - ix.at[k]
+    band = diagonal // (ix.budget[item] + 1) + 1  # 0 and more: a diagonal is at least -m
+    shift = int(max(len(x) for x in ix.items)) + 2
+    key = item << 40 | (band + shift)
+    kinds, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+    item = kinds >> 40
+    keep = count >= ix.least[item]
+    item, low = item[keep], ((kinds[keep] & ((1 << 40) - 1)) - shift - 1) * (ix.budget[item[keep]] + 1)
+    if not len(item):
+        return
+    # a band near a row's border is tried in both rows
+    m = np.array([len(x) for x in ix.items])[item]
+    one = np.clip(np.searchsorted(at, low, "right") - 1, 0, len(offs) - 2)
+    two = np.clip(np.searchsorted(at, low + m + 2 * (ix.budget[item] + 1), "right") - 1, 0, len(offs) - 2)
+    rows = [(r, k) for k, (a, b) in enumerate(zip(one.tolist(), two.tolist())) for r in range(a, b + 1)]
+    for part in range(0, len(rows), 256):
+        r, k = map(np.array, zip(*rows[part : part + 256]))
+        distance, end = aligned([ix.items[x] for x in item[k]], text, at[r], at[r + 1], low[k], 2 * (ix.budget[item[k]] + 1))
+        for x in np.flatnonzero(distance <= ix.budget[item[k]]):
+            row, which = int(r[x]), int(item[k[x]])
+            last = int(min(end[x], at[row + 1])) - 1
+            begin = max(int(at[row]), last + 1 - len(ix.items[which]))
+            yield (row, ix.ids[which]), (int(distance[x]), int(where[begin] - offs[row]), int(past[last] - offs[row]))
+
+
+def _indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The benchmark's items, in parts of about ITEM_BYTES at most; each is made when its turn comes."""
     known = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = size // ITEM_BYTES + 1
-    return [index(sorted((r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect())) for k in range(parts)]
+    for k in range(parts):
+        yield index(sorted((r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

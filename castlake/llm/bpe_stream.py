@@ -10,7 +10,7 @@ The longest such chain in the merge list, found in one pass over the list from i
 how far a change can reach. The transducer therefore keeps a window of symbols, encodes it, and emits the tokens that
 end at least that many symbols before the window's end: they are stable. Encoding goes on from there, since what BPE
 gives for a text that begins at a token's border is the rest of what it gives for the whole. A piece of any length is
-encoded in constant memory; pieces that fit a window are encoded at once and remembered in a table of bounded size.
+encoded in constant memory, and ids are hashed and decoded CHUNK at a time as they appear; pieces that fit a window are encoded at once and remembered in a table of bounded size.
 
 Decoding feeds ids one after another: a token's bytes go through a UTF-8 automaton that holds at most three pending
 bytes and gives U+FFFD for what is not UTF-8. As the vocabulary file names no decoder, the text is the tokens' names
@@ -31,6 +31,7 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -187,42 +188,58 @@ class Transducer:
         yield from self.merged(held)
 
     def piece(self, text: str) -> bytes:
-        """Ids of a piece as little-endian 32-bit integers."""
+        """Ids of a piece that fits a window, as little-endian 32-bit integers."""
         found = self.old.get(text)
         if found is None:
             raw = text.encode()
-            inner = self.inner
-            if len(raw) < self.window:
-                ids = [inner[b] for b in raw]
-                ids[-1] = self.last[raw[-1]]
-                ids = self.merged(ids)
-            else:
-                last = len(raw) - 1
-                ids = list(self.stream(inner[b] if i < last else self.last[b] for i, b in enumerate(raw)))
-                return np.array(ids, "<u4").tobytes()
-            found = b"".join([i.to_bytes(4, "little") for i in ids])
+            ids = [self.inner[b] for b in raw]
+            ids[-1] = self.last[raw[-1]]
+            found = b"".join([i.to_bytes(4, "little") for i in self.merged(ids)])
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
         self.young[text] = found
         return found
 
+    def _long(self, text: str) -> Iterator[bytes]:
+        """The same of a longer piece, by the transducer, CHUNK ids at a time."""
+        raw = text.encode()
+        last = len(raw) - 1
+        ids = self.stream(self.inner[b] if i < last else self.last[b] for i, b in enumerate(raw))
+        while part := list(islice(ids, CHUNK)):
+            yield np.array(part, "<u4").tobytes()
+
+    def chunks(self, text: str) -> Iterator[bytes]:
+        """A text's ids, some CHUNK at a time, as they become stable."""
+        for x in self.cut.split(text) if "<|" in text else (text,):
+            if x in self.special:
+                yield self.special[x].to_bytes(4, "little")
+            elif x:
+                yield from self._plain(x)
+
     def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            parts = self.cut.split(text)
-            return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._plain(x) for x in parts if x)
-        return self._plain(text)
+        return b"".join(self.chunks(text))
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> Iterator[bytes]:
         text = normalised(text)
-        out = []
+        cut = ASCII if text.isascii() else pattern()
+        out, size = [], 0
         get = self.young.get
-        for w in (ASCII if text.isascii() else pattern()).findall(text):
+        for w in cut.findall(text) if len(text) <= CHUNK else (m.group() for m in cut.finditer(text)):
             ids = get(w)
             if ids is None:
+                if len(w) * 4 >= self.window and len(w.encode()) >= self.window:
+                    yield b"".join(out)
+                    out, size = [], 0
+                    yield from self._long(w)
+                    continue
                 ids = self.piece(w)
                 get = self.young.get
             out.append(ids)
-        return b"".join(out)
+            size += len(ids)
+            if size >= 4 * CHUNK:
+                yield b"".join(out)
+                out, size = [], 0
+        yield b"".join(out)
 
 
 class Decoder:
@@ -281,14 +298,16 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 512)
                 n, sha, back = [], [], []
                 for text in part["text"].to_pylist():
-                    raw = enc.encode(text or "")
-                    n.append(len(raw) // 4)
-                    sha.append(hashlib.sha256(raw).hexdigest())
-                    h = hashlib.sha256()
+                    size, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
                     dec.reset()
-                    for k in range(0, len(raw), 4 * CHUNK):
-                        h.update(dec.feed(np.frombuffer(raw[k : k + 4 * CHUNK], "<u4").tolist(), k + 4 * CHUNK >= len(raw)).encode())
-                    back.append(h.hexdigest())
+                    for raw in enc.chunks(text or ""):
+                        size += len(raw) // 4
+                        ids.update(raw)
+                        decoded.update(dec.feed(np.frombuffer(raw, "<u4").tolist()).encode())
+                    decoded.update(dec.feed([], True).encode())
+                    n.append(size)
+                    sha.append(ids.hexdigest())
+                    back.append(decoded.hexdigest())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -84,6 +84,12 @@ def test_toxicity(spark, documents, odd, none):
     got = {r.doc_id: r.score for r in toxicity.score(odd, model).collect()}
     assert got[1] == got[2] == got[3] == 0 and got[10] >= 0.7 and all(0 <= x <= 1 for x in got.values())
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+    long = docs_of(spark, [(1, "Hello there, a calm line. " * 40_000, "en"), (2, "fine. " * 200_000, "en"), (3, "a calm line. " * 80_000 + "you idiot. ", "en")])
+    assert [r.score >= 0.7 for r in toxicity.score(long, model).orderBy("doc_id").collect()] == [False, False, True]
+    assert toxicity.fit(train, labels.where("toxic = 0")).weights.max() == 0  # no toxic label
+    assert all(r.score == 0 for r in toxicity.score(train, toxicity.fit(train, labels.where("toxic = 0"))).collect())
+    twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(0, 1)], "doc_id long, toxic int"))
+    assert toxicity.fit(train, twice).weights.max() > 0
     assert {r.doc_id for r in toxicity.kept(odd, model, 0.7).collect()} == {1, 2, 3, 4, 5, 6, 7, 8, 9, None, 11, 12}
 
 
@@ -448,7 +454,7 @@ def test_decontamination(spark, documents, odd, none):
         found = {(first + r, i): d for r, i, d, *_ in decontam.matches(ix, data, offs)}
         for k, t, i in rows[first : first + len(offs) - 1]:
             best = sellers(items[i], decontam.reduced_text(t))
-            assert found.get((k, i)) == (best if best <= ix.budget[ix.ids.index(i)] else None)
+            assert found.get((k, i)) == (best if best <= int(decontam.RATE * len(items[i])) else None)
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(documents, benchmark).collect()}
     assert got >= {(d, i) for d, t in texts(documents) for i, p in items.items() if p in decontam.reduced_text(t)}
     assert {r.doc_id for r in decontam.clean(documents, benchmark).collect()} == {d for d, _ in texts(documents)} - {d for d, _ in got}
@@ -485,7 +491,7 @@ def test_decontamination_of_capitals(spark):
         lambda t: t.upper()[: len(t) // 3] + "ЖЖЖЖЖЖЖЖЖЖ" + t[len(t) // 3 :],
     ]
     rows = [(10 * i + k, f"Avant… {f(t)} « après »") for i, t in items.items() for k, f in enumerate(change)]
-    small = lambda t: min(int(0.07 * len(t)), len(t) // 10 - 1)
+    small = lambda t: int(0.07 * len(t))
     want = {}
     for d, t in rows:
         for i, p in items.items():
@@ -511,8 +517,32 @@ def test_pipeline(spark, documents):
     lib = Tokenizer.from_file(queries.vocabulary_path("word_bpe_49k.json"))
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF).collect()}
     bad = {r.doc_id for r in queries.op1_toxicity(spark, SF).where("predicted = 1").collect()}
-    left = [(i, t) for i, t in texts(documents) if i not in bad and any(c.isalpha() for c in t)]
+    least = langid.least_score(queries.language_model(documents))
+    known = {r.doc_id for r in queries.op8_language_id(spark, SF).collect() if r.lang_pred != "und" and r.score >= least}
+    assert known == {i for i, t in texts(documents) if any(c.isalpha() for c in t)}  # no document with words is lost
+    left = [(i, t) for i, t in texts(documents) if i not in bad and i in known]
     groups = brute_components(left)
     left = [(i, t) for i, t in left if groups[i][1] == i]
     leaked = {r.doc_id for r in queries.op10_decontamination(spark, SF).collect()}
     assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in left if i not in leaked}
+
+
+def test_edit_budget_of_short_items(spark):
+    """Items whose budget leaves no long gram are searched by shorter ones; the budget is the documented share."""
+    rnd = random.Random(9)
+    items = {m: "".join(rnd.choice("abcdefghij") for _ in range(m)) for m in range(10, 61)}
+    change = lambda t, k: "".join(("z" if i in k else c) for i, c in enumerate(t))
+    rows = []
+    for m, t in items.items():
+        for edits in range(4):
+            rows.append((m * 10 + edits, "before " + change(t, set(rnd.sample(range(m), edits))) + " behind"))
+    schema = "long, text string"
+    out = decontam.contaminated(spark.createDataFrame(rows, f"doc_id {schema}"), spark.createDataFrame(list(items.items()), f"item_id {schema}"))
+    want = {}
+    for d, t in rows:
+        for m, p in items.items():
+            best = sellers(p, t)
+            if best <= int(0.07 * m):
+                want[d, m] = best
+    assert any(m in (15, 16, 17, 18, 19, 29) and x == int(0.07 * m) for (_, m), x in want.items())
+    assert {(r.doc_id, r.item_id): r.distance for r in out.collect()} == want

@@ -266,7 +266,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in blocks(batch["text"], 1 << 21):
+            for i, j, data, offs in blocks(batch["text"], 1 << 20):
                 lang, score, shares = _labelled(held.value, data, offs)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(lang, pa.string()), pa.array(score), pa.array([list(x.items()) for x in shares], pa.map_(pa.string(), pa.int64()))], names=["doc_id", "lang_pred", "score", "shares"])
 
@@ -288,7 +288,7 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep: list[bool] = []
-            for _, _, data, offs in blocks(batch["text"], 1 << 21):
+            for _, _, data, offs in blocks(batch["text"], 1 << 20):
                 lang, score, _ = _labelled(held.value, data, offs)
                 keep += [x != UND and s >= least_score(held.value) for x, s in zip(lang, score)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -22,7 +22,7 @@ whose slack meets no other's are left out: texts that share a passage but have m
 
 Equal sets are one class from the start. Classes that share a signature are candidates: each group is first joined as a
 star to its hub (the member of most groups) and verified exactly. In groups that then still hold several components
-the members of different components whose slacks meet are compared within a task, in large groups block by block, by
+the members of different components whose slacks meet are (groups of one hub together) compared within a task, in large groups block by block, by
 outlines that bound their difference from below, and what is left is verified the same. Signatures that many sets share
 are dealt over all tasks, never gathered; a signature that no task has seen LOCAL_HEAVY times among FLUSH, or that is
 rarer than the HEAVY commonest, is gathered as 13 bytes a set.
@@ -393,7 +393,7 @@ def _verified(percent: int):
     return run
 
 
-MEMBER = ("cls", "comp", "slack", "hub", "n", "side")
+MEMBER = ("cls", "comp", "slack", "hub", "n", "side")  # in the order of NARROW
 NARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("gid", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("cls", pa.int64()), ("comp", pa.int64()), ("slack", pa.int32()), ("hub", pa.int64()), ("n", pa.int64()), ("side", pa.bool_())])
 NARROW_DDL = "a long, b long, n_a long, n_b long, gid long, i long, j long, cls long, comp long, slack int, hub long, n long, side boolean"
 FEW = 4  # pairs of a run to each of its members, up to which the pairs are named
@@ -532,23 +532,23 @@ def _grouped(docs: DataFrame, found: DataFrame, under: str) -> DataFrame:
 
 
 def _candidates(groups: DataFrame, under: str) -> tuple[DataFrame, DataFrame]:
-    """Members of groups (gid, cls, slack, hub) whose slacks meet another's, and pairs (a, b): groups of two, and members with
-    their hubs."""
+    """Members (gid, cls, slack) whose slacks meet another's, and pairs (a, b): groups of two, and members with their hubs.
+    Groups of one hub are taken as one from here on (gid is the hub): they share most members."""
     members = stored(groups.where("gid is not null").groupBy("gid", F.col("a").alias("cls")).agg(F.max("slack").cast("int").alias("slack")), "members", under)
     # the hub of a group is the member of most groups: an original shares more with each copy than two copies do
     weights = members.groupBy("cls").agg(F.count("*").alias("w"))
     hubs = members.join(weights, "cls").groupBy("gid").agg(F.max(F.struct("w", "cls")).alias("hub"), F.max(F.struct("slack", "cls")).alias("top"))
-    placed = members.join(hubs, "gid").where("cls = top.cls or slack + top.slack >= 0").select("gid", "cls", "slack", F.col("hub.cls").alias("hub"))
+    placed = members.join(hubs, "gid").where("cls = top.cls or slack + top.slack >= 0").groupBy(F.col("hub.cls").alias("gid"), "cls").agg(F.max("slack").alias("slack"))
     placed = stored(placed, "placed", under)
-    stars = placed.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    stars = placed.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
     pairs = groups.where("gid is null").select("a", "b").unionByName(stars)
     return placed, stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", under)
 
 
 def _open(members: DataFrame, comp: DataFrame, classes: DataFrame, under: str) -> DataFrame:
-    """gid, cls, slack, hub, comp, n and g (the group's open members) of members whose slack meets that of a member of
+    """gid, cls, slack, comp, n and g (the group's open members) of members whose slack meets that of a member of
     another component."""
-    placed = members.join(comp, F.col("cls") == F.col("v"), "left").select("gid", "cls", "slack", "hub", F.coalesce("comp", "cls").alias("comp"))
+    placed = members.join(comp, F.col("cls") == F.col("v"), "left").select("gid", "cls", "slack", F.coalesce("comp", "cls").alias("comp"))
     placed = stored(placed.join(classes.select("cls", "n"), "cls"), "placed", under)
     each = placed.groupBy("gid", "comp").agg(F.max("slack").alias("s"))
     top = each.groupBy("gid").agg(F.max(F.struct("s", "comp")).alias("t"), F.count("*").alias("comps")).where("comps > 1")
@@ -572,7 +572,7 @@ def _rest(members: DataFrame, comp: DataFrame, classes: DataFrame, outlines: Dat
     open_ = open_.withColumn("blocks", F.ceil(F.col("g") / BLOCK)).withColumn("at", F.pmod(F.xxhash64("cls", "gid"), "blocks"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other"), "side": F.col("at") > F.col("other")})
     key = ["gid", "i", "j"]
-    runs = open_.select(*key, *MEMBER).repartition(parts, *key).sortWithinPartitions(*key)
+    runs = open_.withColumn("hub", F.col("gid")).select(*key, *MEMBER).repartition(parts, *key).sortWithinPartitions(*key)
     narrow = stored(runs.mapInArrow(_narrowed(PERCENT), NARROW_DDL), "narrow", under)
     few = narrow.where("a is not null").select("a", "b", "n_a", "n_b").distinct().join(pairs, ["a", "b"], "left_anti")
     key = [*key, "band"]

@@ -28,6 +28,8 @@ def ready(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     for k, v in WORKERS.items():
         env.setdefault(k, v)
+    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:  # of a batch for a worker; has no influence on results
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     return spark
 
 
@@ -46,16 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
     """df written as a table in the shared folder (or one below it) and read again: cuts the lineage, and survives lost
-    executors. Python workers get batches of BATCH_BYTES at most meanwhile."""
+    executors."""
     spark = df.sparkSession
     path = f"{under or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(BATCH_BYTES))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
+    df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

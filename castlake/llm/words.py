@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-LIMIT = 1 << 20
+LIMIT = 1 << 19
 
 #: ASCII white space: x20 and x09 to x0D.
 SPACE = np.zeros(256, bool)

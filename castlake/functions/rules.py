@@ -307,9 +307,10 @@ def percent(ms: Column, duration: Column, frame: Column, frames: Column) -> Colu
 
 def log_summary(lines: Column) -> Column:
     """The last line that says something, else the last that is not empty."""
-    trimmed = F.transform(lines, lambda x: F.trim(x))
+    bare = lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")
+    trimmed = F.transform(lines, bare)
     telling = F.filter(trimmed, lambda x: (F.octet_length(x) >= 6) & ~any_of([x.startswith(b) for b in BORING_LINES]))
-    return F.coalesce(F.try_element_at(telling, F.lit(-1)), F.trim(F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(-1))))
+    return F.coalesce(F.try_element_at(telling, F.lit(-1)), bare(F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(-1))))
 
 
 def json_strings(text: Column) -> Column:

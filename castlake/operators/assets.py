@@ -43,6 +43,12 @@ def batch(assets: DataFrame, uuids: list[str]) -> DataFrame:
     return active(assets).where(F.col("uuid").isin(uuids))
 
 
+def by_key(assets: DataFrame, uuids: list[str]) -> DataFrame:
+    """One row: a map from uuid to the asset, of the active ones of a batch (500 at most)."""
+    found = batch(assets, uuids)
+    return found.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("uuid").alias("key"), F.struct(*found.columns).alias("value"))))).alias("assets"))
+
+
 MODES = {
     "master": lambda: ~R.is_subclip() & F.col("deleted_at").isNull(),
     "subclip": lambda: R.is_subclip() & F.col("deleted_at").isNull(),
@@ -54,7 +60,8 @@ MODES = {
 
 
 def mode(name: str) -> Column:
-    """The predicate of a filter mode; an unknown one lets all through."""
+    """The predicate of a filter mode, A-Z without case; an unknown one lets all through."""
+    name = name.strip().translate(str.maketrans(R.UPPER, R.LOWER))
     return MODES[name]() if name in MODES else F.lit(True)
 
 
@@ -67,10 +74,12 @@ def matches(term: str, *columns: str) -> Column:
 
 
 def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int | None = None) -> DataFrame:
-    """A page of df in that order, with the number of all rows beside each of its own. limit: 1 to 100."""
+    """A page of df in that order, with the number of all rows beside each of its own; behind the end, one row of nulls
+    with that number. limit: 1 to 100."""
     limit = min(max(PAGE if limit is None else limit, 1), MOST)
     total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).offset(max(offset or 0, 0)).limit(limit).join(total)
+    rows = df.orderBy(*order).offset(max(offset or 0, 0)).limit(limit)
+    return total.join(rows, F.lit(True), "left").select(*df.columns, "total")
 
 
 def viewer(assets: DataFrame, filter_mode: str = "all", search: str = "", limit: int | None = None, offset: int | None = None) -> DataFrame:

@@ -11,10 +11,22 @@ from .assets import matches, page
 KEPT = 500
 
 
-def by_state(jobs: DataFrame, name: str, search: str = "") -> DataFrame:
-    """By state or phase, without case."""
-    low = name.lower()
-    return jobs.where((F.lower("state") == low) | (F.lower("phase") == low)).where(matches(search, "id", "uuid", "input_path", "error"))
+def by_state(jobs: DataFrame, name: str = "", search: str = "") -> DataFrame:
+    """By state or phase, A-Z without case; all where the name is empty or "all". The search covers the paths and the error."""
+    low = name.strip().translate(str.maketrans(R.UPPER, R.LOWER))
+    if low and low != "all":
+        jobs = jobs.where((R.ascii_lower(F.col("state")) == low) | (R.ascii_lower(F.col("phase")) == low))
+    return jobs.where(matches(search, *(c for c in ("id", "uuid", "input_path", "output_path", "error") if c in jobs.columns)))
+
+
+def by_id(jobs: DataFrame, job: str) -> DataFrame:
+    return jobs.where(F.col("id") == job)
+
+
+def in_state(jobs: DataFrame, state: str) -> DataFrame:
+    """Active jobs as they were added; ended ones with the last to finish first, those without a time behind them."""
+    found = jobs.where(F.col("state") == state)
+    return found.orderBy("created_at", "id") if state == "Processing" else found.orderBy(F.desc_nulls_last("finished_at"), "id")
 
 
 def recent(jobs: DataFrame) -> DataFrame:
@@ -26,7 +38,7 @@ def pending(jobs: DataFrame) -> DataFrame:
 
 
 def viewer(jobs: DataFrame, name: str = "", search: str = "", limit: int | None = None, offset: int | None = None) -> DataFrame:
-    rows = by_state(jobs, name, search) if name else jobs.where(matches(search, "id", "uuid", "input_path", "error"))
+    rows = by_state(jobs, name, search)
     return page(rows.withColumn("input_name", R.basename(F.col("input_path"))), [F.desc("created_at"), F.asc("id")], limit, offset)
 
 
@@ -41,16 +53,26 @@ def newest(jobs: DataFrame, n: int = KEPT) -> DataFrame:
 
 
 def claimed(jobs: DataFrame, worker: str, now: Column, lease_secs: int) -> DataFrame:
-    """jobs, the oldest claimable of which (pending, or processing with a lease that is over) has worker and lease."""
-    open_ = jobs.where((F.col("state") == "Pending") | ((F.col("state") == "Processing") & (F.col("leased_until") < now)))
+    """jobs, the oldest claimable of which (pending and queued, or processing with a lease that is over) has worker and lease."""
+    open_ = jobs.where(((F.col("state") == "Pending") & (F.col("phase") == "queued")) | ((F.col("state") == "Processing") & (F.col("leased_until") < now)))
     first = open_.orderBy("created_at", "id").limit(1).select("id", F.lit(True).alias("_mine"))
     mine = F.col("_mine").isNotNull()
-    return jobs.join(F.broadcast(first), "id", "left").withColumns({
-        "state": F.when(mine, "Processing").otherwise(F.col("state")),
-        "phase": F.when(mine, "probing").otherwise(F.col("phase")),
-        "worker_id": F.when(mine, worker).otherwise(F.col("worker_id")),
-        "leased_until": F.when(mine, now + F.expr(f"INTERVAL {lease_secs} SECONDS")).otherwise(F.col("leased_until")),
-    }).drop("_mine")
+    values = {
+        "state": F.lit("Processing"),
+        "phase": F.lit("probing"),
+        "current_stage": F.lit("Claimed by worker"),
+        "worker_id": F.lit(worker),
+        "leased_until": now + F.expr(f"INTERVAL {lease_secs} SECONDS"),
+        "heartbeat_at": now,
+        "started_at": F.coalesce("started_at", now),
+    }
+    return jobs.join(F.broadcast(first), "id", "left").withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in values.items()}).drop("_mine")
+
+
+def heartbeat(jobs: DataFrame, worker: str, now: Column, lease_secs: int) -> DataFrame:
+    """The leases of a worker's jobs go on, but for those whose cancelling was asked for."""
+    hit = (F.col("worker_id") == worker) & ~F.col("cancel_requested")
+    return jobs.withColumns({"leased_until": F.when(hit, now + F.expr(f"INTERVAL {lease_secs} SECONDS")).otherwise(F.col("leased_until")), "heartbeat_at": F.when(hit, now).otherwise(F.col("heartbeat_at"))})
 
 
 def cancelled(jobs: DataFrame, which: Column) -> DataFrame:
@@ -64,15 +86,35 @@ def cancelled(jobs: DataFrame, which: Column) -> DataFrame:
     })
 
 
-def recovered(jobs: DataFrame) -> DataFrame:
+def recovered(jobs: DataFrame, now: Column) -> DataFrame:
     """After a crash: processing jobs are queued for another attempt while there is one, else failed."""
     lost = F.col("state") == "Processing"
     again = lost & (F.col("attempt") < F.col("max_attempts"))
-    return jobs.withColumns({
-        "state": F.when(again, "Pending").when(lost, "Failed").otherwise(F.col("state")),
-        "phase": F.when(again, "queued").when(lost, "failed").otherwise(F.col("phase")),
-        "attempt": F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt")),
-    })
+    values = {
+        "state": (F.lit("Pending"), F.lit("Failed")),
+        "phase": (F.lit("queued"), F.lit("failed")),
+        "current_stage": (F.lit("Re-queued (stale crash recovery)"), F.lit("Failed")),
+        "error": (F.col("error"), F.lit("Worker crashed or lease expired (attempts exhausted)")),
+        "error_category": (F.col("error_category"), F.lit("lease_expired")),
+        "worker_id": (F.lit(None), F.lit(None)),
+        "leased_until": (F.lit(None), F.lit(None)),
+        "heartbeat_at": (F.lit(None), F.col("heartbeat_at")),
+        "attempt": (F.col("attempt") + 1, F.col("attempt")),
+        "finished_at": (F.col("finished_at"), now),
+    }
+    return jobs.withColumns({c: F.when(again, queued).when(lost, failed).otherwise(F.col(c)) for c, (queued, failed) in values.items()})
+
+
+def recovery_counts(jobs: DataFrame) -> DataFrame:
+    """How many jobs recovered() queues again, and how many it fails."""
+    lost, again = F.col("state") == "Processing", F.col("attempt") < F.col("max_attempts")
+    return jobs.agg(F.count_if(lost & again).alias("requeued"), F.count_if(lost & ~again).alias("failed_exhausted"))
+
+
+def valid_states(jobs: DataFrame) -> DataFrame:
+    """States and phases that are not known are Pending and queued."""
+    phases = [p for ps in R.PHASES_OF.values() for p in ps]
+    return jobs.withColumns({"state": F.when(F.col("state").isin(list(R.PHASES_OF)), F.col("state")).otherwise("Pending"), "phase": F.when(F.col("phase").isin(phases), F.col("phase")).otherwise("queued")})
 
 
 def upserted(jobs: DataFrame, changes: DataFrame) -> DataFrame:

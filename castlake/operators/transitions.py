@@ -50,8 +50,8 @@ def trashed_folder(assets: DataFrame, root: str, now: Column) -> DataFrame:
 
 
 def restored(assets: DataFrame, which: Column, target: str | None = None) -> DataFrame:
-    """To target (to / if that is no folder), else to where it was."""
-    home = F.coalesce("original_virtual_folder", "virtual_folder")
+    """To target (to / if that is no folder), else to where it was (to / if that is not known)."""
+    home = F.coalesce("original_virtual_folder", F.lit("/"))
     if target is not None:
         home = F.when(R.valid_folder(F.lit(target)), F.lit(target)).otherwise("/")
     return _set(assets, which & F.col("deleted_at").isNotNull(), {"virtual_folder": home, "deleted_at": F.lit(None).cast(assets.schema["deleted_at"].dataType), "original_virtual_folder": F.lit(None).cast("string")})
@@ -72,6 +72,12 @@ def purge_report(assets: DataFrame, which: Column) -> DataFrame:
     return gone.join(left, "current_path", "left").select("uuid", "current_path", F.col("_kept").isNull().alias("file_removed"))
 
 
+def in_either_folder(root: str) -> Column:
+    """Trashed rows that come from the folder, or are in it; the root / holds all."""
+    either = F.coalesce(R.in_folder(F.col("original_virtual_folder"), root), F.lit(False)) | F.coalesce(R.in_folder(F.col("virtual_folder"), root), F.lit(False))
+    return F.col("deleted_at").isNotNull() & either
+
+
 def purge_totals(report: DataFrame, operation: str) -> DataFrame:
     return report.agg(F.count("*").alias("rows_deleted"), F.coalesce(F.bool_or("file_removed"), F.lit(False)).alias("media_removed"), F.count_if(~F.col("file_removed")).alias("skipped_referenced")).withColumn("operation", F.lit(operation))
 
@@ -87,7 +93,7 @@ def recolored(colors: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def recovery_outcome(errors: DataFrame, sources: DataFrame, listing: DataFrame) -> DataFrame:
-    """Failed assets: purged when their source waits in the watch folder or their file is gone, else kept. sources:
+    """Failed assets, and those of a lost run: purged when their source waits in the watch folder or their file is gone, else kept. sources:
     fingerprint of waiting files; listing: path of files that exist."""
     s = sources.select(F.col("fingerprint").alias("_f")).distinct()
     there = listing.select(F.col("path").alias("_path")).distinct()

@@ -136,16 +136,42 @@ registered("m16_purge_bin", PURGE % (("deleted_at IS NOT NULL",) * 2), ASSETS)(l
 OLD = f"(deleted_at IS NOT NULL AND deleted_at <= {NOW} - INTERVAL 14 DAY)"
 registered("m17_retention", PURGE % (OLD, OLD), ASSETS)(lambda a: T.purge_report(a, F.coalesce(T.expired(14, now()), F.lit(False))))
 registered("a06_purge_totals", "SELECT COUNT(*) AS rows_deleted, bool_or(file_removed) AS media_removed, COUNT(*) FILTER (NOT file_removed) AS skipped_referenced, 'empty_bin' AS operation FROM (" + PURGE % (("deleted_at IS NOT NULL",) * 2) + ")", ASSETS)(lambda a: T.purge_totals(T.purge_report(a, F.col("deleted_at").isNotNull()), "empty_bin"))
-registered("m19_claim", f"SELECT id, CASE WHEN h THEN 'Processing' ELSE state END AS state, CASE WHEN h THEN 'probing' ELSE phase END AS phase, CASE WHEN h THEN 'w1' END AS worker_id FROM (SELECT *, id = (SELECT id FROM transcode_jobs WHERE state = 'Pending' ORDER BY created_at, id LIMIT 1) AS h FROM transcode_jobs)", JOBS)(
-    lambda j: J.claimed(j.withColumns({"worker_id": F.lit(None).cast("string"), "leased_until": F.lit(None).cast("timestamp_ntz")}), "w1", now(), 10).select("id", "state", "phase", "worker_id")
+JLEASE = "id, state, phase, current_stage, error, error_category, worker_id, leased_until, heartbeat_at, started_at, finished_at, attempt"
+LATE = "TIMESTAMP '1997-06-01 00:00:00'"
+registered("m19_claim", f"SELECT * EXCLUDE (h) REPLACE (CASE WHEN h THEN 'Processing' ELSE state END AS state, CASE WHEN h THEN 'probing' ELSE phase END AS phase, CASE WHEN h THEN 'Claimed by worker' ELSE current_stage END AS current_stage, CASE WHEN h THEN 'w1' ELSE worker_id END AS worker_id, CASE WHEN h THEN {NOW} + INTERVAL 10 SECONDS ELSE leased_until END AS leased_until, CASE WHEN h THEN {NOW} ELSE heartbeat_at END AS heartbeat_at, CASE WHEN h THEN coalesce(started_at, {NOW}) ELSE started_at END AS started_at) FROM (SELECT {JLEASE}, id = (SELECT id FROM transcode_jobs WHERE state = 'Pending' AND phase = 'queued' OR state = 'Processing' AND leased_until IS NOT NULL AND leased_until < {NOW} ORDER BY created_at, id LIMIT 1) AS h FROM transcode_jobs)", JOBS)(
+    lambda j: J.claimed(j, "w1", now(), 10).select(JLEASE.split(", "))
 )
+registered("m20_heartbeat", f"SELECT id, CASE WHEN worker_id = 'w1' AND NOT cancel_requested THEN {NOW} + INTERVAL 10 SECONDS ELSE leased_until END AS leased_until, CASE WHEN worker_id = 'w1' AND NOT cancel_requested THEN {NOW} ELSE heartbeat_at END AS heartbeat_at FROM transcode_jobs", JOBS)(lambda j: J.heartbeat(j, "w1", now(), 10).select("id", "leased_until", "heartbeat_at"))
 registered("m21_cancel", "SELECT id, CASE WHEN h AND phase = 'queued' THEN 'Cancelled' ELSE state END AS state, CASE WHEN h AND phase = 'queued' THEN 'cancelled' WHEN h THEN 'cancel_requested' ELSE phase END AS phase FROM (SELECT *, fingerprint % 2 = 0 AND phase NOT IN ('completed', 'failed', 'cancelled') AS h FROM transcode_jobs)", JOBS)(lambda j: J.cancelled(j, F.col("fingerprint") % 2 == 0).select("id", "state", "phase"))
-registered("m22_recover", "SELECT id, CASE WHEN state = 'Processing' THEN CASE WHEN attempt < max_attempts THEN 'Pending' ELSE 'Failed' END ELSE state END AS state, CASE WHEN state = 'Processing' THEN CASE WHEN attempt < max_attempts THEN 'queued' ELSE 'failed' END ELSE phase END AS phase, CASE WHEN state = 'Processing' AND attempt < max_attempts THEN attempt + 1 ELSE attempt END AS attempt FROM transcode_jobs", JOBS)(lambda j: J.recovered(j).select("id", "state", "phase", "attempt"))
-registered("m23_recovery_sweep", "SELECT outcome, COUNT(*) AS n FROM (SELECT CASE WHEN fingerprint IN (SELECT fingerprint FROM transcode_jobs WHERE state = 'Pending') THEN 'purged_source_waiting' WHEN current_path NOT IN (SELECT current_path FROM media_assets WHERE status = 'ready') THEN 'purged_missing' ELSE 'kept' END AS outcome FROM media_assets WHERE status = 'error') GROUP BY outcome", ASSETS, JOBS)(
-    lambda a, j: T.recovery_outcome(a.where("status = 'error'"), j.where("state = 'Pending'"), a.where("status = 'ready'").select(F.col("current_path").alias("path"))).groupBy("outcome").agg(F.count("*").alias("n"))
+registered("m22_recover", f"SELECT id, CASE WHEN q THEN 'Pending' WHEN f THEN 'Failed' ELSE state END AS state, CASE WHEN q THEN 'queued' WHEN f THEN 'failed' ELSE phase END AS phase, CASE WHEN q THEN 'Re-queued (stale crash recovery)' WHEN f THEN 'Failed' ELSE current_stage END AS current_stage, CASE WHEN f THEN 'Worker crashed or lease expired (attempts exhausted)' ELSE error END AS error, CASE WHEN f THEN 'lease_expired' ELSE error_category END AS error_category, CASE WHEN NOT (q OR f) THEN worker_id END AS worker_id, CASE WHEN NOT (q OR f) THEN leased_until END AS leased_until, CASE WHEN NOT q THEN heartbeat_at END AS heartbeat_at, started_at, CASE WHEN f THEN {NOW} ELSE finished_at END AS finished_at, CASE WHEN q THEN attempt + 1 ELSE attempt END AS attempt FROM (SELECT *, state = 'Processing' AND attempt < max_attempts AS q, state = 'Processing' AND attempt >= max_attempts AS f FROM transcode_jobs)", JOBS)(lambda j: J.recovered(j, now()).select(JLEASE.split(", ")))
+registered("m22_counts", "SELECT COUNT(*) FILTER (attempt < max_attempts) AS requeued, COUNT(*) FILTER (attempt >= max_attempts) AS failed_exhausted FROM transcode_jobs WHERE state = 'Processing'", JOBS)(J.recovery_counts)
+registered("m23_recovery_sweep", "SELECT outcome, COUNT(*) AS n FROM (SELECT CASE WHEN fingerprint IN (SELECT fingerprint FROM transcode_jobs WHERE state = 'Pending') THEN 'purged_source_waiting' WHEN current_path NOT IN (SELECT current_path FROM media_assets WHERE status = 'ready') THEN 'purged_missing' ELSE 'kept' END AS outcome FROM media_assets WHERE status IN ('error', 'processing')) GROUP BY outcome", ASSETS, JOBS)(
+    lambda a, j: T.recovery_outcome(a.where("status IN ('error', 'processing')"), j.where("state = 'Pending'"), a.where("status = 'ready'").select(F.col("current_path").alias("path"))).groupBy("outcome").agg(F.count("*").alias("n"))
 )
 registered("m24_open", "SELECT uuid, CASE WHEN status = 'processing' THEN 'error' ELSE status END AS status, 'c' || CAST(fingerprint AS STRING) AS display_name FROM media_assets", ASSETS)(lambda a: T.opened(a.withColumn("display_name", F.lit(""))).select("uuid", "status", "display_name"))
 
+registered("m12_restore_home", f"SELECT * EXCLUDE (h) REPLACE (CASE WHEN h THEN coalesce(original_virtual_folder, '/') ELSE virtual_folder END AS virtual_folder, CASE WHEN h THEN NULL ELSE original_virtual_folder END AS original_virtual_folder, CASE WHEN h THEN NULL ELSE deleted_at END AS deleted_at) FROM (SELECT * REPLACE (CASE WHEN fingerprint % 2 = 0 THEN original_virtual_folder END AS original_virtual_folder), deleted_at IS NOT NULL AND rating = '8' AS h FROM (SELECT {COLS} FROM media_assets))", ASSETS)(
+    lambda a: T.restored(a.withColumn("original_virtual_folder", F.when(F.col("fingerprint") % 2 == 0, F.col("original_virtual_folder"))), F.col("rating") == "8").select(CORE)
+)
+registered("m13_restore_all_to_root", f"SELECT * EXCLUDE (h) REPLACE (CASE WHEN h THEN '/' ELSE virtual_folder END AS virtual_folder, CASE WHEN h THEN NULL ELSE original_virtual_folder END AS original_virtual_folder, CASE WHEN h THEN NULL ELSE deleted_at END AS deleted_at) FROM (SELECT {COLS}, deleted_at IS NOT NULL AS h FROM media_assets)", ASSETS)(lambda a: T.restored_folder(a, "/", to_root=True).select(CORE))
+ONE = "(uuid = 'a000000000039')"
+registered("m14_purge_one", PURGE % ((ONE,) * 2), ASSETS)(lambda a: T.purge_report(a, F.col("uuid") == "a000000000039"))
+EITHER = f"(deleted_at IS NOT NULL AND (coalesce(original_virtual_folder = '/HIGH' OR starts_with(lower(original_virtual_folder), '/high/'), false) OR {IN_HIGH}))"
+registered("m15_purge_folder", PURGE % ((EITHER,) * 2), ASSETS)(lambda a: T.purge_report(a, T.in_either_folder("/HIGH/")))
+registered("m15_purge_folder_totals", "SELECT COUNT(*) AS rows_deleted, coalesce(bool_or(file_removed), false) AS media_removed, COUNT(*) FILTER (NOT file_removed) AS skipped_referenced, 'purge_folder' AS operation FROM (" + PURGE % ((EITHER,) * 2) + ")", ASSETS)(lambda a: T.purge_totals(T.purge_report(a, T.in_either_folder("/HIGH")), "purge_folder"))
+
+# views of the jobs
+registered("v01_job", f"SELECT {JCOLS} FROM transcode_jobs WHERE id = 'j000000000007'", JOBS)(lambda j: J.by_id(j, "j000000000007").select(JCORE))
+registered("v02_recent_jobs", f"SELECT {JCOLS} FROM transcode_jobs ORDER BY created_at DESC, id", JOBS)(lambda j: J.recent(j).select(JCORE))
+for v, name in {"v04_active": "Processing", "v05_completed": "Completed", "v05_failed": "Failed", "v05_cancelled": "Cancelled"}.items():
+    registered(f"{v}_jobs", f"SELECT {JCOLS}, finished_at FROM transcode_jobs WHERE state = '{name}'", JOBS)(lambda j, name=name: J.in_state(j, name).select(*JCORE, "finished_at"))
+registered("v07_all_jobs_of_output", f"WITH f AS (SELECT {JCOLS}, output_path, regexp_extract(input_path, '[^/]*$') AS input_name FROM transcode_jobs WHERE contains(lower(output_path), '/o1')) SELECT *, (SELECT COUNT(*) FROM f) AS total FROM f ORDER BY created_at DESC, id LIMIT 25", JOBS)(lambda j: J.viewer(j.select(*JCORE, "output_path"), "All", " /O1"))
+registered("v06_behind_the_end", "SELECT NULL::VARCHAR AS uuid, (SELECT COUNT(*) FROM media_assets WHERE deleted_at IS NOT NULL) AS total", ASSETS)(lambda a: A.viewer(a, " Trashed ", "", 10, 10_000_000).select("uuid", "total"))
+for m, test in {"READY": "status = 'ready' AND deleted_at IS NULL", "Processing": "status = 'processing' AND deleted_at IS NULL", "error": "status = 'error' AND deleted_at IS NULL"}.items():
+    registered(f"f04_mode_{m.lower()}", f"SELECT uuid FROM media_assets WHERE {test}", ASSETS)(lambda a, m=m: a.where(A.mode(m)).select("uuid"))
+registered("f10_valid_states", "SELECT id, CASE WHEN state = 'Failed' THEN 'Pending' ELSE state END AS state, CASE WHEN state = 'Failed' THEN 'queued' ELSE phase END AS phase FROM transcode_jobs", JOBS)(lambda j: J.valid_states(j.withColumns({"state": F.when(F.col("state") == "Failed", "broken").otherwise(F.col("state")), "phase": F.when(F.col("state") == "Failed", "no phase").otherwise(F.col("phase"))})).select("id", "state", "phase"))
+registered("j06_batch_map", "SELECT list(uuid ORDER BY uuid) AS uuids FROM media_assets WHERE deleted_at IS NULL AND uuid IN ('a000000000036', 'a000000000002', 'a000000000007')", ASSETS)(lambda a: A.by_key(a, ["a000000000036", "a000000000002", "a000000000007"]).select(F.map_keys("assets").alias("uuids")))
+
 # rules on grids of the driver's rows
 registered("x01_snap", "SELECT event_id, CASE WHEN den <= 0 THEN 25 WHEN abs(f - 29.97) < 0.05 THEN 30000 WHEN abs(f - 23.976) < 0.05 THEN 24000 WHEN abs(f - 59.94) < 0.05 THEN 60000 WHEN abs(f - 25.0) < 0.05 THEN 25 WHEN abs(f - 50.0) < 0.05 THEN 50 WHEN abs(f - 30.0) < 0.05 THEN 30 WHEN abs(f - 60.0) < 0.05 THEN 60 WHEN abs(f - 24.0) < 0.05 THEN 24 ELSE num END AS fps_num, CASE WHEN den <= 0 THEN 1 WHEN abs(f - 29.97) < 0.05 OR abs(f - 23.976) < 0.05 OR abs(f - 59.94) < 0.05 THEN 1001 WHEN abs(f - 25.0) < 0.05 OR abs(f - 50.0) < 0.05 OR abs(f - 30.0) < 0.05 OR abs(f - 60.0) < 0.05 OR abs(f - 24.0) < 0.05 THEN 1 ELSE den END AS fps_den FROM (SELECT *, CAST(num AS DOUBLE) / CAST(nullif(den, 0) AS DOUBLE) AS f FROM (SELECT event_id, event_id % 6100 + 10 AS num, (event_id % 3) * 50 AS den FROM events))")(
     lambda spark, sf: (lambda d: d.select("event_id", *(c.alias(n) for c, n in zip(R.snapped(F.col("num"), F.col("den")), ("fps_num", "fps_den")))))(table(spark, sf, "events").select("event_id", (F.col("event_id") % 6100 + 10).alias("num"), (F.col("event_id") % 3 * 50).alias("den")))
@@ -223,7 +249,14 @@ def job_phases(spark: SparkSession, sf: str) -> DataFrame:
     return S.job_phases(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), phase.alias("phase")))
 
 
-@registered("t01_settled")
+SETTLED = """WITH RECURSIVE t AS (SELECT '/in/' || CAST(user_id AS VARCHAR) AS path, CAST(event_id % 2 AS BIGINT) AS size, event_id AS now, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT DISTINCT path, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS polls, CAST(NULL AS BIGINT) AS sent_size, false AS sent FROM t
+ UNION ALL SELECT path, tk, tsize, n, CASE WHEN go THEN tsize ELSE sent_size END, go FROM (SELECT *, n >= 2 AND now >= 5 AND sent_size IS DISTINCT FROM tsize AS go FROM (
+  SELECT s.path, s.sent_size, t.k AS tk, t.size AS tsize, t.now, CASE WHEN t.size > s.size THEN 0 WHEN t.size = s.size THEN s.polls + 1 ELSE 1 END AS n FROM s JOIN t ON t.path = s.path AND t.k = s.k + 1)))
+SELECT path, size, CAST(0 AS BIGINT) AS mtime, polls FROM s WHERE sent"""
+
+
+@registered("t01_settled", SETTLED)
 def settled(spark: SparkSession, sf: str) -> DataFrame:
     """Events taken as polls of a file per user."""
     e = table(spark, sf, "events")

@@ -27,6 +27,12 @@ SELECT 'j' || lpad(CAST(event_id AS STRING), 12, '0') AS id, 'a' || lpad(CAST(ev
  CASE event_type WHEN 'signup' THEN 'Pending' WHEN 'view' THEN 'Processing' WHEN 'purchase' THEN 'Completed' WHEN 'error' THEN 'Failed' ELSE 'Cancelled' END AS state,
  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'encoding' ELSE 'probing' END WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS phase,
  CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'Probe: no such file or directory' WHEN 1 THEN 'ffmpeg exited with code 1' WHEN 2 THEN 'file locked (os error 32)' ELSE 'Job cancelled by user' END END AS error,
+ CASE WHEN event_type = 'purchase' THEN '/target/videos/o' || CAST(event_id AS STRING) || '.mp4' END AS output_path,
+ CASE WHEN event_type = 'view' THEN 'encoding' END AS current_stage, CAST(NULL AS STRING) AS error_category,
+ CASE WHEN event_type = 'view' THEN 'w' || CAST(event_id % 3 AS STRING) END AS worker_id, event_type = 'view' AND event_id % 7 = 0 AS cancel_requested,
+ CASE WHEN event_type = 'view' AND event_id % 4 <> 0 THEN ts + INTERVAL 10 SECONDS END AS leased_until,
+ CASE WHEN event_type = 'view' THEN ts END AS heartbeat_at, CASE WHEN event_type = 'view' THEN ts END AS started_at,
+ CASE WHEN event_type NOT IN ('signup', 'view') AND event_id % 5 <> 0 THEN ts + INTERVAL 60 SECONDS END AS finished_at,
  ts AS created_at, CAST(event_id % 3 + 1 AS BIGINT) AS attempt, CAST(2 AS BIGINT) AS max_attempts, value AS duration_secs
 FROM events"""
 

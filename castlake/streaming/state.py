@@ -17,15 +17,17 @@ from ..functions.rules import NEXT_PHASES
 
 SETTLED = "path string, size long, mtime long, polls long"
 SETTLE_STATE = "size long, mtime long, polls long, sent_size long, sent_mtime long"
+UNSEEN = (0, 0, 0, None, None)
 TICKS = "key long, at_ms long, percent double"
 PHASES = "id string, phase string, applied long, rejected long, started long, finished long"
 
 
 def settle(state: tuple, size: int, mtime: int, now: int, polls: int, settle_secs: int) -> tuple[tuple, bool]:
     """One poll of a file: growth starts anew without counting, equal size and mtime counts one up, else counts from one.
-    Sent once for each (size, mtime), when it was seen often enough and is old enough."""
+    A file begins with size 0, so its first sight is growth. Sent once for each (size, mtime), when it was seen often
+    enough and is old enough."""
     last_size, last_mtime, n, sent_size, sent_mtime = state
-    if last_size is not None and size > last_size:
+    if size > last_size:
         return (size, mtime, 0, sent_size, sent_mtime), False
     n = n + 1 if (size, mtime) == (last_size, last_mtime) else 1
     send = n >= polls and now - mtime >= settle_secs and (size, mtime) != (sent_size, sent_mtime)
@@ -39,7 +41,7 @@ def settled_stream(listing: DataFrame, polls: int = 2, settle_secs: int = 5) ->
         if state.hasTimedOut:
             state.remove()
             return
-        held = state.get if state.exists else (None, None, 0, None, None)
+        held = state.get if state.exists else UNSEEN
         out = []
         for row in pd.concat(list(parts)).sort_values("now").itertuples():
             held, send = settle(held, int(row.size_), int(row.mtime), int(row.now), polls, settle_secs)
@@ -54,7 +56,7 @@ def settled_stream(listing: DataFrame, polls: int = 2, settle_secs: int = 5) ->
 
 def settled_batch(listing: DataFrame, polls: int = 2, settle_secs: int = 5) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = (None, None, 0, None, None), []
+        held, out = UNSEEN, []
         for row in pdf.sort_values("now").itertuples():
             held, send = settle(held, int(row.size_), int(row.mtime), int(row.now), polls, settle_secs)
             if send:

@@ -21,9 +21,14 @@ reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, e
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, MIN(r) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id"""
 
-_SIGNALS = ", ".join(f"('{name}', CASE WHEN {e.split(' / ')[1]} > 0 THEN CAST({e.split(' / ')[0]} AS DOUBLE) / {e.split(' / ')[1]} ELSE 0 END)" for name, e in quality.SIGNALS.items())
-_GRID = ", ".join(map(str, quality.GRID))
-_P = quality.ALPHA / len(quality.SIGNALS)
+def _level(name: str) -> str:
+    over, under = quality.SIGNALS[name].split(" / ")
+    share = f"(CASE WHEN {under} > 0 THEN CAST({over} AS DOUBLE) / {under} ELSE 0 END)"
+    return "(" + " + ".join(f"CASE WHEN {share} <= CAST({c} AS DOUBLE) THEN 1 ELSE 0 END" for c in quality.LEVELS[name]) + ")"
+
+
+_LEVEL = f"least({', '.join(map(_level, quality.SIGNALS))})"
+_P = quality.ALPHA
 
 QUALITY = f"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
@@ -32,18 +37,18 @@ tok AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FR
 three AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS s FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 twice AS (SELECT doc_id, i FROM three WHERE s IS NOT NULL QUALIFY COUNT(*) OVER (PARTITION BY doc_id, s) > 1),
 covered AS (SELECT doc_id, CAST(SUM(k) AS BIGINT) AS n FROM (SELECT doc_id, least(3, i - lag(i, 1, -3) OVER (PARTITION BY doc_id ORDER BY i)) AS k FROM twice) GROUP BY doc_id),
-f AS (SELECT w.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(text, '{BLANK}', '', 'g')) AS word_chars,
+f AS (SELECT w.doc_id, stratum, text, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(text, '{BLANK}', '', 'g')) AS word_chars,
  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(text) - length(replace(text, '!', '')) AS n_shouts,
  length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, len(lines) AS n_lines,
  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
 g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-known AS (SELECT g.*, quality FROM g JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed),
-sizes AS (SELECT stratum, COUNT(*) FILTER (quality = 1) AS n FROM known GROUP BY stratum),
-rejected AS (SELECT k.stratum, s.name, c.cutoff, COUNT(*) FILTER (k.quality = 1) AS x, COUNT(*) FILTER (k.quality = 0) AS bad
- FROM known k, LATERAL (VALUES {_SIGNALS}) s(name, v), (SELECT unnest([{_GRID}])::DOUBLE AS cutoff) c WHERE s.v > c.cutoff GROUP BY ALL),
-tested AS (SELECT r.*, CASE WHEN x >= n * {_P} THEN 1.0 ELSE (SELECT SUM(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P}) + (n - i) * ln(1 - {_P}))) FROM range(0, x + 1) u(i)) END AS p
- FROM rejected r JOIN sizes USING (stratum)),
-best AS (SELECT stratum, name, cutoff FROM tested WHERE bad > 0 AND p <= {quality.DELTA} / ((SELECT COUNT(*) FROM sizes) * {len(quality.SIGNALS) * len(quality.GRID)})
- QUALIFY row_number() OVER (PARTITION BY stratum, name ORDER BY bad DESC, cutoff DESC) = 1),
-gone AS (SELECT DISTINCT g.doc_id FROM g, LATERAL (VALUES {_SIGNALS}) s(name, v), best b WHERE b.stratum = g.stratum AND b.name = s.name AND s.v > b.cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM g"""
+l AS (SELECT *, {_LEVEL} AS level FROM g),
+known AS (SELECT l.*, q.quality FROM l JOIN (SELECT doc_id, MIN(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q ON q.doc_id = l.doc_id
+ WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY stratum, text ORDER BY l.doc_id) = 1),
+rejected AS (SELECT stratum, rule, COUNT(*) FILTER (quality = 1) AS n, COUNT(*) FILTER (quality = 1 AND level <= rule) AS x, COUNT(*) FILTER (quality = 0 AND level <= rule) AS bad
+ FROM known, range({quality.RULES}) r(rule) GROUP BY stratum, rule),
+tested AS (SELECT *, CASE WHEN x >= n * {_P} THEN 1.0 ELSE (SELECT SUM(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P}) + (n - i) * ln(1 - {_P}))) FROM range(0, x + 1) u(i)) END
+ <= {quality.DELTA} / (SELECT COUNT(DISTINCT stratum) FROM known) AS passes FROM rejected),
+ends AS (SELECT stratum, MIN(rule) FILTER (NOT passes) AS stop FROM tested GROUP BY stratum),
+best AS (SELECT t.stratum, rule FROM tested t JOIN ends e ON e.stratum = t.stratum WHERE bad > 0 AND rule < coalesce(stop, {quality.RULES}) QUALIFY row_number() OVER (PARTITION BY t.stratum ORDER BY bad DESC, rule) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND level > coalesce(rule, -1) AS kept FROM l LEFT JOIN best ON best.stratum = l.stratum"""

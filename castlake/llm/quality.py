@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
 Each text gets counts (words, their characters, signs, repeated lines, words in repeated three-word windows), and from
-these a few signals that are high in junk. For each stratum (language) and signal a cutoff is chosen from a fixed grid,
-on labelled documents: with n good ones, x of which a cutoff rejects, the cutoff is certified if the exact binomial
-probability of x or fewer rejections, were the true rate ALPHA / signals, is at most DELTA divided by the number of all
-tests (strata x signals x cutoffs, Bonferroni). So with probability 1 - DELTA, in every stratum at once, all cutoffs
-together reject at most the share ALPHA of good documents. Of the certified cutoffs the one that rejects most documents
-labelled bad is used, the highest of equals; a signal without one rejects nothing.
+these a few signals that are high in junk. A rule has a cutoff for each signal and rejects a text with any signal over its
+own; the rules of LEVELS, from the loosest to the strictest, are tried on labelled documents for each stratum (language).
+With n good ones, x of which a rule rejects, the rule is certified if the exact binomial probability of x or fewer
+rejections, were the true rate ALPHA, is at most DELTA divided by the number of strata (Bonferroni). Within a stratum the
+rules are tested in their fixed order and the first that fails ends the sequence, so no factor is due for their number.
+So with probability 1 - DELTA, in every stratum at once, the rule in use rejects at most the share ALPHA of good
+documents. Of the certified rules the one that rejects most documents labelled bad is used, the loosest of equals; a
+stratum without one (under about 150 to 230 good documents) has the base rule alone.
+
+The labelled documents are taken as independent trials: each doc_id counts once (bad if any of its labels says so), and of
+equal texts of a stratum only the one of the least doc_id.
 
 Defined results: a null text has no words and fails the base rule; a null language is a stratum of its own; labels that
-are null, of unknown documents or repeated are left out or counted as they are; an empty table gives an empty result;
-further columns are ignored.
+are null or of unknown documents are left out; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,15 @@ from .shared import stored
 
 ALPHA = 0.02
 DELTA = 0.05
-GRID = (0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75)
+#: Cutoffs of each signal, from the loosest rule to the strictest.
+LEVELS = {
+    "symbols": (0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01),
+    "shouts": (0.2, 0.1, 0.05, 0.04, 0.03, 0.02, 0.01, 0.005),
+    "capitals": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
+    "dup_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
+    "repeats": (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15),
+}
+RULES = 8
 BLANK = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -53,6 +65,7 @@ def counted(docs: DataFrame) -> DataFrame:
     step = base.select(
         "doc_id",
         "stratum",
+        F.xxhash64("text").alias("copy"),
         F.length(solid).cast("long").alias("word_chars"),
         (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.length("text") - F.length(_without(F.col("text"), "!"))).cast("long").alias("n_shouts"),
@@ -110,18 +123,27 @@ def binomial_cdf(x: Column, n: Column, p: float) -> Column:
     return F.when(x >= n * p, F.lit(1.0)).otherwise(total)
 
 
+def level() -> Column:
+    """The number of the loosest rule that rejects a text; RULES if none does."""
+    each = [sum((signal(e) <= c).cast("int") for c in LEVELS[name]) for name, e in SIGNALS.items()]
+    return F.least(*each)
+
+
 def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and a column for each signal: the certified cutoff that is used, null where there is none."""
-    known = stored(features.join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").where(~base_failed()), "labelled")
-    sizes = known.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n"))
-    shares = F.array(*(F.struct(F.lit(name).alias("signal"), signal(e).alias("value")) for name, e in SIGNALS.items()))
-    grid = F.array(*map(F.lit, GRID))
-    over = known.select("stratum", "quality", F.explode(shares).alias("s")).select("stratum", "quality", "s.signal", F.explode(F.filter(grid, lambda c: F.col("s.value") > c)).alias("cutoff"))
-    rejected = over.groupBy("stratum", "signal", "cutoff").agg(F.count_if(F.col("quality") == 1).alias("x"), F.count_if(F.col("quality") == 0).alias("bad"))
-    tests = max(1, sizes.count()) * len(SIGNALS) * len(GRID)
-    judged = rejected.join(sizes, "stratum").where(binomial_cdf(F.col("x"), F.col("n"), alpha / len(SIGNALS)) <= delta / tests)
-    best = judged.groupBy("stratum", "signal").agg(F.max(F.struct("bad", "cutoff")).alias("b")).where("b.bad > 0")
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("signal") == name, F.col("b.cutoff"))).alias(f"cut_{name}") for name in SIGNALS))
+    """stratum and rule: the number of the certified rule that is used; strata without one are left out."""
+    given = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    known = features.where(~base_failed()).select("doc_id", "stratum", "copy", level().alias("level")).join(given, "doc_id")
+    once = known.groupBy("stratum", "copy").agg(F.min(F.struct("doc_id", "quality", "level")).alias("d"))
+    counts = once.groupBy("stratum", F.col("d.level").alias("level")).agg(F.count_if(F.col("d.quality") == 1).alias("good"), F.count_if(F.col("d.quality") == 0).alias("bad"))
+    counts = stored(counts, "levels")  # at most RULES + 1 rows of a stratum
+    sizes = counts.groupBy("stratum").agg(F.sum("good").alias("n"))
+    rules = sizes.withColumn("rule", F.explode(F.sequence(F.lit(0), F.lit(RULES - 1))))
+    at = lambda c: F.sum(F.when(F.col("level") <= F.col("rule"), F.col(c)).otherwise(F.lit(0))).alias(c)
+    rejected = rules.join(counts, "stratum").groupBy("stratum", "rule", "n").agg(at("good"), at("bad"))
+    judged = rejected.withColumn("passes", binomial_cdf(F.col("good"), F.col("n"), alpha) <= delta / max(1, sizes.count()))
+    ends = judged.groupBy("stratum").agg(F.coalesce(F.min(F.when(~F.col("passes"), F.col("rule"))), F.lit(RULES)).alias("end"))
+    best = judged.join(ends, "stratum").where("rule < end and bad > 0").groupBy("stratum").agg(F.max(F.struct(F.col("bad"), (-F.col("rule")).alias("loose"))).alias("b"))
+    return best.select("stratum", (-F.col("b.loose")).alias("rule"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -129,8 +151,4 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     features = stored(counted(docs), "features")
     chosen = cutoffs(features, labels)
     out = features.join(chosen, "stratum", "left").withColumn("base_failed", base_failed())
-    rejects = [F.coalesce(signal(e) > F.col(f"cut_{name}"), F.lit(False)) for name, e in SIGNALS.items()]
-    bad = rejects[0]
-    for r in rejects[1:]:
-        bad = bad | r
-    return out.withColumn("kept", ~F.col("base_failed") & ~bad)
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(level() <= F.col("rule"), F.lit(False)))

@@ -283,6 +283,11 @@ def test_cutoffs_are_certified(spark):
     labels = spark.createDataFrame([(i, int(i < 3000)) for i in range(3200)], "doc_id long, quality int")
     kept = {r.doc_id for r in quality.judged(docs_of(spark, good + bad), labels).where("kept").collect()}
     assert kept == set(range(3000))
+    again = labels.unionByName(labels)  # repeated labels are no further trials
+    some = again.where("doc_id < 100 or doc_id >= 3000")
+    assert quality.judged(docs_of(spark, good + bad), some).where("kept").count() == 3200
+    same = docs_of(spark, [(i, good[0][1], "en") for i in range(3000)] + bad)  # nor are equal texts
+    assert quality.judged(same, labels).where("kept").count() == 3200
     few = labels.where("doc_id < 100 or doc_id >= 3000")  # too few good ones to certify anything
     assert quality.judged(docs_of(spark, good + bad), few).where("kept").count() == 3200
 

@@ -51,7 +51,7 @@ PERCENT = 75
 ENUMERATED = 4  # bands (of sets under 2 ** ENUMERATED) with three second parts and subsets of two
 PARTS = 8  # parts of a larger band's domain, times its least size: most elements are alone, so passages that many sets
 # share make up few of the signatures that are kept
-FOLD = 8  # parts to a byte of a set's outline
+FOLD = 8  # parts to a place (half a byte) of a set's outline
 HEAVY = 1 << 18  # commonest signatures that are known by name; the order needs no more to be exact
 LOCAL_HEAVY = 3  # sets of a task's share from which a signature is reported as common
 SPLIT = 256  # sets from which a signature's group is dealt over all tasks
@@ -147,17 +147,24 @@ class Parts:
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def outlines(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Set's number, band and outline of each unit: a byte for each FOLD parts (for each part of an enumerated band).
-        Where two outlines differ the parts have different elements, so the number of differing bytes bounds that of
-        elements from below."""
+        """Set's number, band and outline of each unit: half a byte for each FOLD parts (for each part of an enumerated
+        band). Where two outlines differ the parts have different elements, so the number of differing halves bounds that
+        of elements from below."""
         fold = np.where(self.several, 1, FOLD)
-        size = np.diff(self.base) // fold
+        size = (np.diff(self.base) // fold + 1) // 2
         begin = np.concatenate([[0], np.cumsum(size)])
-        at = begin[self.unit] + (self.place - self.base[self.unit]) // fold[self.unit]
-        flat = np.bincount(at, (self.sig & U(255)).astype(float), begin[-1]).astype(np.int64).astype(np.uint8)
+        at = 2 * begin[self.unit] + (self.place - self.base[self.unit]) // fold[self.unit]
+        flat = np.bincount(at, (self.sig & U(15)).astype(float), 2 * begin[-1]).astype(np.int64) & 15
+        flat = (flat[::2] | flat[1::2] << 4).astype(np.uint8)
         return self.number, self.band, [flat[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
 
 
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places (halves of bytes) outlines differ, along the last axis."""
+    d = x ^ y
+    return np.count_nonzero(d & 15, axis=-1) + np.count_nonzero(d & 240, axis=-1)
+
+
 def signatures(sets: list[np.ndarray], heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set's number, signature and slack (in steps of 1 / SLACK of the band's least size, rounded up) of the signatures
     that are kept. heavy: common ones, sorted, and their numbers of sets."""
@@ -372,8 +379,8 @@ def _alike(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()) * (100 - percent) // (100 + percent)
-            apart = [np.count_nonzero(np.frombuffer(x.as_buffer(), np.uint8) != np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch["bits_a"], batch["bits_b"])]
-            keep = pa.array(np.array(apart, np.int64) <= most)
+            differ = [apart(*(np.frombuffer(v.as_buffer(), np.uint8) for v in both)) for both in zip(batch["bits_a"], batch["bits_b"])]
+            keep = pa.array(np.array(differ, np.int64) <= most)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
 
     return run
@@ -485,8 +492,7 @@ def _unsettled(percent: int):
                     near &= m["own"]
                 at = np.flatnonzero(near)
                 if len(at):
-                    apart = np.count_nonzero(bits[at] != bits[k], axis=1)
-                    found = at[apart <= (m["n"][at] + m["n"][k]) * (100 - percent) // (100 + percent)]
+                    found = at[apart(bits[at], bits[k]) <= (m["n"][at] + m["n"][k]) * (100 - percent) // (100 + percent)]
                     out.append(np.sort(np.stack([m["cls"][found], np.full(len(found), m["cls"][k])], 1), axis=1))
             pairs = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])

@@ -47,8 +47,9 @@ DOT, SMALL_I = 0x307, 0x69
 
 @cache
 def _signs() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]:
-    """Of each sign below TABLED: its kind, whether it may join the sign before it, its fold; and folds of several signs."""
-    kind, joins, fold, more = np.full(TABLED, OWN, np.uint8), np.zeros(TABLED, bool), np.arange(TABLED, dtype=np.int64), {}
+    """Of each sign below TABLED, and of all beyond: its kind, whether it may join the sign before it, its fold (none beyond);
+    and folds of several signs."""
+    kind, joins, fold, more = np.full(TABLED + 1, OWN, np.uint8), np.zeros(TABLED + 1, bool), np.arange(TABLED + 1, dtype=np.int32), {}
     for k in range(TABLED):
         c = chr(k)
         if 0xD800 <= k < 0xE000:
@@ -71,28 +72,31 @@ def _signs() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]:
 
 
 def _low(sign: np.ndarray) -> np.ndarray:
-    """Places in the tables; the signs beyond them count as an ideograph."""
-    return np.where(sign < TABLED, sign, 0x4E00)
+    """Places in the tables."""
+    return np.minimum(sign, TABLED)
 
 
 def _string(sign: np.ndarray) -> str:
     return sign.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def _decoded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of UTF-8 bytes, and where each begins; bytes that are not UTF-8 give U+FFFD."""
+def _decoded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, where each begins and ends; bytes that are not UTF-8 give U+FFFD."""
     lead = (data & 0xC0) != 0x80
     lead[offs[:-1][offs[:-1] < len(data)]] = True
     first = np.flatnonzero(lead)
-    size = np.diff(np.append(first, len(data)))
-    b = data[first].astype(np.int64)
+    past = np.append(first[1:], len(data))[: len(first)]
+    sign, size = data[first].astype(np.int32), past - first
+    odd = np.flatnonzero((sign >= 0x80) | (size != 1))
+    b, size, begin = sign[odd], size[odd], first[odd]
     many = 1 + (b >= 0xC0) + (b >= 0xE0) + (b >= 0xF0)
-    sign = np.where(b < 0x80, b, b & (0xFF >> (many + 1)))
+    whole = np.where(b < 0x80, b, b & (0xFF >> (many + 1))).astype(np.int32)
     for k in range(1, 4):
         at = np.flatnonzero((many > k) & (size > k))
-        sign[at] = sign[at] << 6 | (data[first[at] + k] & 0x3F)
-    bad = (size != many) | (b >= 0xF8) | ((b & 0xC0) == 0x80) | (sign > 0x10FFFF)
-    return np.where(bad, 0xFFFD, sign), first
+        whole[at] = whole[at] << 6 | (data[begin[at] + k] & 0x3F)
+    bad = (size != many) | (b >= 0xF8) | ((b & 0xC0) == 0x80) | (whole > 0x10FFFF)
+    sign[odd] = np.where(bad, 0xFFFD, whole)
+    return sign, first, past
 
 
 def _composed(sign: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +126,9 @@ def _composed(sign: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np
 def _folded(sign: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, _, fold, more = _signs()
     low = np.where(sign < TABLED, fold[_low(sign)], sign)
-    wide = np.flatnonzero(np.isin(sign, np.fromiter(more, np.int64, len(more))))
+    long = np.zeros(TABLED + 1, bool)
+    long[list(more)] = True
+    wide = np.flatnonzero(long[_low(sign)])
     if len(wide):
         to = [more[k] for k in sign[wide].tolist()]
         many = np.ones(len(sign), np.int64)
@@ -132,40 +138,60 @@ def _folded(sign: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.n
         for k in range(1, max(map(len, to))):
             own = [j for j, x in enumerate(to) if len(x) > k]
             low[at[own] + k] = [to[j][k] for j in own]
-    dotted = np.zeros(len(low), bool)
-    dotted[1:] = (low[1:] == DOT) & (low[:-1] == SMALL_I)
-    return low[~dotted], first[~dotted], past[~dotted]
+    dotted = low == DOT
+    if dotted.any():
+        dotted[:1] = False
+        dotted[1:] &= low[:-1] == SMALL_I
+        low, first, past = low[~dotted], first[~dotted], past[~dotted]
+    return low, first, past
 
 
-def reduced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Spread:
+    """The value of the sign that a byte belongs to; begin: each sign's first byte."""
+
+    def __init__(self, begin: np.ndarray, values: np.ndarray):
+        self.begin, self.values = begin, values
+
+    def __getitem__(self, byte):
+        return self.values[np.searchsorted(self.begin, byte, "right") - 1]
+
+
+def reduced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, Spread, Spread]:
     """A block with one space for each run of other signs (none at the begin of a row), its offs, and where the sign that
     each byte stands for begins and ends in the block as it was."""
-    sign, first = _decoded(data, offs)
-    past = np.append(first[1:], len(data)).astype(np.int64)
+    kinds, joins, fold, _ = _signs()
+    sign, first, past = _decoded(data, offs)
     if len(data) and data.max() >= 0x80:
-        # a row that begins with a mark must not join the one before: a line break stands between any two rows
         cut = np.searchsorted(first, offs[1:-1])
-        sign, first, past = np.insert(sign, cut, 0x0A), np.insert(first, cut, offs[1:-1]), np.insert(past, cut, offs[1:-1])
+        head = sign[cut[cut < len(sign)]]
+        if (joins[_low(head)] | joins[_low(fold[_low(head)])]).any():
+            # a row that begins with a mark must not join the one before: a line break stands between any two rows
+            sign, first, past = np.insert(sign, cut, 0x0A), np.insert(first, cut, offs[1:-1]), np.insert(past, cut, offs[1:-1])
         sign, first, past = _composed(*_folded(*_composed(sign, first, past)))
         own = past > first
-        sign, first, past = sign[own], first[own], past[own]
+        if not own.all():
+            sign, first, past = sign[own], first[own], past[own]
     else:
-        sign = _signs()[2][sign]
-    kind = _signs()[0][_low(sign)]
-    kind[(sign >= 0xE0000) & (sign < 0xE1000)] = NOTHING
+        sign = fold[sign]
+    kind = kinds[_low(sign)]
+    if len(sign) and sign.max() >= 0xE0000:
+        kind[(sign >= 0xE0000) & (sign < 0xE1000)] = NOTHING
     seen = kind != NOTHING
-    sign, first, past, kind = sign[seen], first[seen], past[seen], kind[seen]
+    if not seen.all():
+        sign, first, past, kind = sign[seen], first[seen], past[seen], kind[seen]
     own = kind == OWN
     before = np.zeros(len(sign), bool)
     before[1:] = own[:-1]
     edge = np.searchsorted(first, offs[:-1])
     before[edge[edge < len(sign)]] = False
     at = np.flatnonzero(own | before)
-    sign, first, past = np.where(own[at], sign[at], 0x20), first[at], past[at]
-    size = 1 + (sign >= 0x80) + (sign >= 0x800) + (sign >= 0x10000)
+    sign, first, past = np.where(own, sign, 0x20)[at], first[at], past[at]
+    size = (1 + (sign >= 0x80)).astype(np.int64)
+    if len(sign) and sign.max() >= 0x800:
+        size += (sign >= 0x800).astype(np.int64) + (sign >= 0x10000)
+    begin = np.concatenate([[0], np.cumsum(size)])
     out = np.frombuffer(_string(sign).encode("utf-8", "surrogatepass"), np.uint8)
-    first, past = np.repeat(first, size), np.repeat(past, size)
-    return out, np.searchsorted(first, offs), first, past
+    return out, begin[np.searchsorted(first, offs)], Spread(begin[:-1], first), Spread(begin[:-1], past)
 
 
 def reduced_text(text: str) -> bytes:

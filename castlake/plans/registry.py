@@ -268,3 +268,6 @@ def sidecars(assets: DataFrame) -> DataFrame:
     from ..sources.media import sidecar
 
     return sidecar(A.active(assets))
+
+
+from . import checks  # noqa: E402,F401  (registers more queries)

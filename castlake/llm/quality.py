@@ -26,6 +26,8 @@ from .shared import stored
 
 ALPHA = 0.02
 DELTA = 0.05
+BROADCAST = 100_000  # strata with a cutoff that are broadcast, some 40 bytes each; beyond, both sides are shuffled
+SALTS = 64  # groups that the rows of a stratum are dealt over then
 #: Cutoffs of each signal, from the loosest rule to the strictest.
 LEVELS = {
     "symbols": (0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01),
@@ -149,6 +151,11 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base_failed and kept of every row of docs."""
     features = stored(counted(docs), "features")
-    chosen = cutoffs(features, labels)
-    out = features.join(chosen, "stratum", "left").withColumn("base_failed", base_failed())
+    chosen = stored(cutoffs(features, labels), "cutoffs")
+    if chosen.count() <= BROADCAST:
+        out = features.join(F.broadcast(chosen), "stratum", "left")
+    else:  # the rows of a stratum are dealt over SALTS groups
+        salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = features.withColumn("salt", F.pmod(F.xxhash64("copy", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["stratum", "salt"], "left").drop("salt")
+    out = out.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(level() <= F.col("rule"), F.lit(False)))

@@ -273,7 +273,7 @@ def test_quality(spark, documents, odd, none):
     assert quality.judged(none, labels).count() == 0
 
 
-def test_cutoffs_are_certified(spark):
+def test_cutoffs_are_certified(spark, monkeypatch):
     want = lambda x, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(x + 1))
     for x, n, p in ((0, 100, 0.01), (3, 900, 0.01), (0, 0, 0.1), (5, 60, 0.2)):
         got = spark.range(1).select(quality.binomial_cdf(F.lit(x).cast("long"), F.lit(n).cast("long"), p)).first()[0]
@@ -290,6 +290,9 @@ def test_cutoffs_are_certified(spark):
     assert quality.judged(same, labels).where("kept").count() == 3200
     few = labels.where("doc_id < 100 or doc_id >= 3000")  # too few good ones to certify anything
     assert quality.judged(docs_of(spark, good + bad), few).where("kept").count() == 3200
+    # more strata than are broadcast: both sides are shuffled, with the same result
+    monkeypatch.setattr(quality, "BROADCAST", -1)
+    assert {r.doc_id for r in quality.judged(docs_of(spark, good + bad), labels).where("kept").collect()} == kept
 
 
 def test_licences(spark, odd, none):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, decontam, langid, licenses, ngram_lm, oracles, partenum, quality, sharding, toxicity, unigram_count
+from . import bpe_stream, decontam, langid, licenses, ngram_lm, oracles, partenum, quality, runs, sharding, toxicity, unigram_count
 from .shared import read_table
 
 
@@ -78,6 +78,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; with h the crc32 of doc_id, written as text, every text of h % 10 = 0 becomes periodic from its
+    word a on: word i is the original word a + (i - a) % p. Other texts stay as they are."""
+    repeated = """transform(array(filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+', -1), w -> w <> '')), ws ->
+        transform(array(g % size(ws)), a -> transform(array(1 + (size(ws) - a) div (3 + g % 8)), p ->
+        array_join(transform(sequence(0, size(ws) - 1), i -> get(ws, CAST(if(i < a, i, a + (i - a) % p) AS INT))), ' '))[0])[0])[0]"""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h"), F.floor(h / 10).alias("g"))
+    return out.select("doc_id", F.when((F.col("h") % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.expr(repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(with_planted_repeats(read_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -90,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_bpe_stream": op9_bpe_stream,
         "op10_decontamination": op10_decontamination,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, decontam, langid, licenses, ngram_lm, oracles, partenum, quality, runs, sharding, toxicity, unigram_count
+from . import bpe_stream, decontam, langid, licenses, negatives, ngram_lm, oracles, partenum, quality, runs, sharding, toxicity, unigram_count
 from .shared import read_table
 
 
@@ -93,6 +93,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(with_planted_repeats(read_table(spark, sf_dir, "documents"))))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.hard_negatives(negatives.scaled(rows, 256), modulus=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -106,8 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_stream": op9_bpe_stream,
         "op10_decontamination": op10_decontamination,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": oracles.JACCARD, "op4_quality_rules": oracles.QUALITY}
+    return {"op3_ngram_jaccard": oracles.JACCARD, "op4_quality_rules": oracles.QUALITY, "op12_hard_negatives": oracles.NEGATIVES}

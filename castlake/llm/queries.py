@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, decontam, langid, licenses, negatives, ngram_lm, oracles, partenum, quality, runs, sharding, toxicity, unigram_count
+from . import bpe_stream, decontam, disclosure, langid, licenses, negatives, ngram_lm, oracles, partenum, quality, runs, sharding, toxicity, unigram_count
 from .shared import read_table
 
 
@@ -99,6 +99,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.scaled(rows, 256), modulus=50)
 
 
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digests(disclosure.sanitised(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -113,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": op10_decontamination,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_disclosure": op13_disclosure,
     }
 
 

@@ -202,9 +202,6 @@ registered("f18_trim_errors", "SELECT uuid, CASE WHEN duration_ms <= 0 THEN 'no_
 registered("f21_retention", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 7 WHEN 1 THEN -1 WHEN 2 THEN 21 ELSE -1 END::BIGINT AS days FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", R.retention_days(F.when(F.col("event_id") % 4 == 0, "1Week").when(F.col("event_id") % 4 == 1, "never"), F.when(F.col("event_id") % 4 == 2, 21).otherwise(5)).alias("days"))
 )
-registered("x25_may_follow", "SELECT a.phase AS before_phase, b.phase AS after_phase, a.phase = b.phase OR (a.phase || '>' || b.phase) IN (" + ", ".join(f"'{p}>{q}'" for p, qs in R.NEXT_PHASES.items() for q in qs) + ") AS allowed FROM (SELECT unnest([" + ", ".join(f"'{p}'" for p in R.NEXT_PHASES) + "]) AS phase) a, (SELECT unnest([" + ", ".join(f"'{p}'" for p in R.NEXT_PHASES) + "]) AS phase) b")(
-    lambda spark, sf: spark.createDataFrame([(p, q) for p in R.NEXT_PHASES for q in R.NEXT_PHASES], "before_phase string, after_phase string").withColumn("allowed", R.may_follow(F.col("before_phase"), F.col("after_phase")))
-)
 registered("x29_frame_trim", "SELECT uuid, CASE WHEN ok THEN CAST(floor(b / 1000.0::DOUBLE * fps) AS BIGINT) END AS in_frame, CASE WHEN ok THEN CAST(least(ceil(e / 1000.0::DOUBLE * fps), round(duration_ms / 1000.0::DOUBLE * fps)) AS BIGINT) END AS out_frame FROM (SELECT *, e > b AS ok FROM (SELECT uuid, duration_ms, CAST(fps_num AS DOUBLE) / CAST(fps_den AS DOUBLE) AS fps, least(greatest(trim_in_ms, 0), duration_ms) AS b, CASE WHEN trim_out_ms <= 0 OR trim_out_ms > duration_ms THEN duration_ms ELSE trim_out_ms END AS e FROM media_assets))", ASSETS)(
     lambda a: a.select("uuid", *(c.alias(n) for n, c in R.frame_trim(F.col("trim_in_ms"), F.col("trim_out_ms"), F.col("duration_ms"), F.col("fps_num"), F.col("fps_den")).items() if n != "duration_frames"))
 )
@@ -241,14 +238,6 @@ THROTTLED = f"WITH RECURSIVE t AS (SELECT user_id AS key, at_ms, CAST(percent AS
 registered("t04_throttle", THROTTLED)(lambda spark, sf: S.throttled_batch(events_ms(spark, sf).select(F.col("user_id").alias("key"), "at_ms", (F.col("event_id") % 101).cast("double").alias("percent")), 60_000_000))
 
 
-@registered("t09_job_phases")
-def job_phases(spark: SparkSession, sf: str) -> DataFrame:
-    """Event types of each user taken as phases of a job."""
-    names = {"signup": "probing", "view": "planned", "click": "encoding", "purchase": "validating", "error": "failed"}
-    phase = R.first_of([(F.col("event_type") == k, v) for k, v in names.items()], "queued")
-    return S.job_phases(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), phase.alias("phase")))
-
-
 SETTLED = """WITH RECURSIVE t AS (SELECT '/in/' || CAST(user_id AS VARCHAR) AS path, CAST(event_id % 2 AS BIGINT) AS size, event_id AS now, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
 s AS (SELECT DISTINCT path, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS polls, CAST(NULL AS BIGINT) AS sent_size, false AS sent FROM t
  UNION ALL SELECT path, tk, tsize, n, CASE WHEN go THEN tsize ELSE sent_size END, go FROM (SELECT *, n >= 2 AND now >= 5 AND sent_size IS DISTINCT FROM tsize AS go FROM (
@@ -270,4 +259,4 @@ def sidecars(assets: DataFrame) -> DataFrame:
     return sidecar(A.active(assets))
 
 
-from . import checks  # noqa: E402,F401  (registers more queries)
+from . import checks, streams  # noqa: E402,F401  (they register more queries)

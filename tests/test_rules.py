@@ -8,7 +8,6 @@ from castlake.operators import assets as A
 from castlake.operators import jobs as J
 from castlake.operators import transitions as T
 from castlake.sources import media
-from castlake.streaming import state as S
 
 
 def value(spark, *columns):
@@ -131,31 +130,6 @@ def test_recovery(spark):
     assert out["a"].finished_at is None and out["b"].finished_at == at and out["b"].error.startswith("Worker crashed")
 
 
-def test_job_fold(spark):
-    e = [("a", 1, "probing"), ("a", 2, "publishing"), ("a", 3, "planned"), ("a", 4, "encoding"), ("a", 5, "failed"), ("a", 6, "queued")]
-    r = S.job_phases(spark.createDataFrame(e, "id string, seq long, phase string")).first()
-    assert (r.phase, r.applied, r.rejected, r.started, r.finished) == ("queued", 5, 1, 1, 5)
-
-
-def test_settle_and_throttle():
-    for sizes, want in (((5, 9, 9, 9, 9), [False, False, False, True, False]), ((9, 9, 9, 9, 9), [False, False, True, False, False])):
-        held, sent = S.UNSEEN, []
-        for now, size in zip((0, 1, 10, 20, 30), sizes):
-            held, send = S.settle(held, size, 0, now, 2, 5)
-            sent.append(send)
-        assert sent == want  # the first sight counts nothing
-    assert S.throttle(None, [(0, 1.0), (100, 2.0), (250, 3.0), (300, 100.0)], 250)[1] == [(0, 1.0), (250, 3.0), (300, 100.0)]
-
-
-def test_streams_equal_their_batch_twins(spark, tmp_path):
-    rows = [(k % 3, k * 100, float(k % 7)) for k in range(40)]
-    spark.createDataFrame(rows, S.TICKS).coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = S.throttled_stream(spark.readStream.schema(S.TICKS).parquet(f"{tmp_path}/in"))
-    q = stream.writeStream.format("memory").queryName("ticks").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("ticks").collect())) == sorted(map(tuple, S.throttled_batch(spark.createDataFrame(rows, S.TICKS)).collect()))
-
-
 def test_probe(spark):
     doc = '{"streams":[{"codec_type":"audio","codec_name":"aac","sample_rate":"48000","channels":2},{"codec_type":"video","codec_name":"h264","width":1920,"height":1080,"r_frame_rate":"25/1","nb_frames":"250","field_order":"tt"}],"format":{"duration":"11.0"}}'
     p = media.probed(spark.createDataFrame([(doc,), ("{}",)], "document string")).select("probe.*").collect()

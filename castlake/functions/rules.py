@@ -284,7 +284,7 @@ def sanitized(name: Column) -> Column:
 def sidecar_path(path: Column) -> Column:
     """Next to the video, or in sidecars/ beside a folder videos/."""
     beside = F.regexp_replace(path, "/videos/([^/]*)$", "/sidecars/$1")
-    return F.concat(F.regexp_replace(beside, "\\.[^./]*$", ""), F.lit(".json"))
+    return F.concat(F.regexp_replace(beside, "\\.[^./]*$", ""), F.lit(".uuid.json"))
 
 
 def state_of(phase: Column) -> Column:

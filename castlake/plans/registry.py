@@ -252,11 +252,4 @@ def settled(spark: SparkSession, sf: str) -> DataFrame:
     return S.settled_batch(e.select(F.concat(F.lit("/in/"), "user_id").alias("path"), (F.col("event_id") % 2).alias("size"), F.lit(0).cast("long").alias("mtime"), F.col("event_id").alias("now")))
 
 
-@registered("m25_sidecars", None, ASSETS)
-def sidecars(assets: DataFrame) -> DataFrame:
-    from ..sources.media import sidecar
-
-    return sidecar(A.active(assets))
-
-
-from . import checks, streams  # noqa: E402,F401  (they register more queries)
+from . import checks, records, streams  # noqa: E402,F401  (they register more queries)

@@ -72,13 +72,6 @@ def fixtures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.explode("fixtures").alias("f")).select("f.*")
 
 
-def sidecar(assets: DataFrame) -> DataFrame:
-    """uuid, path and JSON text of each asset's sidecar; fields that are null are left out."""
-    output = F.struct(F.col("current_path").alias("path"), "duration_ms", "fps_num", "fps_den", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit("h264").alias("video_codec"), F.lit("aac").alias("audio_codec"), F.lit(48000).alias("audio_sample_rate"))
-    doc = F.struct("uuid", "fingerprint", "rating", "status", "trim_in_ms", "trim_out_ms", "original_virtual_folder", output.alias("output_media"))
-    return assets.select("uuid", R.sidecar_path(F.col("current_path")).alias("path"), F.to_json(doc, {"ignoreNullFields": "true"}).alias("document"))
-
-
 def write_snapshot(df: DataFrame, root: str, version: int) -> str:
     """A new version beside the old ones; never over one that is being read."""
     path = f"{root}/v{version:08d}"

@@ -112,13 +112,32 @@ def valid_folder(folder: Column) -> Column:
     return folder.startswith("/") & ~folder.contains("..") & ((folder == "/") | ~folder.endswith("/"))
 
 
-def purge_path_error(path: Column) -> Column:
-    p = F.trim(path)
-    return first_of([
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def below(path: Column, root: str) -> Column:
+    """Whether path is root, or lies below it; whole components count."""
+    root = root.rstrip("/")
+    return (path == root) | path.startswith(root + "/")
+
+
+def purge_path_error(path: Column, watch: str | None = None, target: str | None = None) -> Column:
+    """Why a file must not be purged; null where it may. Components are parted by either slash; the folders, where they
+    are given, are such as links are resolved in."""
+    p = stripped(path)
+    # The messages.
+    cases = [
         (p == "", "Path is empty"),
-        (F.array_contains(F.split(p, "/"), ".."), "Path contains parent directory traversal (..)"),
+        (F.array_contains(F.split(p, r"[/\\]"), ".."), "Path contains parent directory traversal (..)"),
         ((p == "/") | (p == "\\") | ((F.length(p) <= 3) & p.endswith(":\\")), "Cannot purge root directory"),
-    ])
+    ]
+    if watch is not None:
+        cases.append((below(p, watch), "Refusing to purge source media in watch folder"))
+    if target is not None:
+        cases.append((~below(p, target), "Path is outside managed target directory root"))
+    return first_of(cases)
 
 
 def is_subclip(a: str = "") -> Column:
@@ -148,6 +167,7 @@ def near_keyframe(keyframes: Column, ms: Column, num: Column, den: Column) -> Co
     return F.exists(keyframes, lambda k: F.abs(k - ms).cast("double") <= half)
 
 
+# Names of the retention periods, in days.
 RETENTION = {"disabled": 0, "none": 0, "1week": 7, "7days": 7, "7d": 7, "2weeks": 14, "14days": 14, "14d": 14, "3weeks": 21, "21days": 21, "21d": 21, "1month": 30, "30days": 30, "30d": 30}
 
 

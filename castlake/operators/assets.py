@@ -128,3 +128,17 @@ def references(assets: DataFrame) -> DataFrame:
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def near_marks(rows: DataFrame, marks: DataFrame, key: str, at: str, mark: str, within: int) -> DataFrame:
+    """rows with near: whether a mark of the key lies within so many ms of it. A band join: both sides are cut into buckets
+    of that width and a row meets those of its own bucket and the two beside it, so a key of any size is spread over many;
+    each bucket keeps the least and the greatest of its marks, which are all that can decide."""
+    bucket = lambda c: F.floor(F.col(c) / F.lit(within + 1)).cast("long")
+    ends = marks.groupBy(F.col(key).alias("_key"), bucket(mark).alias("_bucket")).agg(F.min(mark).alias("_least"), F.max(mark).alias("_most"))
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    wide = numbered.select("_row", F.col(key).alias("_key"), F.col(at).alias("_at"), F.explode(F.array(bucket(at) - 1, bucket(at), bucket(at) + 1)).alias("_bucket"))
+    inside = wide.withColumn("_own", F.col("_bucket") == F.floor(F.col("_at") / F.lit(within + 1)))
+    meets = F.col("_own") | (F.abs(F.col("_most") - F.col("_at")) <= within) | (F.abs(F.col("_least") - F.col("_at")) <= within)
+    hits = inside.join(ends, ["_key", "_bucket"]).where(meets).select("_row").distinct().withColumn("near", F.lit(True))
+    return numbered.join(hits, "_row", "left").select(*rows.columns, F.coalesce("near", F.lit(False)).alias("near"))

@@ -18,30 +18,33 @@ ENCODERS = [
 ENCODER_DDL = "profile string, target_width int, target_height int, interlaced boolean, colorspace string, color_trc string, color_primaries string, profile_h264 string, level_h264 string"
 
 
-def below(path: Column, root: str) -> Column:
-    """Whether path is root, or lies below it; whole components count."""
-    root = root.rstrip("/")
-    return (path == root) | path.startswith(root + "/")
-
-
 # files that may go
 def cleanup_decisions(sources: DataFrame, jobs: DataFrame, watch: str, target: str, enabled: bool = True) -> DataFrame:
-    """Whether a job's source file is deleted, and why (the first reason that holds). sources: job_id, path, is_dir, is_there,
-    final_path, initial_size, initial_mtime, size, mtime. Nulls among the initial values are not compared."""
+    """Whether a job's source file is deleted, why (the first reason that holds), and the warning that goes with it.
+    sources: job_id, path, is_dir, is_there, final_path, initial_size, initial_mtime, size, mtime. Nulls among the initial
+    values are not compared; the watch folder itself is never deleted."""
     waiting = jobs.where("state IN ('Pending', 'Processing')").groupBy(F.col("input_path").alias("path")).agg(F.min("id").alias("_least"), F.max("id").alias("_most"))
-    path = F.trim(F.col("path"))
+    path = R.stripped(F.col("path"))
     other = F.col("_least").isNotNull() & (F.col("job_id").isNull() | (F.col("_least") != F.col("job_id")) | (F.col("_most") != F.col("job_id")))
-    reason = R.first_of([
-        (F.lit(not enabled), "disabled"),
-        (R.purge_path_error(F.col("path")).isNotNull(), "unsafe_path"),
-        (F.col("is_dir"), "source_is_directory"),
-        (~F.col("is_there"), "already_removed"),
-        (~below(path, watch), "outside_source_root"),
-        (below(path, target) | F.coalesce(path == F.col("final_path"), F.lit(False)), "source_matches_target"),
-        ((F.col("size") != F.col("initial_size")) | (F.col("mtime") != F.col("initial_mtime")), "source_changed"),
-        (other, "source_referenced"),
-    ], "deleted")
-    return sources.join(waiting, "path", "left").select("job_id", "path", reason.alias("reason")).withColumns({"deleted": F.col("reason") == "deleted", "skipped": F.col("reason") != "deleted"})
+    # Reasons and warnings.
+    says = lambda reason, warning=None: F.struct(F.lit(reason).alias("reason"), (warning if isinstance(warning, Column) else F.lit(warning)).cast("string").alias("warning"))
+    changed = lambda what, was, now: F.format_string(f"Source file {what} changed during processing (was %d, now %d)", was, now)
+    unsafe = F.regexp_replace(F.regexp_replace(R.purge_path_error(F.col("path")), "^Path", "Source path"), "^Cannot purge", "Cannot delete")
+    cases = [
+        (unsafe.isNotNull(), says("unsafe_path", unsafe)),
+        (F.col("is_dir"), says("source_is_directory", "Refusing to delete directory as source file")),
+        (~F.col("is_there"), says("already_removed")),
+        (~R.below(path, watch), says("outside_source_root", "Source path is outside configured watch directory root")),
+        (path == watch.rstrip("/"), says("source_is_directory", "Refusing to delete watch folder root")),
+        (R.below(path, target), says("source_matches_target", "Source path is inside target mezzanine directory")),
+        (path == F.col("final_path"), says("source_matches_target", "Source path matches final output mezzanine path")),
+        (F.col("size") != F.col("initial_size"), says("source_changed", changed("size", F.col("initial_size"), F.col("size")))),
+        (F.col("mtime") != F.col("initial_mtime"), says("source_changed", changed("modification time", F.col("initial_mtime"), F.col("mtime")))),
+        (other, says("source_referenced", "Source file is currently referenced by another pending or active transcode job")),
+    ]
+    said = R.first_of(cases, says("deleted")) if enabled else says("disabled")
+    rows = sources.join(waiting, "path", "left").select("job_id", "path", said.alias("s")).select("job_id", "path", "s.reason", "s.warning")
+    return rows.withColumns({"enabled": F.lit(enabled), "attempted": F.lit(enabled), "deleted": F.col("reason") == "deleted", "skipped": F.col("reason") != "deleted"})
 
 
 def orphans(listing: DataFrame, folder: str, now: Column, least_age: int) -> DataFrame:
@@ -105,8 +108,9 @@ def json_longs(text: Column) -> Column:
 
 
 def as_response(assets: DataFrame) -> DataFrame:
-    """Assets as the API gives them: the uuid also as id, JSON texts (warnings, keyframe_offsets_json) as arrays."""
-    kept = [c for c in assets.columns if c not in ("warnings", "keyframe_offsets_json")]
+    """Assets as the API gives them: the uuid also as id, no fingerprint, JSON texts (warnings, keyframe_offsets_json) as
+    arrays."""
+    kept = [c for c in assets.columns if c not in ("fingerprint", "warnings", "keyframe_offsets_json")]
     return assets.select(*kept, F.col("uuid").alias("id"), R.json_strings(F.col("warnings")).alias("warnings"), json_longs(F.col("keyframe_offsets_json")).alias("keyframe_offsets"))
 
 
@@ -166,11 +170,6 @@ def encoders(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ENCODERS, ENCODER_DDL)
 
 
-def profile_named(name: Column) -> Column:
-    """The profile of an alias (a, profilea or profile_a and so on, A-Z without case); null for any other."""
-    return F.nullif(F.upper(F.regexp_extract(R.ascii_lower(name), "^(?:profile_?)?([abc])$", 1)), F.lit(""))
-
-
 def threads(given: Column, cores: Column, logical: Column, concurrency: Column) -> tuple[Column, Column]:
     """Threads of an encode, and of all at once: as given; else the cores (half of the logical ones where 0) by the concurrency."""
     own = F.when(cores > 0, cores).otherwise(F.greatest(F.floor(logical / 2), F.lit(1)))
@@ -204,10 +203,29 @@ def minutes(secs: Column) -> Column:
     return F.concat(F.floor(secs / 60).cast("string"), F.lit(":"), F.lpad(F.floor(secs % 60).cast("string"), 2, "0"))
 
 
+def tenths(ms: Column) -> Column:
+    """ms / 1000 with one decimal, as a double is rounded: by its exact binary value, ties up. The value is taken apart
+    into whole numbers, 2^60 times as great."""
+    x = ms / F.lit(1000.0)
+    high = F.floor(x * F.lit(2.0**30))
+    low = F.floor((x * F.lit(2.0**30) - high) * F.lit(2.0**30))
+    exact = high.cast("decimal(20,0)") * F.lit(2**30).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+    one, doubled = F.lit(2**60).cast("decimal(19,0)"), exact * F.lit(10).cast("decimal(2,0)") + F.lit(2**59).cast("decimal(18,0)")
+    n = ((doubled - doubled % one) / one).cast("long")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def duration_label(ms: Column) -> Column:
     """Tenths of seconds under a minute, else minutes:seconds; a dash for none."""
     secs = ms / 1000.0
-    return F.when(ms.isNull() | (ms <= 0), "—").when(secs < 60, F.format_string("%.1fs", secs)).otherwise(minutes(secs))
+    return F.when(ms.isNull() | (ms <= 0), "—").when(secs < 60, F.concat(tenths(ms), F.lit("s"))).otherwise(minutes(secs))
+
+
+def uptime_label(ms: Column) -> Column:
+    """Hours and minutes, under an hour minutes and seconds."""
+    secs = F.floor(ms / 1000)
+    h, m = F.floor(secs / 3600), F.floor(secs % 3600 / 60)
+    return F.when(h > 0, F.format_string("%dh %dm", h, m)).otherwise(F.format_string("%dm %ds", m, secs % 60))
 
 
 def eta_label(percent: Column, speed: Column, duration: Column, at: Column) -> Column:

@@ -69,10 +69,25 @@ def claimed(jobs: DataFrame, worker: str, now: Column, lease_secs: int) -> DataF
     return jobs.join(F.broadcast(first), "id", "left").withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in values.items()}).drop("_mine")
 
 
-def heartbeat(jobs: DataFrame, worker: str, now: Column, lease_secs: int) -> DataFrame:
-    """The leases of a worker's jobs go on, but for those whose cancelling was asked for."""
-    hit = (F.col("worker_id") == worker) & ~F.col("cancel_requested")
-    return jobs.withColumns({"leased_until": F.when(hit, now + F.expr(f"INTERVAL {lease_secs} SECONDS")).otherwise(F.col("leased_until")), "heartbeat_at": F.when(hit, now).otherwise(F.col("heartbeat_at"))})
+def heartbeats(jobs: DataFrame, beats: DataFrame, now: Column, lease_secs: int) -> DataFrame:
+    """The leases of the jobs that beats (id, worker_id) name go on, but for those whose cancelling was asked for. A worker's
+    other jobs, and jobs of another worker than the beat's, stay as they are."""
+    named = beats.select("id", F.col("worker_id").alias("_w")).distinct().groupBy("id").agg(F.collect_set("_w").alias("_w"))
+    hit = F.coalesce(F.array_contains("_w", F.col("worker_id")), F.lit(False)) & ~F.col("cancel_requested")
+    values = {"leased_until": now + F.expr(f"INTERVAL {lease_secs} SECONDS"), "heartbeat_at": now}
+    return jobs.join(named, "id", "left").withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}).select(jobs.columns)
+
+
+def cancel_flags(jobs: DataFrame, beats: DataFrame) -> DataFrame:
+    """beats (id, worker_id) with what each is answered: whether cancelling of the job was asked for; false where the worker
+    has no such job."""
+    found = jobs.select("id", "worker_id", F.col("cancel_requested").alias("_c"))
+    return beats.join(found, ["id", "worker_id"], "left").select("id", "worker_id", F.coalesce("_c", F.lit(False)).alias("cancel_requested"))
+
+
+def active_by_request(jobs: DataFrame, request_hash: str) -> DataFrame:
+    """An active job of the request, the one of the least id; none if there is none."""
+    return jobs.where((F.col("request_hash") == request_hash) & F.col("state").isin("Pending", "Processing")).orderBy("id").limit(1)
 
 
 def cancelled(jobs: DataFrame, which: Column) -> DataFrame:

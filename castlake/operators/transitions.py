@@ -22,11 +22,31 @@ def added_processing(assets: DataFrame, rows: DataFrame) -> DataFrame:
     return assets.unionByName(rows.withColumn("status", F.lit("processing")), allowMissingColumns=True)
 
 
+#: Fields of a published file, with how each comes from a result; a table without a field goes without it.
+PUBLISHED = {
+    "current_path": "path",
+    "duration_ms": "duration_ms",
+    "trim_out_ms": "duration_ms",
+    "mezzanine_ok": "mezzanine_ok",
+    "fps": "fps",
+    "fps_num": "fps_num",
+    "fps_den": "fps_den",
+    "total_frames": "total_frames",
+    "gop_frames": "gop_frames",
+    "keyframe_safe_start_ms": "keyframe_safe_start_ms",
+    "warnings": "warnings",
+    "keyframe_offsets_json": "keyframe_offsets",
+}
+AS_JSON = ("warnings", "keyframe_offsets_json")
+
+
 def ready(assets: DataFrame, results: DataFrame) -> DataFrame:
-    """results: uuid, path, duration_ms, mezzanine_ok. The trims are reset to the whole."""
-    r = results.select(F.col("uuid").alias("_u"), F.col("path").alias("_p"), F.col("duration_ms").alias("_d"), F.col("mezzanine_ok").alias("_m"))
-    hit = F.col("_u").isNotNull()
-    out = _set(assets.join(r, F.col("uuid") == F.col("_u"), "left"), hit, {"status": F.lit("ready"), "current_path": F.col("_p"), "duration_ms": F.col("_d"), "trim_in_ms": F.lit(0).cast("long"), "trim_out_ms": F.col("_d"), "mezzanine_ok": F.col("_m")})
+    """assets with what was published: results has uuid and the fields named in PUBLISHED (warnings and keyframe_offsets as
+    arrays). The trims are reset to the whole."""
+    r = results.select(F.col("uuid").alias("_u"), F.struct(*[c for c in results.columns if c != "uuid"]).alias("_r"))
+    value = lambda c, of: F.to_json(F.col(f"_r.{of}")) if c in AS_JSON else F.col(f"_r.{of}").cast(assets.schema[c].dataType)
+    new = {c: value(c, of) for c, of in PUBLISHED.items() if c in assets.columns}
+    out = _set(assets.join(r, F.col("uuid") == F.col("_u"), "left"), F.col("_u").isNotNull(), {"status": F.lit("ready"), "trim_in_ms": F.lit(0).cast("long"), **new})
     return out.select(assets.columns)
 
 
@@ -35,9 +55,14 @@ def failed(assets: DataFrame, which: Column) -> DataFrame:
 
 
 def subclips(assets: DataFrame, requests: DataFrame) -> DataFrame:
-    """assets and a copy of each requested active parent; requests: parent, uuid, name, trim_in, trim_out."""
-    r = requests.select("parent", F.col("uuid").alias("_u"), F.col("name").alias("_n"), F.col("trim_in").alias("_i"), F.col("trim_out").alias("_o"))
-    copies = assets.where("deleted_at IS NULL").join(r, F.col("uuid") == F.col("parent")).withColumns({"uuid": F.col("_u"), "display_name": F.col("_n"), "trim_in_ms": F.col("_i"), "trim_out_ms": F.when(F.col("_o") <= 0, F.col("duration_ms")).otherwise(F.col("_o"))})
+    """assets and a subclip of each requested active parent; requests: parent, uuid, name, trim_in, trim_out, mezzanine_ok,
+    warnings (JSON text). A subclip is in its parent's folder, never was elsewhere, and has its own checks and warnings; all
+    else is its parent's."""
+    r = requests.select(F.col("parent").alias("_parent"), F.struct("uuid", "name", "trim_in", "trim_out", "mezzanine_ok", "warnings").alias("_r"))
+    out = F.when(F.col("_r.trim_out") <= 0, F.col("duration_ms")).otherwise(F.col("_r.trim_out"))
+    new = {"uuid": F.col("_r.uuid"), "display_name": F.col("_r.name"), "trim_in_ms": F.col("_r.trim_in"), "trim_out_ms": out, "mezzanine_ok": F.col("_r.mezzanine_ok"), "warnings": F.col("_r.warnings"), "original_virtual_folder": F.lit(None)}
+    copies = assets.where("deleted_at IS NULL").join(r, F.col("uuid") == F.col("_parent"))
+    copies = copies.withColumns({c: v.cast(assets.schema[c].dataType) for c, v in new.items() if c in assets.columns})
     return assets.unionByName(copies.select(assets.columns))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import details as D
+from ..operators import encodes as C
+from ..sources.media import first_keyframe_ms
 from .registry import ASSETS, JCOLS, JCORE, JOBS, SUB, registered, table
 from .relations import RELATIONS, relation
 
@@ -26,18 +28,20 @@ def duck(text: str) -> str:
 
 
 # files that may go
-SOURCES = f"""SELECT id AS job_id, CASE k % 11 WHEN 0 THEN ' ' WHEN 1 THEN '/watch/../x.mov' WHEN 2 THEN '/' WHEN 3 THEN '/other/a.mov' WHEN 4 THEN '/watch/out/b.mov' WHEN 5 THEN '/watching/c.mov' ELSE input_path END AS path,
+SOURCES = f"""SELECT id AS job_id, CASE k % 11 WHEN 0 THEN ' ' WHEN 1 THEN '/watch/../x.mov' WHEN 2 THEN '/' WHEN 3 THEN '/other/a.mov' WHEN 4 THEN '/watch/out/b.mov' WHEN 5 THEN '/watching/c.mov' WHEN 6 THEN '/watch' WHEN 7 THEN '/watch/a' || chr(92) || '..' || chr(92) || 'd.mov' WHEN 8 THEN chr(9) || '/watch/in/e.mov' || chr(10) ELSE input_path END AS path,
  k % 13 = 0 AS is_dir, k % 17 <> 0 AS is_there, CASE WHEN k % 29 = 0 THEN input_path ELSE '/watch/out/x.mp4' END AS final_path,
  CASE WHEN k % 23 <> 0 THEN CAST(100 AS BIGINT) END AS initial_size, CAST(5 AS BIGINT) AS initial_mtime, CAST(CASE WHEN k % 19 = 0 THEN 101 ELSE 100 END AS BIGINT) AS size, CAST(CASE WHEN k % 31 = 0 THEN 6 ELSE 5 END AS BIGINT) AS mtime
  FROM (SELECT *, {N % "id"} AS k FROM {{transcode_jobs}})"""
 OPEN = f"state IN ('Pending', 'Processing') AND {N % 'id'} % 50 = 0"
-CLEANUP = f"""SELECT job_id, path, reason, reason = 'deleted' AS deleted, reason <> 'deleted' AS skipped FROM (SELECT s.*, CASE
- WHEN trim(path) = '' OR contains(path, '/../') OR path = '/' THEN 'unsafe_path' WHEN is_dir THEN 'source_is_directory' WHEN NOT is_there THEN 'already_removed'
- WHEN NOT starts_with(path, '/watch/') THEN 'outside_source_root' WHEN starts_with(path, '/watch/out/') OR path = final_path THEN 'source_matches_target'
- WHEN size <> coalesce(initial_size, size) OR mtime <> initial_mtime THEN 'source_changed'
- WHEN EXISTS (SELECT 1 FROM transcode_jobs o WHERE {OPEN} AND o.input_path = s.path AND o.id <> s.job_id) THEN 'source_referenced' ELSE 'deleted' END AS reason FROM ({duck(SOURCES)}) s)"""
+REASONS = """CASE WHEN p = '' THEN ['unsafe_path', 'Source path is empty'] WHEN contains(replace(p, chr(92), '/'), '/../') THEN ['unsafe_path', 'Source path contains parent directory traversal (..)'] WHEN p = '/' THEN ['unsafe_path', 'Cannot delete root directory']
+ WHEN is_dir THEN ['source_is_directory', 'Refusing to delete directory as source file'] WHEN NOT is_there THEN ['already_removed', NULL] WHEN NOT starts_with(p || '/', '/watch/') THEN ['outside_source_root', 'Source path is outside configured watch directory root']
+ WHEN p = '/watch' THEN ['source_is_directory', 'Refusing to delete watch folder root'] WHEN starts_with(p || '/', '/watch/out/') THEN ['source_matches_target', 'Source path is inside target mezzanine directory'] WHEN p = final_path THEN ['source_matches_target', 'Source path matches final output mezzanine path']
+ WHEN size <> coalesce(initial_size, size) THEN ['source_changed', 'Source file size changed during processing (was ' || initial_size || ', now ' || size || ')'] WHEN mtime <> initial_mtime THEN ['source_changed', 'Source file modification time changed during processing (was ' || initial_mtime || ', now ' || mtime || ')']
+ WHEN busy THEN ['source_referenced', 'Source file is currently referenced by another pending or active transcode job'] ELSE ['deleted', NULL] END"""
+CLEANUP = f"""SELECT job_id, path, r[1] AS reason, r[2] AS warning, true AS enabled, true AS attempted, r[1] = 'deleted' AS deleted, r[1] <> 'deleted' AS skipped FROM (SELECT job_id, path, {REASONS} AS r
+ FROM (SELECT s.*, trim(path, ' ' || chr(9) || chr(10)) AS p, EXISTS (SELECT 1 FROM transcode_jobs o WHERE {OPEN} AND o.input_path = s.path AND o.id <> s.job_id) AS busy FROM ({duck(SOURCES)}) s))"""
 registered("m30_cleanup", CLEANUP)(lambda spark, sf: D.cleanup_decisions(view(spark, sf, SOURCES), relation(spark, sf, JOBS).where(OPEN), "/watch/", "/watch/out"))
-registered("m30_cleanup_disabled", "SELECT id AS job_id, 'disabled' AS reason FROM transcode_jobs")(lambda spark, sf: D.cleanup_decisions(view(spark, sf, SOURCES), relation(spark, sf, JOBS), "/watch", "/watch/out", False).select("job_id", "reason"))
+registered("m30_cleanup_disabled", "SELECT id AS job_id, 'disabled' AS reason, false AS attempted, false AS enabled FROM transcode_jobs")(lambda spark, sf: D.cleanup_decisions(view(spark, sf, SOURCES), relation(spark, sf, JOBS), "/watch", "/watch/out", False).select("job_id", "reason", "attempted", "enabled"))
 LISTING = "SELECT CASE event_id % 6 WHEN 0 THEN '/out/a.mp4' WHEN 1 THEN '/out/.tmp_b.mp4' WHEN 2 THEN '/out/c.tmp_json' WHEN 3 THEN '/out/sub/d.part' WHEN 4 THEN '/out/e.PART' ELSE '/out/f.uuid.json' END AS path, event_id AS mtime FROM {events}"
 registered("m29_orphans", f"SELECT path, mtime FROM ({duck(LISTING)}) WHERE mtime % 6 IN (1, 2, 4, 5) AND mtime <= 900")(lambda spark, sf: D.orphans(view(spark, sf, LISTING), "/out/", F.lit(1000), 100))
 POLLS = "SELECT CAST(user_id AS STRING) AS path, event_id AS at, CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 0 WHEN 'error' THEN NULL ELSE 7 END AS size FROM {events}"
@@ -80,7 +84,7 @@ def with_json(assets: DataFrame) -> DataFrame:
     return assets.select("uuid", "fingerprint", "status").withColumns({"warnings": pick('["a","b"]', "bad", "[]"), "keyframe_offsets_json": pick("[0,2000]", '[1,"x"]', "[]", "[1.5]", "[null]")})
 
 
-registered("f07_responses", "SELECT uuid, uuid AS id, fingerprint, status, CASE WHEN fingerprint % 3 = 0 THEN ['a', 'b'] ELSE CAST([] AS VARCHAR[]) END AS warnings, CASE WHEN fingerprint % 5 = 0 THEN CAST([0, 2000] AS BIGINT[]) ELSE CAST([] AS BIGINT[]) END AS keyframe_offsets FROM media_assets", ASSETS)(lambda a: D.as_response(with_json(a)))
+registered("f07_responses", "SELECT uuid, uuid AS id, status, CASE WHEN fingerprint % 3 = 0 THEN ['a', 'b'] ELSE CAST([] AS VARCHAR[]) END AS warnings, CASE WHEN fingerprint % 5 = 0 THEN CAST([0, 2000] AS BIGINT[]) ELSE CAST([] AS BIGINT[]) END AS keyframe_offsets FROM media_assets", ASSETS)(lambda a: D.as_response(with_json(a)))
 registered("f11_asset_detail", "SELECT uuid, uuid AS id, status, ['w'] AS warnings, CAST(range(0, 100) AS BIGINT[]) AS keyframe_offsets, CAST(150 AS BIGINT) AS keyframe_count FROM media_assets WHERE uuid = 'a000000000036'", ASSETS)(
     lambda a: D.asset_detail(a.select("uuid", "status").withColumns({"warnings": F.lit('["w"]'), "keyframe_offsets_json": F.to_json(F.sequence(F.lit(0), F.lit(149)))}), "a000000000036")
 )
@@ -111,7 +115,81 @@ registered("j08_listed", "SELECT uuid, current_path FROM media_assets WHERE curr
 registered("j09_encoders", "SELECT p_partkey, profile, 1920 AS target_width, 1080 AS target_height, profile = 'B' AS interlaced, CASE WHEN profile = 'C' THEN 'smpte170m' ELSE 'bt709' END AS colorspace, CASE WHEN profile = 'C' THEN 'smpte170m' ELSE 'bt709' END AS color_trc, CASE WHEN profile = 'C' THEN 'smpte170m' ELSE 'bt709' END AS color_primaries, 'high' AS profile_h264, '4.2' AS level_h264 FROM (SELECT p_partkey, CASE WHEN p_size * 40 > 900 AND p_brand LIKE '%1' THEN 'B' WHEN p_size * 40 > 900 THEN 'A' ELSE 'C' END AS profile FROM part)")(
     lambda spark, sf: table(spark, sf, "part").select("p_partkey", R.profile(F.col("p_size") * 40, F.when(F.col("p_brand").endswith("1"), "tff").otherwise("progressive")).alias("profile")).join(F.broadcast(D.encoders(spark)), "profile")
 )
-registered("x33_aliases", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' END AS profile FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", D.profile_named(F.element_at(F.array(*map(F.lit, ("a", "ProfileB", "profile_c", "d", "", "profile-a"))), (F.col("event_id") % 6 + 1).cast("int"))).alias("profile")))
+NAMES = ("a", "ProfileB", "profile_c", "H264-720P50", "x-prores-1080i50", "prores-1080i50", "d", "", "profile-a")
+registered("x33_aliases", "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'h264-1080p25' WHEN 1 THEN 'h264-1080i50' WHEN 2 THEN 'h264-1080p25-sd-pal' WHEN 3 THEN 'h264-720p50' WHEN 5 THEN 'prores-1080i50' END AS profile FROM events")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", C.profile_name(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("event_id") % 9 + 1).cast("int"))).alias("profile"))
+)
+REGISTRY = """SELECT event_id, asked, width, height, CAST(width AS DOUBLE) * height * 25 AS pixels, interlaced, crf, maxrate, video_level FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'h264-720p50' ELSE 'prores-1080i50' END AS asked, event_id % 5 AS k FROM events) JOIN
+ (VALUES (0, 1920, 1080, false, 17, '15M', '4.2'), (1, 1920, 1080, true, 18, '15M', '4.2'), (2, 1920, 1080, false, 20, '10M', '4.2'), (3, 1280, 720, false, 17, '12M', '4.1'), (4, 1920, 1080, true, NULL, NULL, NULL)) AS p(k, width, height, interlaced, crf, maxrate, video_level) USING (k)"""
+
+
+@registered("s21_profiles", REGISTRY)
+def profile_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry, joined with what each event asks for."""
+    asked = table(spark, sf, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("A", "b", "c", "h264-720p50", "prores-1080i50"))), (F.col("event_id") % 5 + 1).cast("int")).alias("asked"))
+    found = asked.withColumn("name", C.profile_name(F.col("asked"))).join(F.broadcast(C.profiles(spark)), "name")
+    return found.select("event_id", "asked", "width", "height", (F.col("width").cast("double") * F.col("height") * 25).alias("pixels"), "interlaced", "crf", "maxrate", "video_level")
+
+
+ARGS = """SELECT id, problem, CASE WHEN problem IS NULL THEN list_concat(list_concat(list_concat(
+ ['-y', '-hide_banner', '-loglevel', 'info', '-stats', '-analyzeduration', '100M', '-probesize', '50M', '-fflags', '+genpts', '-i', input_path, '-map_metadata', '-1', '-map_chapters', '-1', '-vf', 'fps=25/1,scale=1920:1080:force_original_aspect_ratio=decrease,pad=1920:1080:(ow-iw)/2:(oh-ih)/2,setsar=1,format=yuv420p',
+  '-fps_mode', 'cfr', '-video_track_timescale', '1000', '-f', 'mp4', '-c:v', 'libx264', '-preset', 'medium', '-crf', CAST(17 + p AS VARCHAR), '-maxrate', '15M', '-bufsize', '30M', '-profile:v', 'high', '-level', '4.2', '-pix_fmt', 'yuv420p', '-r', '25/1', '-colorspace', color, '-color_trc', color, '-color_primaries', color,
+  '-g', '50', '-keyint_min', '50', '-sc_threshold', '0', '-x264-params', 'open-gop=0:keyint=50:min-keyint=50:scenecut=0' || CASE WHEN p = 1 THEN ':interlaced=1:pic-struct=1' ELSE '' END],
+ CASE WHEN p = 1 THEN ['-flags', '+ilme+ildct', '-field_order', 'tt'] ELSE [] END || CASE WHEN k % 2 = 0 THEN ['-tune', 'film'] ELSE [] END || ['-movflags', '+faststart', '-threads', CAST(k % 4 + 1 AS VARCHAR), '-map', '0:v:0', '-map', '0:a:0?']),
+ CASE WHEN k % 3 > 0 AND ch > 0 AND flt <> '' THEN ['-af', flt] ELSE [] END || ['-c:a', codec]),
+ CASE codec WHEN 'pcm_s16le' THEN ['-ar', '48000', '-ac', och] WHEN 'libmp3lame' THEN ['-b:a', '192k', '-ar', '48000', '-ac', och] ELSE ['-b:a', '192k', '-ar', '48000', '-ac', och, '-async', '1'] END || ['-max_muxing_queue_size', '4096', output]) END AS args
+ FROM (SELECT *, CASE WHEN k % 3 > 0 AND (ch = 3 OR ch = 8 AND NOT keep) THEN 'unsupported_audio_channel_layout' END AS problem, CASE WHEN k % 3 > 0 AND keep AND ch > 2 THEN CAST(ch AS VARCHAR) ELSE '2' END AS och,
+  down || CASE k % 4 WHEN 0 THEN 'loudnorm=I=' || CASE WHEN k % 3 = 1 THEN '-20.50:TP=-1.00:LRA=7.00' ELSE '-20.50:TP=-2.00:LRA=11.00' END || ':print_format=summary'
+   WHEN 1 THEN CASE WHEN k % 3 = 1 THEN 'loudnorm=I=-23.00:TP=-1.00:LRA=7.00:print_format=summary' ELSE 'loudnorm=I=-24.00:TP=-2.00:LRA=11.00:print_format=summary' END
+   WHEN 2 THEN 'loudnorm=I=-23.00:TP=-1.00:LRA=7.00:measured_I=-30.25:measured_TP=-5.00:measured_LRA=4.50:measured_thresh=-40.00:offset=0.75:linear=true:print_format=summary' ELSE '' END AS flt
+  FROM (SELECT *, CASE WHEN keep THEN '' WHEN ch = 1 THEN 'pan=stereo|c0=c0|c1=c0' || CASE WHEN k % 4 = 3 THEN '' ELSE ',' END WHEN ch = 6 THEN 'pan=stereo|FL=0.4142*c0+0.2929*c2+0.2929*c4|FR=0.4142*c1+0.2929*c2+0.2929*c5' || CASE WHEN k % 4 = 3 THEN '' ELSE ',' END ELSE '' END AS down
+   FROM (SELECT id, input_path, '/out/' || id || '.mp4' AS output, k, k % 3 AS p, CASE WHEN k % 3 = 2 THEN 'smpte170m' ELSE 'bt709' END AS color, k // 12 % 9 AS ch, k % 5 = 0 AS keep, CASE k % 7 WHEN 0 THEN 'pcm_s16le' WHEN 1 THEN 'libmp3lame' ELSE 'aac' END AS codec FROM (SELECT id, input_path, CAST(substr(id, 2) AS BIGINT) AS k FROM transcode_jobs))) WHERE ch IN (0, 1, 2, 3, 6, 8))"""
+
+
+@registered("x17_arguments", ARGS, JOBS)
+def arguments(jobs: DataFrame) -> DataFrame:
+    """Jobs with settings, sound and measures of every kind, by their number."""
+    k = F.col("k")
+    enc = F.element_at(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("profile", "target_width", "target_height", "interlaced", "colorspace", "color_trc", "color_primaries", "profile_h264", "level_h264"), e))) for e in D.ENCODERS)), (k % 3 + 1).cast("int"))
+    mode = F.when(k % 3 == 0, "legacy_v1_encode").when(k % 3 == 1, "ebu_r128").otherwise("atsc_a85")
+    audio = F.struct(mode.alias("mode"), F.when(k % 7 == 0, "pcm_s16le").when(k % 7 == 1, "libmp3lame").otherwise("aac").alias("codec"), F.lit("192k").alias("bitrate"), (k % 5 == 0).alias("preserve"), F.when(k % 4 == 0, -20.5).alias("target_i"), F.lit(None).cast("double").alias("target_tp"), F.lit(None).cast("double").alias("target_lra"))
+    figures = {"target_i": -23.0, "target_tp": -1.0, "target_lra": 7.0, "input_i": -30.25, "input_tp": -5.0, "input_lra": 4.5, "input_thresh": -40.0, "target_offset": 0.75}
+    measured = F.when(k % 4 >= 2, F.struct((k % 4 == 3).alias("is_silent"), F.lit(True).alias("is_linear"), *(F.lit(v).alias(n) for n, v in figures.items())))
+    settings = F.struct(F.lit("100M").alias("analyzeduration"), F.lit("50M").alias("probesize"), F.lit("medium").alias("preset"), F.when(k % 2 == 0, "film").otherwise("none").alias("tune"), (k % 3 + 17).alias("crf"), F.lit("15M").alias("maxrate"), F.lit("30M").alias("bufsize"), (k % 4 + 1).alias("threads"))
+    rows = jobs.select("id", "input_path", F.concat(F.lit("/out/"), "id", F.lit(".mp4")).alias("output_path"), F.expr(N % "id").alias("k")).withColumn("channels", F.floor(k / 12) % 9)
+    rows = rows.where(F.col("channels").isin(0, 1, 2, 3, 6, 8)).withColumns({"encoder": enc, "settings": settings, "audio": audio, "measured": measured})
+    return C.encode_arguments(rows)
+
+
+registered("x18_colors", "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'colorspace' WHEN 2 THEN 'color_trc' WHEN 3 THEN 'color_primaries' END AS problem FROM events")(
+    lambda spark, sf: (lambda k: table(spark, sf, "events").select("event_id", C.color_problem(F.struct(F.when(k == 1, "linear").otherwise("bt709").alias("colorspace"), F.when(k == 2, "film").otherwise("arib-std-b67").alias("color_trc"), F.when(k == 3, "linear").otherwise("jedec-p22").alias("color_primaries"))).alias("problem")))(F.col("event_id") % 4)
+)
+POLICIES = """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ebu_r128' ELSE 'legacy_v1_encode' END AS mode, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'aac' ELSE 'pcm_s16le' END ELSE 'aac' END AS codec, CASE WHEN event_id % 2 = 1 THEN 2 END AS made_channels, CASE WHEN event_id % 7 = 0 THEN 40 ELSE 80 END AS max_delta,
+ CASE WHEN event_id % 5 = 0 THEN event_id % 10 = 0 ELSE event_id % 4 = 0 END AS clean, CASE WHEN event_id % 3 = 1 THEN 9 ELSE event_id % 6 END AS max_attempts, event_id % 11 <> 0 AS verify,
+ list_filter([CASE WHEN event_id % 2 = 0 AND event_id % 3 <> 0 THEN 'audio_policy' END, CASE WHEN event_id % 5 = 0 AND (event_id % 10 = 0) <> (event_id % 4 = 0) THEN 'storage_policy' END], lambda x: x IS NOT NULL) AS conflicts FROM events"""
+
+
+@registered("f23_policies", POLICIES)
+def policies(spark: SparkSession, sf: str) -> DataFrame:
+    """Configurations in which each policy is given or not."""
+    k = F.col("event_id")
+    given = lambda test, ddl, **fields: F.when(test, F.from_json(F.to_json(F.struct(*(v.alias(n) for n, v in fields.items()))), ddl))
+    rows = table(spark, sf, "events").select(
+        "event_id",
+        F.struct(F.lit("aac").alias("audio_codec"), F.lit("192k").alias("audio_bitrate")).alias("encoding"),
+        F.struct((k % 4 == 0).alias("clean_source_after_success"), (k % 6).alias("max_attempts"), F.lit(5).alias("retry_delay_ms"), F.lit(False).alias("auto_retry_on_start")).alias("ingestion"),
+        given(k % 2 == 0, C.AUDIO, mode=F.lit("ebu_r128"), codec=F.when(k % 3 == 0, "aac").otherwise("pcm_s16le"), bitrate=F.lit("192k")).alias("audio_policy"),
+        given(k % 7 == 0, C.VALIDATION, max_duration_delta_ms=F.lit(40)).alias("validation_policy"),
+        given(k % 5 == 0, C.STORAGE, clean_source_after_success=k % 10 == 0).alias("storage_policy"),
+        given(k % 3 == 1, C.RETRY, max_attempts=F.lit(9)).alias("retry_policy"),
+        given(k % 11 == 0, C.TOOLS, verify_on_startup=F.lit(False)).alias("toolchain_policy"),
+    )
+    p = C.effective_policies(rows)
+    return p.select("event_id", "audio_policy.mode", "audio_policy.codec", F.col("audio_policy.channels").alias("made_channels"), F.col("validation_policy.max_duration_delta_ms").alias("max_delta"), F.col("storage_policy.clean_source_after_success").alias("clean"), "retry_policy.max_attempts", F.col("toolchain_policy.verify_on_startup").alias("verify"), "conflicts")
+
+
+FRAMES = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'N/A' || chr(10) || ' ' || CAST(event_id AS STRING) || '.5 ' || chr(13) || chr(10) || '7.0' WHEN 1 THEN 'bad' || chr(10) || chr(10) WHEN 2 THEN '' ELSE '0.0406,' || chr(10) || CAST(event_id AS STRING) || '.25' END AS text FROM {events}"
+registered("s18_first_keyframe", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id * 1000 + 500 WHEN 3 THEN event_id * 1000 + 250 ELSE 0 END AS ms FROM events")(lambda spark, sf: view(spark, sf, FRAMES).select("event_id", first_keyframe_ms(F.col("text")).alias("ms")))
 registered("x27_threads", "SELECT event_id, each, each * greatest(c, 1) AS total FROM (SELECT event_id, event_id % 4 AS c, CASE WHEN event_id % 5 = 0 THEN CAST(3 AS BIGINT) WHEN event_id % 4 = 0 THEN n ELSE greatest(n // (event_id % 4), 1) END AS each FROM (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_id % 3 * 5 ELSE greatest((event_id % 17) // 2, 1) END AS n FROM events))")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", *(c.alias(n) for n, c in zip(("each", "total"), D.threads(F.when(F.col("event_id") % 5 == 0, 3).otherwise(0), F.col("event_id") % 3 * 5, F.col("event_id") % 17, F.col("event_id") % 4))))
 )
@@ -128,10 +206,11 @@ registered("x31_play", "SELECT event_id, 'PLAY 1-10 \"/v/' || CAST(event_id AS S
 registered("x23_progress_fields", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS frame, CASE WHEN event_id % 2 = 0 THEN CAST(25.5 AS DOUBLE) END AS fps, CASE WHEN event_id % 2 = 0 THEN '12.5kbits/s' END AS bitrate, CASE WHEN event_id % 2 = 0 THEN '1.5x' END AS speed FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", *(c.alias(n) for n, c in D.progress_fields(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("frame=  "), F.col("event_id").cast("string"), F.lit(" fps= 25.5 q=1 bitrate=  12.5kbits/s speed=1.5x"))).otherwise("bitrate=N/A speed=N/A")).items()))
 )
-registered("x32_labels", """SELECT event_id, CASE WHEN ms = 0 THEN '—' WHEN ms < 60000 THEN CAST(ms // 1000 AS STRING) || '.' || CAST((ms % 1000 + 50) // 100 AS STRING) || 's' ELSE CAST(ms // 60000 AS STRING) || ':' || lpad(CAST(ms // 1000 % 60 AS STRING), 2, '0') END AS length,
+registered("x32_labels", """SELECT event_id, CASE WHEN ms = 0 THEN '—' WHEN ms < 60000 THEN printf('%.1fs', CAST(ms AS DOUBLE) / 1000 + CASE WHEN ms % 1000 = 250 THEN 0.001 ELSE 0 END) ELSE CAST(ms // 60000 AS STRING) || ':' || lpad(CAST(ms // 1000 % 60 AS STRING), 2, '0') END AS length,
+ CASE WHEN ms * 50 >= 3600000 THEN CAST(ms * 50 // 3600000 AS STRING) || 'h ' || CAST(ms * 50 // 60000 % 60 AS STRING) || 'm' ELSE CAST(ms * 50 // 60000 AS STRING) || 'm ' || CAST(ms * 50 // 1000 % 60 AS STRING) || 's' END AS uptime,
  CASE WHEN event_id % 101 IN (0, 100) OR event_id % 3 = 0 OR rest <= 0 THEN '' WHEN rest < 60 THEN CAST(rest AS STRING) || 's left' ELSE CAST(rest // 60 AS STRING) || ':' || lpad(CAST(rest % 60 AS STRING), 2, '0') || ' left' END AS eta
- FROM (SELECT event_id, event_id % 1500 * 200 AS ms, event_id % 200 AS rest FROM events) WHERE ms % 1000 <= 800""")(
-    lambda spark, sf: table(spark, sf, "events").select("event_id", D.duration_label(F.col("event_id") % 1500 * 200).alias("length"), D.eta_label(F.col("event_id") % 101, F.when(F.col("event_id") % 3 == 0, "0x").otherwise("2x"), F.col("event_id") % 200 * 2000 + 5000, F.lit(5000)).alias("eta"))
+ FROM (SELECT event_id, event_id % 1500 * 50 AS ms, event_id % 200 AS rest FROM events)""")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", D.duration_label(F.col("event_id") % 1500 * 50).alias("length"), D.uptime_label(F.col("event_id") % 1500 * 2500).alias("uptime"), D.eta_label(F.col("event_id") % 101, F.when(F.col("event_id") % 3 == 0, "0x").otherwise("2x"), F.col("event_id") % 200 * 2000 + 5000, F.lit(5000)).alias("eta"))
 )
 registered("x32_short_errors", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Unknown error' WHEN 1 THEN 'first' WHEN 2 THEN repeat('x', 220) ELSE repeat('x', 217) || '…' END AS short FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", D.short_error(F.when(F.col("event_id") % 4 == 1, " first \nsecond").when(F.col("event_id") % 4 == 2, F.repeat(F.lit("x"), 220)).when(F.col("event_id") % 4 == 3, F.repeat(F.lit("x"), 221))).alias("short"))

@@ -58,15 +58,15 @@ registered("s09_status_with_trashed", f"SELECT {COLS} FROM media_assets WHERE st
 registered("s10_recycle_bin", f"SELECT {COLS} FROM media_assets WHERE deleted_at IS NOT NULL", ASSETS)(lambda a: A.recycle_bin(a).select(CORE))
 registered("s11_jobs_oldest_first", f"SELECT {JCOLS} FROM transcode_jobs", JOBS)(lambda j: j.orderBy("created_at", "id").select(JCORE))
 registered("s12_active_by_fingerprint", f"SELECT {JCOLS} FROM transcode_jobs WHERE fingerprint = 7 AND state IN ('Pending', 'Processing') ORDER BY id LIMIT 1", JOBS)(lambda j: j.where((F.col("fingerprint") == 7) & F.col("state").isin("Pending", "Processing")).orderBy("id").limit(1).select(JCORE))
+registered("s12_active_by_request", f"SELECT {JCOLS} FROM transcode_jobs WHERE lpad(lower(hex(xor(fingerprint, attempt * 8192))), 16, '0') = '0000000000002007' AND state IN ('Pending', 'Processing') ORDER BY id LIMIT 1", JOBS)(
+    lambda j: J.active_by_request(j.withColumn("request_hash", R.request_hash(F.col("fingerprint"), F.col("attempt"))), "0000000000002007").select(JCORE)
+)
 registered("s13_folder_colors", "SELECT virtual_folder, color FROM virtual_folder_colors", COLORS)(lambda c: c.select("virtual_folder", "color"))
 registered(
     "s14_table_rows",
     "SELECT 'media_assets' AS name, COUNT(*) AS n_rows FROM media_assets UNION ALL SELECT 'transcode_jobs', COUNT(*) FROM transcode_jobs UNION ALL SELECT 'virtual_folder_colors', COUNT(*) FROM virtual_folder_colors",
     ASSETS, JOBS, COLORS,
 )(lambda a, j, c: a.agg(F.lit(ASSETS).alias("name"), F.count("*").alias("n_rows")).unionAll(j.agg(F.lit(JOBS), F.count("*"))).unionAll(c.agg(F.lit(COLORS), F.count("*"))))
-registered("s21_phases", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{s}')" for s, ps in R.PHASES_OF.items() for p in ps) + ") AS t(phase, state)")(
-    lambda spark, sf: spark.createDataFrame([(p,) for ps in R.PHASES_OF.values() for p in ps], "phase string").withColumn("state", R.state_of(F.col("phase")))
-)
 
 # pages, searches, summaries
 registered(
@@ -115,12 +115,29 @@ registered("v03_pending_jobs", f"SELECT {JCOLS} FROM transcode_jobs WHERE state
 IN_HIGH = "(virtual_folder = '/HIGH' OR starts_with(lower(virtual_folder), '/high/'))"
 registered("m04_set_trim", f"SELECT * EXCLUDE (h) REPLACE (CASE WHEN h THEN CAST(500 AS BIGINT) ELSE trim_in_ms END AS trim_in_ms, CASE WHEN h THEN CAST(9000 AS BIGINT) ELSE trim_out_ms END AS trim_out_ms) FROM (SELECT {COLS}, fingerprint = 40 AND deleted_at IS NULL AS h FROM media_assets)", ASSETS)(lambda a: T.set_fields(a, F.col("fingerprint") == 40, trim_in_ms=500, trim_out_ms=9000).select(*(F.col(c).cast("long") if c.startswith("trim") else c for c in CORE)))
 registered("m05_move", f"SELECT * REPLACE (CASE WHEN rating = 'K' AND deleted_at IS NULL THEN '/Kids' ELSE virtual_folder END AS virtual_folder) FROM (SELECT {COLS} FROM media_assets)", ASSETS)(lambda a: T.set_fields(a, F.col("rating") == "K", virtual_folder="/Kids").select(CORE))
-registered("m02_mark_ready", f"SELECT * EXCLUDE (h) REPLACE (CASE WHEN h THEN 'ready' ELSE status END AS status, CASE WHEN h THEN '/target/videos/x.mp4' ELSE current_path END AS current_path, CASE WHEN h THEN CAST(5000 AS BIGINT) ELSE duration_ms END AS duration_ms, CASE WHEN h THEN CAST(0 AS BIGINT) ELSE trim_in_ms END AS trim_in_ms, CASE WHEN h THEN CAST(5000 AS BIGINT) ELSE trim_out_ms END AS trim_out_ms, h OR mezzanine_ok AS mezzanine_ok) FROM (SELECT {COLS}, status = 'processing' AND fingerprint % 10 = 0 AS h FROM media_assets)", ASSETS)(
-    lambda a: T.ready(a.select(CORE), a.where("status = 'processing' AND fingerprint % 10 = 0").select("uuid", F.lit("/target/videos/x.mp4").alias("path"), F.lit(5000).cast("long").alias("duration_ms"), F.lit(True).alias("mezzanine_ok")))
-)
-registered("m06_subclips", f"SELECT {COLS} FROM media_assets UNION ALL SELECT * REPLACE (uuid || '-s' AS uuid, 'Part of ' || display_name AS display_name, CAST(100 AS BIGINT) AS trim_in_ms, duration_ms AS trim_out_ms) FROM (SELECT {COLS} FROM media_assets WHERE fingerprint % 50 = 0 AND deleted_at IS NULL)", ASSETS)(
-    lambda a: T.subclips(a.select(CORE), a.where("fingerprint % 50 = 0").select(F.col("uuid").alias("parent"), F.concat("uuid", F.lit("-s")).alias("uuid"), F.concat(F.lit("Part of "), "display_name").alias("name"), F.lit(100).cast("long").alias("trim_in"), F.lit(0).cast("long").alias("trim_out")))
-)
+FULL = "*, CAST(fps_num AS DOUBLE) / CAST(fps_den AS DOUBLE) AS fps, duration_ms // 40 AS total_frames, fps_num * 2 AS gop_frames, fingerprint AS keyframe_safe_start_ms, '[]' AS warnings, '[0]' AS keyframe_offsets_json"
+HIT = {"status": "'ready'", "current_path": "'/target/videos/x.mp4'", "duration_ms": "5000", "trim_in_ms": "0", "trim_out_ms": "5000", "mezzanine_ok": "true", "fps": "50", "fps_num": "50", "fps_den": "1", "total_frames": "250", "gop_frames": "100", "keyframe_safe_start_ms": "40", "warnings": "'[\"w\"]'", "keyframe_offsets_json": "'[0,2000]'"}
+
+
+def all_fields(a: DataFrame) -> DataFrame:
+    """Assets with the fields of a published file."""
+    long = lambda c: F.floor(c).cast("long")
+    return a.select(*CORE, "fps_num", "fps_den").withColumns({"fps": F.col("fps_num").cast("double") / F.col("fps_den").cast("double"), "total_frames": long(F.col("duration_ms") / 40), "gop_frames": F.col("fps_num") * 2, "keyframe_safe_start_ms": F.col("fingerprint"), "warnings": F.lit("[]"), "keyframe_offsets_json": F.lit("[0]")})
+
+
+@registered("m02_mark_ready", "SELECT * EXCLUDE (h) REPLACE (" + ", ".join(f"CASE WHEN h THEN {v} ELSE {c} END AS {c}" for c, v in HIT.items()) + f") FROM (SELECT {FULL}, status = 'processing' AND fingerprint % 10 = 0 AS h FROM (SELECT {COLS}, fps_num, fps_den FROM media_assets))", ASSETS)
+def mark_ready(a: DataFrame) -> DataFrame:
+    values = {"path": "/target/videos/x.mp4", "duration_ms": 5000, "mezzanine_ok": True, "fps": 50.0, "fps_num": 50, "fps_den": 1, "total_frames": 250, "gop_frames": 100, "keyframe_safe_start_ms": 40}
+    done = a.where("status = 'processing' AND fingerprint % 10 = 0").select("uuid", *(F.lit(v).alias(c) for c, v in values.items()), F.array(F.lit("w")).alias("warnings"), F.array(F.lit(0), F.lit(2000)).alias("keyframe_offsets"))
+    return T.ready(all_fields(a), done)
+
+
+@registered("m06_subclips", f"WITH a AS (SELECT {FULL} FROM (SELECT {COLS}, fps_num, fps_den FROM media_assets)) SELECT * FROM a UNION ALL SELECT * REPLACE (uuid || '-s' AS uuid, 'Part of ' || display_name AS display_name, CAST(100 AS BIGINT) AS trim_in_ms, duration_ms AS trim_out_ms, fingerprint % 100 = 0 AS mezzanine_ok, '[\"t\"]' AS warnings, NULL AS original_virtual_folder) FROM a WHERE fingerprint % 50 = 0 AND deleted_at IS NULL", ASSETS)
+def cut_subclips(a: DataFrame) -> DataFrame:
+    asked = a.where("fingerprint % 50 = 0").select(F.col("uuid").alias("parent"), F.concat("uuid", F.lit("-s")).alias("uuid"), F.concat(F.lit("Part of "), "display_name").alias("name"), F.lit(100).cast("long").alias("trim_in"), F.lit(0).cast("long").alias("trim_out"), (F.col("fingerprint") % 100 == 0).alias("mezzanine_ok"), F.lit('["t"]').alias("warnings"))
+    return T.subclips(all_fields(a), asked)
+
+
 registered("m07_purge_fingerprint", f"SELECT {COLS} FROM media_assets WHERE fingerprint <> 40", ASSETS)(lambda a: T.purged(a, F.col("fingerprint") == 40).select(CORE))
 registered("m08_recolor", "SELECT virtual_folder, CASE WHEN virtual_folder IN ('/Archive', '/New') THEN '#ffffff' ELSE color END AS color FROM (SELECT virtual_folder, color FROM virtual_folder_colors UNION ALL SELECT '/New', '')", COLORS)(lambda c: T.recolored(c, c.sparkSession.createDataFrame([("/Archive", "#ffffff"), ("/New", "#ffffff")], "virtual_folder string, color string")))
 registered("m09_upsert_jobs", f"SELECT {JCOLS} FROM transcode_jobs WHERE state <> 'Failed' UNION ALL SELECT id, uuid, input_path, 'Pending', 'queued', NULL, created_at, attempt + 1, max_attempts FROM transcode_jobs WHERE state = 'Failed'", JOBS)(
@@ -141,7 +158,11 @@ LATE = "TIMESTAMP '1997-06-01 00:00:00'"
 registered("m19_claim", f"SELECT * EXCLUDE (h) REPLACE (CASE WHEN h THEN 'Processing' ELSE state END AS state, CASE WHEN h THEN 'probing' ELSE phase END AS phase, CASE WHEN h THEN 'Claimed by worker' ELSE current_stage END AS current_stage, CASE WHEN h THEN 'w1' ELSE worker_id END AS worker_id, CASE WHEN h THEN {NOW} + INTERVAL 10 SECONDS ELSE leased_until END AS leased_until, CASE WHEN h THEN {NOW} ELSE heartbeat_at END AS heartbeat_at, CASE WHEN h THEN coalesce(started_at, {NOW}) ELSE started_at END AS started_at) FROM (SELECT {JLEASE}, id = (SELECT id FROM transcode_jobs WHERE state = 'Pending' AND phase = 'queued' OR state = 'Processing' AND leased_until IS NOT NULL AND leased_until < {NOW} ORDER BY created_at, id LIMIT 1) AS h FROM transcode_jobs)", JOBS)(
     lambda j: J.claimed(j, "w1", now(), 10).select(JLEASE.split(", "))
 )
-registered("m20_heartbeat", f"SELECT id, CASE WHEN worker_id = 'w1' AND NOT cancel_requested THEN {NOW} + INTERVAL 10 SECONDS ELSE leased_until END AS leased_until, CASE WHEN worker_id = 'w1' AND NOT cancel_requested THEN {NOW} ELSE heartbeat_at END AS heartbeat_at FROM transcode_jobs", JOBS)(lambda j: J.heartbeat(j, "w1", now(), 10).select("id", "leased_until", "heartbeat_at"))
+BEAT = "fingerprint % 2 = 0 AND worker_id IN ('w0', 'w1')"  # jobs of w0 get the beat of a worker that is not theirs
+registered("m20_heartbeat", f"SELECT id, CASE WHEN h THEN {NOW} + INTERVAL 10 SECONDS ELSE leased_until END AS leased_until, CASE WHEN h THEN {NOW} ELSE heartbeat_at END AS heartbeat_at FROM (SELECT *, fingerprint % 2 = 0 AND coalesce(worker_id = 'w1', false) AND NOT cancel_requested AS h FROM transcode_jobs)", JOBS)(
+    lambda j: J.heartbeats(j, j.where(BEAT).select("id", F.lit("w1").alias("worker_id")), now(), 10).select("id", "leased_until", "heartbeat_at")
+)
+registered("m20_cancel_flags", f"SELECT id, 'w1' AS worker_id, worker_id = 'w1' AND cancel_requested AS cancel_requested FROM transcode_jobs WHERE {BEAT}", JOBS)(lambda j: J.cancel_flags(j, j.where(BEAT).select("id", F.lit("w1").alias("worker_id"))))
 registered("m21_cancel", "SELECT id, CASE WHEN h AND phase = 'queued' THEN 'Cancelled' ELSE state END AS state, CASE WHEN h AND phase = 'queued' THEN 'cancelled' WHEN h THEN 'cancel_requested' ELSE phase END AS phase FROM (SELECT *, fingerprint % 2 = 0 AND phase NOT IN ('completed', 'failed', 'cancelled') AS h FROM transcode_jobs)", JOBS)(lambda j: J.cancelled(j, F.col("fingerprint") % 2 == 0).select("id", "state", "phase"))
 registered("m22_recover", f"SELECT id, CASE WHEN q THEN 'Pending' WHEN f THEN 'Failed' ELSE state END AS state, CASE WHEN q THEN 'queued' WHEN f THEN 'failed' ELSE phase END AS phase, CASE WHEN q THEN 'Re-queued (stale crash recovery)' WHEN f THEN 'Failed' ELSE current_stage END AS current_stage, CASE WHEN f THEN 'Worker crashed or lease expired (attempts exhausted)' ELSE error END AS error, CASE WHEN f THEN 'lease_expired' ELSE error_category END AS error_category, CASE WHEN NOT (q OR f) THEN worker_id END AS worker_id, CASE WHEN NOT (q OR f) THEN leased_until END AS leased_until, CASE WHEN NOT q THEN heartbeat_at END AS heartbeat_at, started_at, CASE WHEN f THEN {NOW} ELSE finished_at END AS finished_at, CASE WHEN q THEN attempt + 1 ELSE attempt END AS attempt FROM (SELECT *, state = 'Processing' AND attempt < max_attempts AS q, state = 'Processing' AND attempt >= max_attempts AS f FROM transcode_jobs)", JOBS)(lambda j: J.recovered(j, now()).select(JLEASE.split(", ")))
 registered("m22_counts", "SELECT COUNT(*) FILTER (attempt < max_attempts) AS requeued, COUNT(*) FILTER (attempt >= max_attempts) AS failed_exhausted FROM transcode_jobs WHERE state = 'Processing'", JOBS)(J.recovery_counts)
@@ -230,10 +251,12 @@ registered("w03_stable_runs", "SELECT user_id, event_type, run, COUNT(*) AS poll
     lambda spark, sf: (lambda w: events_ms(spark, sf).withColumn("new", (~F.col("event_type").eqNullSafe(F.lag("event_type").over(w))).cast("long")).withColumn("run", F.sum("new").over(w)).groupBy("user_id", "event_type", "run").agg(F.count("*").alias("polls")))(A.Window.partitionBy("user_id").orderBy("at_ms", "event_id"))
 )
 registered("w05_latest", f"SELECT {JCOLS} FROM transcode_jobs QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY created_at DESC, id DESC) = 1", JOBS)(lambda j: A.latest(j, "fingerprint", F.desc("created_at"), F.desc("id")).select(JCORE))
-registered("j07_keyframe_near", f"SELECT a.event_id, bool_or(abs(b.at_ms - a.at_ms - 1000) <= 20.0) AS near FROM ({USER_MS}) a JOIN ({USER_MS}) b USING (user_id) GROUP BY a.event_id")(
-    lambda spark, sf: (lambda e: e.join(e.groupBy("user_id").agg(F.collect_list("at_ms").alias("k")), "user_id").select("event_id", R.near_keyframe(F.col("k"), F.col("at_ms") + 1000, F.lit(25), F.lit(1)).alias("near")))(events_ms(spark, sf))
+registered("j07_keyframe_near", f"SELECT a.event_id, bool_or(abs(b.at_ms - a.at_ms - 6000000) <= 400000.0) AS near FROM ({USER_MS}) a JOIN ({USER_MS}) b USING (user_id) GROUP BY a.event_id")(
+    lambda spark, sf: (lambda e: A.near_marks(e.select("user_id", "event_id", (F.col("at_ms") + 6_000_000).alias("at_ms")), e.select("user_id", F.col("at_ms").alias("mark")), "user_id", "at_ms", "mark", 400_000).select("event_id", "near"))(events_ms(spark, sf))
+)
+registered("w02_faststart", "SELECT doc_id, doc_id % 3 = 0 AND n >= 12 AND n <= 65532 OR doc_id % 3 = 1 AND n >= 12 AS faststart FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)")(
+    lambda spark, sf: table(spark, sf, "documents").select("doc_id", R.has_faststart(F.concat(F.when(F.col("doc_id") % 3 == 1, "moov").otherwise(""), F.col("text"), F.when(F.col("doc_id") % 3 == 0, "moov").otherwise("")).cast("binary")).alias("faststart"))
 )
-registered("w02_faststart", "SELECT doc_id, octet_length(encode(text)) >= 16 AND contains(text[:60000], 'moov') AS faststart FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", R.has_faststart(F.col("text").cast("binary")).alias("faststart")))
 THROTTLED = f"WITH RECURSIVE t AS (SELECT user_id AS key, at_ms, CAST(percent AS DOUBLE) AS percent, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, percent) AS k FROM (SELECT user_id, at_ms, CAST(event_id % 101 AS DOUBLE) AS percent FROM ({USER_MS}))), r AS (SELECT key, at_ms, percent, k, at_ms AS last, true AS sent FROM t WHERE k = 1 UNION ALL SELECT t.key, t.at_ms, t.percent, t.k, CASE WHEN t.at_ms - r.last >= 60000000 OR t.percent >= 100 THEN t.at_ms ELSE r.last END, t.at_ms - r.last >= 60000000 OR t.percent >= 100 FROM t JOIN r ON t.key = r.key AND t.k = r.k + 1) SELECT key, at_ms, percent FROM r WHERE sent"
 registered("t04_throttle", THROTTLED)(lambda spark, sf: S.throttled_batch(events_ms(spark, sf).select(F.col("user_id").alias("key"), "at_ms", (F.col("event_id") % 101).cast("double").alias("percent")), 60_000_000))
 

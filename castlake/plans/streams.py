@@ -56,6 +56,11 @@ def may_follow(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumn("allowed", R.may_follow(F.col("before_phase"), F.col("after_phase")))
 
 
+registered("s21_phases", f"SELECT event_id, phase, CASE WHEN phase = 'queued' THEN 'Pending' WHEN phase = 'completed' THEN 'Completed' WHEN phase = 'failed' THEN 'Failed' WHEN phase = 'cancelled' THEN 'Cancelled' ELSE 'Processing' END AS state FROM (SELECT event_id, {list(NAMES)}[event_id % 12 + 1] AS phase FROM events)")(
+    lambda spark, sf: table(spark, sf, "events").select("event_id", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("event_id") % 12 + 1).cast("int")).alias("phase")).withColumn("state", R.state_of(F.col("phase")))
+)
+
+
 # leases
 BEATS = f"SELECT 'j' || CAST(user_id AS VARCHAR) AS id, {MS} AS at_ms, 'w' || CAST(event_id % 3 AS VARCHAR) AS worker, event_type = 'purchase' AS ended FROM events"
 LEASE, UNTIL = 21_600_000, 1_706_745_600_000

@@ -63,6 +63,12 @@ def keyframes_ms(text: Column) -> Column:
     return F.transform(F.filter(seconds, lambda s: s.isNotNull()), lambda s: F.round(s * 1000).cast("long"))
 
 
+def first_keyframe_ms(text: Column) -> Column:
+    """Milliseconds of the first line that is a number of seconds; 0 if there is none."""
+    seconds = F.transform(F.split(text, "\n"), lambda x: R.stripped(x).try_cast("double"))
+    return F.coalesce(F.round(F.get(F.filter(seconds, lambda s: s.isNotNull()), F.lit(0)) * 1000).cast("long"), F.lit(0).cast("long"))
+
+
 def loudness_document(text: Column) -> Column:
     """The document between the first { and the last } of a log."""
     return F.from_json(F.regexp_extract(text, "(?s)\\{.*\\}", 0), LOUDNESS)

@@ -2,7 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from castlake.functions import rules as R
+from castlake.operators import assets as A
 from castlake.operators import details as D
+from castlake.operators import encodes as C
+from castlake.operators import jobs as J
+from castlake.operators import transitions as T
+from castlake.sources import media
 
 SOURCE = "job_id string, path string, is_dir boolean, is_there boolean, final_path string, initial_size long, initial_mtime long, size long, mtime long"
 JOB = "id string, input_path string, state string"
@@ -26,7 +32,7 @@ def test_cleanup_reasons(spark):
     jobs = spark.createDataFrame([("1", "/w/a", "Processing"), ("9", "/w/c", "Pending"), ("8", "/w/d", "Failed")], JOB)
     sources = spark.createDataFrame(rows, SOURCE)
     got = sorted((r.job_id or "", r.path, r.reason, r.deleted, r.skipped) for r in D.cleanup_decisions(sources, jobs, "/w", "/o").collect())
-    assert [x[2] for x in got] == ["source_matches_target", "source_referenced", "deleted", "source_referenced", "source_changed", "deleted", "outside_source_root", "unsafe_path"]
+    assert [x[2] for x in got] == ["source_matches_target", "source_referenced", "deleted", "source_referenced", "source_changed", "source_is_directory", "outside_source_root", "unsafe_path"]
     assert all(d != s for *_, d, s in got)
     assert {r.reason for r in D.cleanup_decisions(sources, jobs, "/w", "/o", enabled=False).collect()} == {"disabled"}
     assert D.cleanup_decisions(sources.limit(0), jobs.limit(0), "/w", "/o").count() == 0
@@ -71,7 +77,7 @@ def test_labels(spark):
     eta = lambda *x: D.eta_label(*map(F.lit, x))
     assert one(spark, eta(50.0, "2x", 10000, 4000), eta(50.0, "", 10000, 4000), eta(0.0, "2x", 10000, 4000), eta(50.0, "N/A", 10000, 4000), eta(50.0, "0x", 10000, 4000), eta(50.0, "1x", 100000, 4000), eta(50.0, None, 10000, 0)) == ("3s left", "6s left", "", "", "", "1:36 left", "")
     assert one(spark, *(D.short_error(F.lit(x)) for x in (None, "", " a \nb", "x" * 221))) == ("Unknown error", "Unknown error", "a", "x" * 217 + "…")
-    assert one(spark, *(D.profile_named(F.lit(x)) for x in ("A", "Profile_B", "profilec", "profile__a", "", None))) == ("A", "B", "C", None, None, None)
+    assert one(spark, *(C.profile_name(F.lit(x)) for x in ("A", "Profile_B", "profilec", "profile__a", "", None))) == ("h264-1080p25", "h264-1080i50", "h264-1080p25-sd-pal", None, None, None)
     assert one(spark, *(D.json_longs(F.lit(x)) for x in ("[1,2]", "[]", "[1.5]", "{}", "bad", None))) == ([1, 2], [], [], [], [], [])
     assert one(spark, *D.threads(F.lit(0), F.lit(0), F.lit(1), F.lit(0)), *D.threads(F.lit(0), F.lit(3), F.lit(8), F.lit(4))) == (1, 1, 1, 4)
 
@@ -80,3 +86,71 @@ def test_progress_of_unknown_jobs_is_left_out(spark):
     jobs = spark.createDataFrame([("a",), ("b",)], "id string")
     events = spark.createDataFrame([("a", 1, 5.0, "s", 1.0, "k", "1x", 40), ("a", 2, 9.0, "s", 1.0, "k", "1x", 80), ("z", 1, 1.0, "s", 1.0, "k", "1x", 1)], "id string, seq long, percent double, stage string, fps double, bitrate string, speed string, current_time_ms long")
     assert sorted((r.id, r.progress_percent) for r in D.with_progress(jobs, events).collect()) == [("a", 9.0), ("b", None)]
+
+
+def test_cleanup_warnings(spark):
+    rows = [("5", "/w", None, True, None, None, None, 5, 1), ("6", " ", False, True, None, None, None, 5, 1), ("7", "C:\\", False, True, None, None, None, 5, 1), ("8", "/w/a", False, True, None, 4, 1, 5, 1), ("9", "/w/b", False, False, None, 4, 1, 5, 1)]
+    out = D.cleanup_decisions(spark.createDataFrame(rows, SOURCE), spark.createDataFrame([], JOB), "/w/", "/o")
+    got = {r.job_id: (r.reason, r.warning, r.enabled, r.attempted) for r in out.collect()}
+    assert got == {
+        "5": ("source_is_directory", "Refusing to delete watch folder root", True, True),
+        "6": ("unsafe_path", "Source path is empty", True, True),
+        "7": ("unsafe_path", "Cannot delete root directory", True, True),
+        "8": ("source_changed", "Source file size changed during processing (was 4, now 5)", True, True),
+        "9": ("already_removed", None, True, True),
+    }
+
+
+def test_purge_paths(spark):
+    for path, why in {"": "empty", "\t\n": "empty", "/a/../b": "traversal", "a\\..\\b": "traversal", "/": "root", "\\": "root", "D:\\": "root", "/w/x": "watch", "/w": "watch", "/t/x": None, " /t/x ": None, "/tx": "outside", "/t/..x": None}.items():
+        (got,) = one(spark, R.purge_path_error(F.lit(path), "/w", "/t/"))
+        assert (got is None) == (why is None) and (why or "") in (got or ""), (path, got)
+    assert one(spark, R.purge_path_error(F.lit("/w/x")))[0] is None
+
+
+def test_tenths_are_those_of_the_double(spark):
+    """Ties of the decimal text are none of the double, but for quarters."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    df = spark.range(0, 60_000, 25)
+    for ms, text in df.select("id", D.tenths(F.col("id"))).collect():
+        assert text == str(Decimal(ms / 1000).quantize(Decimal("0.1"), ROUND_HALF_UP)), ms
+    assert one(spark, *(D.duration_label(F.lit(x)) for x in (350, 150, 250, 50))) == ("0.3s", "0.1s", "0.3s", "0.1s")
+    assert one(spark, *(D.uptime_label(F.lit(x)) for x in (0, 59_999, 3_600_000, 90_061_000))) == ("0m 0s", "0m 59s", "1h 0m", "25h 1m")
+
+
+def test_heartbeats_name_jobs(spark):
+    import datetime as dt
+
+    at = dt.datetime(2024, 1, 1)
+    jobs = spark.createDataFrame([("a", "w1", False, at), ("b", "w1", False, at), ("c", "w1", True, at), ("d", "w2", False, at), ("e", None, False, at)], "id string, worker_id string, cancel_requested boolean, leased_until timestamp_ntz").withColumn("heartbeat_at", F.col("leased_until"))
+    beats = spark.createDataFrame([("a", "w1"), ("a", "w1"), ("c", "w1"), ("d", "w1"), ("e", "w1"), ("x", "w1")], "id string, worker_id string")
+    out = J.heartbeats(jobs, beats, F.lit(at + dt.timedelta(seconds=5)), 10)
+    assert {r.id for r in out.where(F.col("leased_until") > F.lit(at)).collect()} == {"a"} and out.count() == 5
+    assert {(r.id, r.cancel_requested) for r in J.cancel_flags(jobs, beats).collect()} == {("a", False), ("c", True), ("d", False), ("e", False), ("x", False)}
+
+
+def test_changes_that_had_no_test(spark):
+    assets = spark.createDataFrame([("a", "ready", "/p", "/f"), ("b", "processing", "/q", "/f")], "uuid string, status string, current_path string, virtual_folder string")
+    more = T.added_processing(assets, spark.createDataFrame([("c", "/r")], "uuid string, current_path string"))
+    assert {(r.uuid, r.status, r.virtual_folder) for r in more.collect()} == {("a", "ready", "/f"), ("b", "processing", "/f"), ("c", "processing", None)}
+    assert {(r.uuid, r.status) for r in T.failed(assets, F.col("uuid") == "b").collect()} == {("a", "ready"), ("b", "error")}
+    assert one(spark, R.percent(F.lit(50), F.lit(200), F.lit(1), F.lit(0)))[0] == 25.0
+
+
+def test_near_marks(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(3), k, rnd.randrange(2000)) for k in range(300)]
+    marks = [(rnd.randrange(3), rnd.randrange(2000)) for _ in range(40)]
+    df = A.near_marks(spark.createDataFrame(rows, "u int, id int, at long"), spark.createDataFrame(marks, "u int, mark long"), "u", "at", "mark", 7)
+    want = {(i, any(v == u and abs(m - t) <= 7 for v, m in marks)) for u, i, t in rows}
+    assert {(r.id, r.near) for r in df.collect()} == want and len({n for _, n in want}) == 2
+
+
+def test_texts_of_the_probe(spark):
+    assert one(spark, media.keyframes_ms(F.lit("0.0\n2.0,\nbad\n4.0406\n")))[0] == [0, 2000, 4041]
+    assert one(spark, *(media.first_keyframe_ms(F.lit(x)) for x in ("\nN/A\n 1.5\r\n2", "", "none", "0.04"))) == (1500, 0, 0, 40)
+    (got,) = one(spark, media.loudness_document(F.lit('[x] {\n"input_i" : "-23.1", "target_offset": "0.2"\n} end')))
+    assert (got.input_i, got.target_offset, got.input_tp) == ("-23.1", "0.2", None)

@@ -19,7 +19,9 @@ p of the level below. Each level is a pass of its own over packed arrays, stored
 contexts' sums.
 
 Memory: a task holds the pairs of FLUSH tokens, and in the merge one range of hashes; ranges have a fixed mean size, so
-their number grows with the input. The files must be reachable as files (a mounted shared folder).
+their number grows with the input. The files must be reachable as files (a mounted shared folder). The model knows which
+ranges have a file: one that a worker cannot see is an error, never a range without keys. A worker keeps MAPS arrays
+mapped, those that it used last.
 
 Defined results: null and empty texts have the end token alone; without training rows every probability is 1 / (V + 1)
 = 1 and the base is log10(0.5 / 0.5) = 0 a token; repeated rows count each time; an empty table gives an empty result;
@@ -30,8 +32,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,7 @@ from .words import U, blocks, hashes, mixed, spans, sums
 START, END = U(0x5EED57A127), U(0x5EED0E9D)
 FLUSH = 1 << 21
 RANGE = 2_000_000  # pairs of a range, on average at most
+MAPS = 8192  # arrays that a worker has mapped at once; a process may have 65,530 maps as a rule
 COLUMNS = ("count", "kinds", "once", "twice", "more")
 SUMS = ("count", "once", "twice", "more")
 
@@ -61,6 +65,7 @@ class Model:
     gamma: float
     order: int = 2
     upper: tuple[tuple[float, float, float], ...] = ()  # of the levels from 3
+    stored: dict[str, np.ndarray] = field(default_factory=dict)  # of each kind of file, whether a range has one
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,6 +121,15 @@ ROWS_DDL = "bucket int, n int, payload binary, stats array<long>, kind int"
 FIGURES, WORDS = 1, 2
 
 
+#: Figures of each file: its range, its level (of contexts and words that go along: less than 0), and the counts of counts.
+STATS = ("bucket", "level", "kinds", "total", "n1", "n2", "n3", "n4")
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows by their range; each task has every parts-th of them."""
+    return rows.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+
+
 def _unpacked(payload: bytes, sizes: tuple[int, ...], kinds: tuple[type, ...]) -> list[np.ndarray]:
     out, at = [], 0
     for n, kind in zip(sizes, kinds):
@@ -215,6 +229,7 @@ def _beside(folder: str, merge):
             key, *share = (np.concatenate(x) for x in zip(*sides.pop((kind, bucket))))
             key, share = _summed(key, share)
             _store(f"{folder}/beside{kind}-{bucket}", key=key, **{c: x.astype(np.min_scalar_type(int(x.max()))) for c, x in zip(SUMS, share)})
+            figures.append({"bucket": bucket, "n": 0, "stats": [-kind, len(key), 0, 0, 0, 0, 0], "kind": FIGURES})
         yield pa.RecordBatch.from_pylist(figures, ROWS)
 
     return run
@@ -289,7 +304,7 @@ def _merge_tokens(folder: str, ranges: int):
         for batch in batches:
             for row in batch.to_pylist():
                 if row["stats"]:
-                    stats.append(row["stats"])
+                    stats.append([row["bucket"], *row["stats"]])
                 else:
                     parts.setdefault(row["bucket"], []).append(_unpacked(row["payload"], (row["n"],) * 6, (np.uint64, np.uint64, *[np.uint32] * 4)))
         for bucket in list(parts):
@@ -297,8 +312,8 @@ def _merge_tokens(folder: str, ranges: int):
             token, share = _summed(token, share)
             _store(f"{folder}/tokens-{bucket}", key=token, **{c: x.astype(np.min_scalar_type(int(x.max()))) for c, x in zip(COLUMNS, share)})
             kinds = share[1][token != START]
-            stats.append([1, len(kinds), int(kinds.sum()), *_of_counts(kinds)])
-        yield pa.RecordBatch.from_pylist([dict(zip(("level", "kinds", "total", "n1", "n2", "n3", "n4"), x)) for x in stats], pa.schema([(c, pa.int64()) for c in ("level", "kinds", "total", "n1", "n2", "n3", "n4")]))
+            stats.append([bucket, 1, len(kinds), int(kinds.sum()), *_of_counts(kinds)])
+        yield pa.RecordBatch.from_pylist([dict(zip(STATS, x)) for x in stats], pa.schema([(c, pa.int64()) for c in STATS]))
 
     return run
 
@@ -311,6 +326,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return found if all(0 < d <= k for k, d in enumerate(found, 1)) else (0.5, 1.0, 1.5)
 
 
+def _kind(level: int) -> str:
+    """The kind of the files of a level of figures."""
+    return {1: "tokens", 2: "pairs"}.get(level, f"grams{level}" if level > 0 else f"beside{-level}")
+
+
 def fit(texts: DataFrame, order: int = 2) -> Model:
     """Counts the grams of order tokens (2 and more) of column text of all rows."""
     if order < 2:
@@ -324,23 +344,26 @@ def fit(texts: DataFrame, order: int = 2) -> Model:
     folder = f"{base}/ngram-{uuid.uuid4().hex}"
     os.makedirs(folder)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranges = max(16, size // (6 * RANGE))
+    ranges = max(16, int(size / (6 * RANGE)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges // 2)
-    counted = texts.select("text").mapInArrow(_count(ranges, order), ROWS_DDL).repartition(parts, "bucket")
+    counted = _dealt(texts.select("text").mapInArrow(_count(ranges, order), ROWS_DDL), parts)
     for level in range(order, 2, -1):
         merge = _merge_grams(folder, ranges, level, level == order)
-        counted = counted.mapInArrow(_beside(folder, merge), ROWS_DDL).repartition(parts, "bucket")
+        counted = _dealt(counted.mapInArrow(_beside(folder, merge), ROWS_DDL), parts)
     merge = _merge_pairs(folder, ranges)
-    merged = counted.mapInArrow(merge if order == 2 else _beside(folder, merge), ROWS_DDL).repartition(parts, "bucket")
-    stats = merged.mapInArrow(_merge_tokens(folder, ranges), "level long, kinds long, total long, n1 long, n2 long, n3 long, n4 long")
-    sums_of = {r["level"]: r.asDict() for r in stats.groupBy("level").agg(*(F.sum(c).alias(c) for c in ("kinds", "total", "n1", "n2", "n3", "n4"))).collect()}
+    merged = _dealt(counted.mapInArrow(merge if order == 2 else _beside(folder, merge), ROWS_DDL), parts)
+    # a row for each file comes to the driver: some hundred bytes for each 12 MB of text
+    stats = merged.mapInArrow(_merge_tokens(folder, ranges), ", ".join(f"{c} long" for c in STATS)).toArrow()
+    level, bucket = stats["level"].to_numpy(), stats["bucket"].to_numpy()
+    sums_of = {int(k): {c: int(stats[c].to_numpy()[level == k].sum()) for c in STATS[2:]} for k in np.unique(level)}
+    there = {_kind(int(k)): np.isin(np.arange(ranges), bucket[level == k]) for k in np.unique(level)}
     none = dict.fromkeys(("kinds", "total", "n1", "n2", "n3", "n4"), 0)
     one, two = sums_of.get(1, none), sums_of.get(2, none)
     low = discounts(*(one[f"n{k}"] for k in range(1, 5)))
     more = one["kinds"] - one["n1"] - one["n2"]
     gamma = (low[0] * one["n1"] + low[1] * one["n2"] + low[2] * more) / one["total"] if one["total"] else 1.0
     high, *upper = (discounts(*(sums_of.get(level, none)[f"n{k}"] for k in range(1, 5))) for level in range(2, order + 1))
-    return Model(folder, ranges, sums_of.get(order, none)["total"], one["kinds"], two["kinds"], high, low, gamma, order, tuple(upper))
+    return Model(folder, ranges, sums_of.get(order, none)["total"], one["kinds"], two["kinds"], high, low, gamma, order, tuple(upper), there)
 
 
 class Mapped:
@@ -348,13 +371,20 @@ class Mapped:
 
     def __init__(self, model: Model):
         self.model = model
-        self.files: dict[tuple[str, int, str], np.ndarray | None] = {}
+        self.files: OrderedDict[tuple[str, int, str], np.ndarray] = OrderedDict()
 
     def array(self, kind: str, k: int, name: str) -> np.ndarray | None:
+        """An array of a range; null where the range has no keys. A file that should be there and is not is an error."""
+        there = self.model.stored.get(kind)
+        if there is None or not there[k]:
+            return None
         at = kind, k, name
-        if at not in self.files:
-            path = f"{self.model.folder}/{kind}-{k}.{name}"
-            self.files[at] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        if at in self.files:
+            self.files.move_to_end(at)
+        else:
+            if len(self.files) >= MAPS:
+                self.files.popitem(last=False)  # unmapped with its last reference
+            self.files[at] = np.load(f"{self.model.folder}/{kind}-{k}.{name}", mmap_mode="r")
         return self.files[at]
 
     def found(self, kind: str, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

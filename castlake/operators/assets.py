@@ -93,6 +93,23 @@ def summary(assets: DataFrame) -> DataFrame:
     return assets.withColumns({"is_subclip": R.is_subclip(), "display_path": R.basename(F.col("current_path"))})
 
 
+def full_summary(assets: DataFrame, files: DataFrame) -> DataFrame:
+    """The whole summary: that above, warnings as an array, the number of keyframes, whether there is a sidecar (at its
+    place, or beside the file), and a parent, which is not known. files: path of files that exist. Raw texts stay out."""
+    from .details import json_longs
+
+    own = F.when(F.col("current_path") != "", R.sidecar_path(F.col("current_path")))
+    beside = F.when(F.col("current_path") != "", F.concat(F.regexp_replace("current_path", "\\.[^./]*$", ""), F.lit(".uuid.json")))
+    there = files.select(F.col("path").alias("_path")).where(F.col("_path").endswith(".uuid.json")).distinct()
+    kept = [c for c in assets.columns if c not in ("warnings", "keyframe_offsets_json")]
+    rows = summary(assets).withColumns({"_own": own, "_beside": beside})
+    rows = rows.join(there.withColumnRenamed("_path", "_own").withColumn("_a", F.lit(True)), "_own", "left").join(there.withColumnRenamed("_path", "_beside").withColumn("_b", F.lit(True)), "_beside", "left")
+    return rows.select(
+        *kept, "is_subclip", "display_path", R.json_strings(F.col("warnings")).alias("warnings"), F.size(json_longs(F.col("keyframe_offsets_json"))).cast("long").alias("keyframe_count"),
+        F.lit(None).cast("string").alias("parent_uuid"), F.coalesce("_a", "_b", F.lit(False)).alias("sidecar_exists"),
+    )
+
+
 def overview(assets: DataFrame) -> DataFrame:
     """All counts in one scan."""
     live = F.col("deleted_at").isNull()

@@ -114,10 +114,13 @@ def as_response(assets: DataFrame) -> DataFrame:
     return assets.select(*kept, F.col("uuid").alias("id"), R.json_strings(F.col("warnings")).alias("warnings"), json_longs(F.col("keyframe_offsets_json")).alias("keyframe_offsets"))
 
 
-def asset_detail(assets: DataFrame, uuid: str) -> DataFrame:
-    """An asset with its first hundred keyframes."""
-    found = as_response(assets.where(F.col("uuid") == uuid))
-    return found.withColumns({"keyframe_count": F.size("keyframe_offsets").cast("long"), "keyframe_offsets": F.slice("keyframe_offsets", 1, KEYFRAMES)})
+def asset_detail(assets: DataFrame, uuid: str, files: DataFrame) -> DataFrame:
+    """An asset's whole summary, with its first hundred keyframes and the texts that it stands in."""
+    from .assets import full_summary
+
+    raw = assets.where(F.col("uuid") == uuid)
+    texts = raw.select("uuid", F.slice(json_longs(F.col("keyframe_offsets_json")), 1, KEYFRAMES).alias("keyframe_sample"), F.col("warnings").alias("warnings_json"), "keyframe_offsets_json")
+    return full_summary(raw, files).join(texts, "uuid")
 
 
 def tail(lines: Column, n: int) -> Column:
@@ -126,9 +129,20 @@ def tail(lines: Column, n: int) -> Column:
 
 
 def job_detail(jobs: DataFrame, job: str) -> DataFrame:
-    """A job with its input's name and the last hundred lines of its log (stderr_log_json)."""
-    found = jobs.where(F.col("id") == job).withColumns({"input_name": R.basename(F.col("input_path")), "stderr_log_tail": tail(R.json_strings(F.coalesce("stderr_log_json", F.lit("[]"))), LINES)})
-    return found.drop("stderr_log_json")
+    """A job's summary, and the last hundred lines of its log (stderr_log_json)."""
+    return with_log(jobs.where(F.col("id") == job)).withColumn("stderr_log_tail", tail(F.col("_lines"), LINES)).drop("_lines", "stderr_log_json")
+
+
+def with_log(jobs: DataFrame) -> DataFrame:
+    lines = R.json_strings(F.coalesce("stderr_log_json", F.lit("[]")))
+    named = {"input_name": R.basename(F.col("input_path")), "output_name": R.basename(F.col("output_path"))}
+    return jobs.withColumns({**named, "_lines": lines}).withColumn("stderr_lines_count", F.size("_lines").cast("long"))
+
+
+def job_summary(jobs: DataFrame) -> DataFrame:
+    """Jobs with the names of input and output (null without one) and the number of lines of the log, without the log, the
+    lease and what finds the job again."""
+    return with_log(jobs).drop("_lines", "stderr_log_json", "fingerprint", "request_hash", "leased_until", "heartbeat_at", "cancel_requested")
 
 
 def overview(assets: DataFrame, jobs: DataFrame) -> DataFrame:

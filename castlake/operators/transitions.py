@@ -97,6 +97,34 @@ def purge_report(assets: DataFrame, which: Column) -> DataFrame:
     return gone.join(left, "current_path", "left").select("uuid", "current_path", F.col("_kept").isNull().alias("file_removed"))
 
 
+def purge_outcome(assets: DataFrame, which: Column, files: DataFrame, watch: str | None = None, target: str | None = None) -> DataFrame:
+    """What purging does to each row that goes: media_removed and sidecar_removed (files of files: path, that go with it),
+    skipped_referenced and the warning of a file that stays. Files in flight and paths that must not be purged stay."""
+    gone = assets.where(which).select("uuid", "current_path")
+    refs = purged(assets, which).groupBy("current_path").agg(F.count("*").alias("_refs"))
+    there = lambda name, path: files.select(F.col("path").alias(path)).distinct().withColumn(name, F.lit(True))
+    rows = gone.join(refs, "current_path", "left").withColumns({"_refs": F.coalesce("_refs", F.lit(0)), "_side": R.sidecar_path(R.stripped(F.col("current_path")))})
+    rows = rows.join(there("_media", "current_path"), "current_path", "left").join(there("_sidecar", "_side"), "_side", "left")
+    problem = R.purge_path_error(F.col("current_path"), watch, target)
+    free = (F.col("_refs") == 0) & (F.col("current_path") != "")
+    goes = free & problem.isNull() & ~R.is_temp_name(F.col("current_path"))
+    # The warnings.
+    kept = F.format_string("Physical media retained because %d other reference(s) still point to it", F.col("_refs"))
+    warning = F.when(F.col("_refs") > 0, kept).when(free & problem.isNotNull(), F.concat(F.lit("Physical file cleanup skipped: "), problem))
+    return rows.select("uuid", "current_path", (goes & F.col("_media").isNotNull()).alias("media_removed"), (goes & F.col("_sidecar").isNotNull()).alias("sidecar_removed"), (F.col("_refs") > 0).alias("skipped_referenced"), warning.alias("warning"))
+
+
+def purge_one(assets: DataFrame, uuid: str, files: DataFrame, watch: str | None = None, target: str | None = None) -> DataFrame:
+    """The result of purging one asset, one row also where there is none. Nothing is deleted here, so no failure is known."""
+    o = purge_outcome(assets, F.col("uuid") == uuid, files, watch, target)
+    found = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    out = o.agg(
+        F.lit("purge_asset").alias("operation"), F.count("*").alias("rows_deleted"), found("media_removed"), found("sidecar_removed"),
+        F.collect_list(F.when(F.col("skipped_referenced"), F.col("current_path"))).alias("skipped_referenced_files"), F.array().cast("array<string>").alias("cleanup_failures"), F.collect_list("warning").alias("warnings"),
+    )
+    return out.withColumn("warnings", F.when(F.col("rows_deleted") == 0, F.array(F.lit("asset_not_found"))).otherwise(F.col("warnings")))
+
+
 def in_either_folder(root: str) -> Column:
     """Trashed rows that come from the folder, or are in it; the root / holds all."""
     either = F.coalesce(R.in_folder(F.col("original_virtual_folder"), root), F.lit(False)) | F.coalesce(R.in_folder(F.col("virtual_folder"), root), F.lit(False))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..operators import assets as A
 from ..operators import details as D
 from ..operators import encodes as C
+from ..operators import transitions as T
 from ..sources.media import first_keyframe_ms
 from .registry import ASSETS, JCOLS, JCORE, JOBS, SUB, registered, table
 from .relations import RELATIONS, relation
@@ -85,11 +87,50 @@ def with_json(assets: DataFrame) -> DataFrame:
 
 
 registered("f07_responses", "SELECT uuid, uuid AS id, status, CASE WHEN fingerprint % 3 = 0 THEN ['a', 'b'] ELSE CAST([] AS VARCHAR[]) END AS warnings, CASE WHEN fingerprint % 5 = 0 THEN CAST([0, 2000] AS BIGINT[]) ELSE CAST([] AS BIGINT[]) END AS keyframe_offsets FROM media_assets", ASSETS)(lambda a: D.as_response(with_json(a)))
-registered("f11_asset_detail", "SELECT uuid, uuid AS id, status, ['w'] AS warnings, CAST(range(0, 100) AS BIGINT[]) AS keyframe_offsets, CAST(150 AS BIGINT) AS keyframe_count FROM media_assets WHERE uuid = 'a000000000036'", ASSETS)(
-    lambda a: D.asset_detail(a.select("uuid", "status").withColumns({"warnings": F.lit('["w"]'), "keyframe_offsets_json": F.to_json(F.sequence(F.lit(0), F.lit(149)))}), "a000000000036")
+SUMMARY = f"uuid, status, current_path, {SUB} OR contains(lower(display_name), 'subclip') OR contains(lower(display_name), 'sub-clip') AS is_subclip, regexp_extract(current_path, '[^/]*$') AS display_path, CASE WHEN fingerprint % 3 = 0 THEN ['a', 'b'] ELSE CAST([] AS VARCHAR[]) END AS warnings, CASE WHEN fingerprint % 5 = 0 THEN CAST(2 AS BIGINT) ELSE 0 END AS keyframe_count, CAST(NULL AS VARCHAR) AS parent_uuid, fingerprint % 4 < 2 AS sidecar_exists"
+SUMMED = ["uuid", "status", "current_path", "is_subclip", "display_path", "warnings", "keyframe_count", "parent_uuid", "sidecar_exists"]
+
+
+def sidecar_files(assets: DataFrame) -> DataFrame:
+    """Sidecars of half of the assets: at their place, or beside the file."""
+    beside = F.regexp_replace("current_path", "mp4$", "uuid.json")
+    return assets.where("fingerprint % 4 < 2").select(F.when(F.col("fingerprint") % 4 == 0, R.sidecar_path(F.col("current_path"))).otherwise(beside).alias("path")).unionByName(assets.select(F.col("current_path").alias("path")))
+
+
+def with_texts(assets: DataFrame) -> DataFrame:
+    return assets.select("uuid", "fingerprint", "status", "current_path", "display_name", "trim_in_ms", "trim_out_ms", "duration_ms").join(with_json(assets).select("uuid", "warnings", "keyframe_offsets_json"), "uuid")
+
+
+registered("f08_full_summary", f"SELECT {SUMMARY} FROM media_assets", ASSETS)(lambda a: A.full_summary(with_texts(a), sidecar_files(a)).select(SUMMED))
+registered("f11_asset_detail", f"SELECT {SUMMARY}, CASE WHEN fingerprint % 5 = 0 THEN CAST([0, 2000] AS BIGINT[]) ELSE CAST([] AS BIGINT[]) END AS keyframe_sample, CASE fingerprint % 3 WHEN 0 THEN '[\"a\",\"b\"]' WHEN 1 THEN 'bad' ELSE '[]' END AS warnings_json, ['[0,2000]', '[1,\"x\"]', '[]', '[1.5]', '[null]'][fingerprint % 5 + 1] AS keyframe_offsets_json FROM media_assets WHERE uuid = 'a000000000036'", ASSETS)(
+    lambda a: D.asset_detail(with_texts(a), "a000000000036", sidecar_files(a)).select(*SUMMED, "keyframe_sample", "warnings_json", "keyframe_offsets_json")
 )
-registered("f12_job_detail", "SELECT id, state, input_path, regexp_extract(input_path, '[^/]*$') AS input_name, list_transform(range(31, 131), lambda x: 'l' || CAST(x AS VARCHAR)) AS stderr_log_tail FROM transcode_jobs WHERE id = 'j000000000007'", JOBS)(
-    lambda j: D.job_detail(j.select("id", "state", "input_path").withColumn("stderr_log_json", F.to_json(F.transform(F.sequence(F.lit(1), F.lit(130)), lambda x: F.concat(F.lit("l"), x.cast("string"))))), "j000000000007")
+LOG = f"list_transform(range(0, {N % 'id'} % 7 * 30), lambda x: 'l' || CAST(x AS VARCHAR))"
+JSUMMARY = f"id, state, input_path, output_path, regexp_extract(input_path, '[^/]*$') AS input_name, regexp_extract(output_path, '[^/]*$') AS output_name, len({LOG}) AS stderr_lines_count"
+
+
+def with_lines(jobs: DataFrame) -> DataFrame:
+    n = (F.expr(N % "id") % 7 * 30).cast("int")
+    lines = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.concat(F.lit("l"), x.cast("string"))))
+    return jobs.select("id", "state", "input_path", "output_path", "fingerprint", "leased_until", "heartbeat_at", "cancel_requested").withColumn("stderr_log_json", F.to_json(lines))
+
+
+registered("f09_job_summary", f"SELECT {JSUMMARY} FROM transcode_jobs", JOBS)(lambda j: D.job_summary(with_lines(j)))
+registered("f12_job_detail", f"SELECT {JSUMMARY}, fingerprint, leased_until, heartbeat_at, cancel_requested, {LOG}[-100:] AS stderr_log_tail FROM transcode_jobs WHERE id = 'j000000000006'", JOBS)(lambda j: D.job_detail(with_lines(j), "j000000000006"))
+FILES = "SELECT current_path AS path FROM {media_assets} WHERE fingerprint % 3 > 0 UNION ALL SELECT replace(replace(current_path, '/videos/', '/sidecars/'), '.mp4', '.uuid.json') FROM {media_assets} WHERE fingerprint % 4 > 0"
+GOES = "(deleted_at IS NOT NULL AND fingerprint % 5 > 0 OR fingerprint % 10 = 0)"
+OUTCOME = f"""SELECT uuid, current_path, refs = 0 AND fingerprint % 20 > 0 AND fingerprint % 3 > 0 AS media_removed, refs = 0 AND fingerprint % 20 > 0 AND fingerprint % 4 > 0 AS sidecar_removed, refs > 0 AS skipped_referenced,
+ CASE WHEN refs > 0 THEN 'Physical media retained because ' || refs || ' other reference(s) still point to it' WHEN fingerprint % 20 = 0 THEN 'Physical file cleanup skipped: Path is outside managed target directory root' END AS warning
+ FROM (SELECT uuid, fingerprint, CASE WHEN fingerprint % 20 = 0 THEN '/else' ELSE '' END || current_path AS current_path, (SELECT COUNT(*) FROM media_assets o WHERE o.current_path = a.current_path AND NOT {GOES.replace('deleted_at', 'o.deleted_at').replace('fingerprint', 'o.fingerprint')}) AS refs FROM media_assets a WHERE {GOES})"""
+
+
+def moved_some(assets: DataFrame) -> DataFrame:
+    return assets.withColumn("current_path", F.when(F.col("fingerprint") % 20 == 0, F.concat(F.lit("/else"), "current_path")).otherwise(F.col("current_path")))
+
+
+registered("m14_purge_outcome", OUTCOME)(lambda spark, sf: T.purge_outcome(moved_some(relation(spark, sf, ASSETS)), F.expr(GOES), view(spark, sf, FILES), "/watch", "/target"))
+registered("m14_purge_result", f"SELECT 'purge_asset' AS operation, COUNT(*) AS rows_deleted, coalesce(bool_or(refs = 0 AND fingerprint % 3 > 0), false) AS media_removed, coalesce(bool_or(refs = 0 AND fingerprint % 4 > 0), false) AS sidecar_removed, coalesce(list(current_path) FILTER (refs > 0), []) AS skipped_referenced_files, CAST([] AS VARCHAR[]) AS cleanup_failures, coalesce(list('Physical media retained because ' || refs || ' other reference(s) still point to it') FILTER (refs > 0), []) AS warnings FROM (SELECT *, (SELECT COUNT(*) FROM media_assets o WHERE o.current_path = a.current_path AND o.uuid <> a.uuid) AS refs FROM media_assets a WHERE uuid = 'a000000000039')")(
+    lambda spark, sf: T.purge_one(relation(spark, sf, ASSETS), "a000000000039", view(spark, sf, FILES), "/watch", "/target")
 )
 registered("o06_tails", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST([] AS BIGINT[]) WHEN 1 THEN CAST([1, 2] AS BIGINT[]) ELSE CAST([3, 4, 5] AS BIGINT[]) END AS kept FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", D.tail(F.when(F.col("event_id") % 3 == 0, F.array().cast("array<bigint>")).when(F.col("event_id") % 3 == 1, F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))), 3).alias("kept"))

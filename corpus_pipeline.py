@@ -13,7 +13,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language: all with a letter, whatever the network's label and score."""
+    """Keeps documents that have a language: a letter, and a likeliest language of at least langid.SURE times chance."""
     return langid.kept(docs, queries.language_model(docs))
 
 

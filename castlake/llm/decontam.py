@@ -10,8 +10,11 @@ overlapping the next by half, so that every such alignment lies within a band; b
 verified by an alignment within the band, of the whole item against the document.
 
 The items of a benchmark are held by the workers, up to ITEM_BYTES at a time (a checked bound; the index of a part, some 64
-MB, is broadcast); a larger benchmark is dealt into as many parts, built and sent one after the other, each with a pass
-over the documents. Documents are read whole, in blocks of rows.
+MB, is broadcast); the texts of one item_id stay together, and where they are longer they are a part of their own. A larger benchmark is dealt into as many parts. Then a sieve comes first: a bit for each hash of a gram of any item (64
+MB, whatever the benchmark's size) is sent, and one pass over the documents stores those that have as many marked grams as
+an occurrence of some item must share. Only these are then searched, part by part: each part's index is built, sent, used
+in a job of its own and destroyed before the next one, so that driver and workers hold one at a time. Documents are read
+whole, in blocks of rows.
 
 Defined results: null texts and texts without letters or digits match nothing, and such items are matched by nothing;
 items shorter than q are found as they stand, between word borders; equal items and repeated documents are each
@@ -20,6 +23,7 @@ reported; an empty table on either side gives an empty result; further columns a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -27,16 +31,18 @@ from unicodedata import category, combining, decomposition, is_normalized, norma
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ready
+from .shared import ready, scratch, shared_dir, stored
 from .words import U, blocks, hashes, sums
 
 Q = 10
 RATE = 0.07
 ITEM_BYTES = 2 << 20  # an index takes about 32 bytes for each byte of its items
 TABLE_BITS = 22
+SIEVE_BITS = 29
 BESIDE = 1  # a byte that no reduced text has
 
 
@@ -344,50 +350,143 @@ def _within(ix: Index, text: np.ndarray, at: np.ndarray, where: np.ndarray, past
             yield (row, ix.ids[which]), (int(distance[x]), int(where[begin] - offs[row]), int(past[last] - offs[row]))
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark's items, in parts of about ITEM_BYTES at most; each is made when its turn comes."""
-    known = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = size // ITEM_BYTES + 1
+class Sieve:
+    """A bit for each hash of a gram of the items, of each length of grams, and how many marked grams of that length an
+    occurrence of an item has at least."""
+
+    def __init__(self):
+        self.size = SIEVE_BITS
+        self.bits = np.zeros(1 << (self.size - 3), np.uint8)
+        self.least: dict[int, int] = {}
+
+    def _places(self, h: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        at = ((h ^ U(q * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(64 - self.size)).astype(np.int64)
+        return at >> 3, (1 << (at & 7)).astype(np.uint8)
+
+    def add(self, ix: Index | None) -> None:
+        while ix is not None:
+            if len(ix.grams):
+                self._mark(ix.grams, ix.q, int(ix.least.min()))
+            for _, raw in ix.short:
+                own = np.frombuffer(raw, np.uint8)
+                self._mark(hashes(sums(own), np.array([0]), np.array([len(own)])), len(own), 1)
+            ix = ix.rest
+
+    def _mark(self, h: np.ndarray, q: int, least: int) -> None:
+        at, bit = self._places(h, q)
+        np.bitwise_or.at(self.bits, at, bit)
+        self.least[q] = min(least, self.least.get(q, least))
+
+    def passes(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Rows of a block in which an item may occur."""
+        text, at, _, _ = reduced(data, offs)
+        total, out = sums(text), np.zeros(len(offs) - 1, bool)
+        for q, least in self.least.items():
+            if len(text) >= q:
+                start = np.arange(len(text) - q + 1)
+                byte, bit = self._places(hashes(total, start, start + q), q)
+                marked = np.concatenate([[0], np.cumsum((self.bits[byte] & bit) > 0)])
+                # grams that begin in a row; one that reaches into the next row can only add to its count
+                out |= marked[np.minimum(at[1:], len(start))] - marked[np.minimum(at[:-1], len(start))] >= least
+        return out
+
+
+def _known(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+
+def _parts(known: DataFrame) -> int:
+    """Into how many parts the items are dealt, of ITEM_BYTES on average at most."""
+    return known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // ITEM_BYTES + 1
+
+
+def _items(known: DataFrame, parts: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, in lists of ITEM_BYTES at most (or of what one item_id has); the driver holds one part at a time. All
+    texts of an item_id are in one list, which reports the nearest of them."""
     for k in range(parts):
-        yield index(sorted((r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()))
+        held, size = [], 0
+        for r in sorted(known.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).toLocalIterator()):
+            n = len(r["text"].encode())
+            if held and size + n > ITEM_BYTES and held[-1][0] != r["item_id"]:
+                yield held
+                held, size = [], 0
+            held.append((r["item_id"], r["text"]))
+            size += n
+        if held:
+            yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, distance, start, end) of every document and item that occurs in it."""
-    spark = ready(docs.sparkSession)
+FOUND = "doc_id long, item_id long, distance long, start long, end long"
+
+
+def _search(held: Broadcast) -> Callable:
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "distance", "start", "end")])
 
-    def search(held) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch["doc_id"].to_pylist()
-                rows = [(ids[i + r], *x) for i, _, data, offs in blocks(batch["text"], lower=False) for r, *x in matches(held.value, data, offs)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["doc_id"].to_pylist()
+            rows = [(ids[i + r], *x) for i, _, data, offs in blocks(batch["text"], lower=False) for r, *x in matches(held.value, data, offs)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, schema=schema)
 
-        return run
+    return run
 
-    out = None
-    for ix in _indexes(benchmark):
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search(spark.sparkContext.broadcast(ix)), "doc_id long, item_id long, distance long, start long, end long")
-        out = found if out is None else out.unionByName(found)
-    return out
 
+def _kept(held: Broadcast, choose: Callable) -> Callable:
+    """Rows of which choose(held, block) holds."""
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, in which no benchmark item occurs."""
-    spark = ready(docs.sparkSession)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [choose(held.value, data, offs) for _, _, data, offs in blocks(batch["text"], lower=False)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
+
+    return run
 
-    def search(held) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for i, _, data, offs in blocks(batch["text"], lower=False):
-                    keep[[i + x[0] for x in matches(held.value, data, offs)]] = False
-                yield batch.filter(pa.array(keep))
 
-        return run
+def _without_items(ix: Index, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(offs) - 1, bool)
+    keep[[x[0] for x in matches(ix, data, offs)]] = False
+    return keep
 
-    for ix in _indexes(benchmark):
-        docs = docs.mapInArrow(search(spark.sparkContext.broadcast(ix)), docs.schema)
-    return docs
+
+def _sieve(known: DataFrame, parts: int) -> Broadcast:
+    sieve = Sieve()
+    for rows in _items(known, parts):
+        sieve.add(index(rows))
+    return known.sparkSession.sparkContext.broadcast(sieve)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, distance, start, end) of every document and item that occurs in it."""
+    spark = ready(docs.sparkSession)
+    known, docs = _known(benchmark), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = _parts(known)
+    if parts == 1:
+        return docs.mapInArrow(_search(spark.sparkContext.broadcast(index([x for rows in _items(known, 1) for x in rows]))), FOUND)
+    path = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
+    spark.createDataFrame([], FOUND).write.parquet(path)
+    with scratch(spark) as under:
+        sieve = _sieve(known, parts)
+        some = stored(docs.mapInArrow(_kept(sieve, Sieve.passes), docs.schema), "sieved", under)
+        sieve.destroy()
+        for rows in _items(known, parts):
+            held = spark.sparkContext.broadcast(index(rows))
+            some.mapInArrow(_search(held), FOUND).write.mode("append").parquet(path)
+            held.destroy()
+    return spark.read.schema(FOUND).parquet(path)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark item occurs."""
+    spark = ready(docs.sparkSession)
+    known = _known(benchmark)
+    parts = _parts(known)
+    if parts == 1:
+        return docs.mapInArrow(_kept(spark.sparkContext.broadcast(index([x for rows in _items(known, 1) for x in rows])), _without_items), docs.schema)
+    sieve = _sieve(known, parts)
+    some = stored(docs.mapInArrow(_kept(sieve, Sieve.passes), docs.schema), "sieved")
+    for rows in _items(known, parts):
+        held = spark.sparkContext.broadcast(index(rows))
+        some = stored(some.mapInArrow(_kept(held, _without_items), docs.schema), "sieved")
+        held.destroy()
+    rest = docs.mapInArrow(_kept(sieve, lambda s, data, offs: ~s.passes(data, offs)), docs.schema)
+    return rest.unionByName(some)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import disclosure, quality
 
 BLANK = r"[\x20\x09-\x0D]+"
 WORDS = f"list_filter(regexp_split_to_array({{text}}, '{BLANK}'), lambda x: x <> '')"
@@ -31,7 +31,7 @@ _LEVEL = f"least({', '.join(map(_level, quality.SIGNALS))})"
 _P = quality.ALPHA
 
 QUALITY = f"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, {WORDS.format(text="text")} AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
 tok AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM w),
 three AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS s FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
@@ -62,3 +62,41 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
 FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3"""
+
+
+_TERMS = "list_filter(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\p{{L}}+'), lambda w: length(w) BETWEEN 4 AND 40)"
+_KEYS = "list_concat({words}, list_transform({words}, lambda w: w[:" + str(disclosure.STEM) + "] || '*'))"
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_GAPS = " UNION ALL ".join(f"SELECT row, text, '{kind}' AS kind, {k} AS k, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM t" for k, (kind, pattern) in enumerate(_PLAIN.items()))
+_NEAR, _ASIDE = disclosure.NEAR, disclosure.ASIDE
+_AHEAD = f"CASE WHEN length(before) < {_ASIDE} THEN before ELSE regexp_replace(right(before, {_ASIDE}), '^\\p{{L}}+', '') END"
+_AFTER = f"CASE WHEN length(behind) < {_ASIDE} THEN behind ELSE regexp_replace(left(behind, {_ASIDE}), '\\p{{L}}+$', '') END"
+
+DISCLOSURE = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT row, text, kind, k, i, m[i] AS value, g[i] AS before, g[i + 1] AS behind, CAST(SUM(length(g[i]) + length(m[i])) OVER (PARTITION BY row, kind ORDER BY i) AS BIGINT) AS e FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({_GAPS}))),
+b AS (SELECT *, e - length(value) AS s FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM u) WHERE CASE kind WHEN 'email' THEN true
+ WHEN 'ip' THEN list_bool_and(list_transform(string_split(value, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) <= 255))
+ WHEN 'phone' THEN length(d) BETWEEN 9 AND 15 ELSE length(d) BETWEEN 13 AND 19
+ AND CAST(list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN (length(d) - j) % 2 = 0 THEN CAST(substr(d, j, 1) AS INTEGER) ELSE (2 * CAST(substr(d, j, 1) AS INTEGER) - CASE WHEN substr(d, j, 1) > '4' THEN 9 ELSE 0 END) END)) AS INTEGER) % 10 = 0 END),
+near AS (SELECT row, text, kind || ':' || CASE kind WHEN 'email' THEN translate(value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') WHEN 'ip' THEN value ELSE d END AS entity,
+ list_concat({_TERMS.format(text=_AHEAD)}[-{_NEAR}:], {_TERMS.format(text=_AFTER)}[:{_NEAR}]) AS words FROM b),
+pairs AS (SELECT DISTINCT row, text, entity, unnest(list_append({_KEYS.format(words="words")}, '')) AS key FROM near),
+ev AS (SELECT entity, key, COUNT(*) AS n FROM pairs GROUP BY entity, key HAVING COUNT(DISTINCT text) >= {disclosure.SUPPORT}),
+own AS (SELECT row, text, {_TERMS.format(text="text")} AS words FROM t),
+nk AS (SELECT key, COUNT(*) AS n_key FROM (SELECT DISTINCT row, unnest({_KEYS.format(words="words")}) AS key FROM own) WHERE key IN (SELECT key FROM ev) GROUP BY key),
+total AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n_all FROM documents),
+told AS (SELECT DISTINCT ev.key FROM ev JOIN (SELECT entity, n AS n_entity FROM ev WHERE key = '') c ON c.entity = ev.entity JOIN nk ON nk.key = ev.key, total
+ WHERE ev.key <> '' AND n_entity < n_all AND ln(n * n_all / (CAST(n_entity AS DOUBLE) * n_key)) / ln(n_all / n_entity) >= {disclosure.DISCLOSED}),
+runs AS (SELECT *, string_split_regex(text, '\\p{{L}}+') AS g, regexp_extract_all(text, '\\p{{L}}+') AS m FROM t),
+tok AS (SELECT row, translate(m[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, length(m[i]) AS n, CAST(SUM(length(g[i]) + length(m[i])) OVER (PARTITION BY row ORDER BY i) AS BIGINT) AS e FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM runs)),
+found AS (SELECT row, e - n AS s, e FROM tok WHERE w IN (SELECT key FROM told) AND NOT EXISTS (SELECT 1 FROM b WHERE b.row = tok.row AND b.s < tok.e AND tok.e - tok.n < b.e)),
+line AS (SELECT row, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS line, COUNT(*) FILTER (kind = 'email') AS n_email, COUNT(*) FILTER (kind = 'ip') AS n_ip, COUNT(*) FILTER (kind = 'card') AS n_card, COUNT(*) FILTER (kind = 'phone') AS n_phone FROM b GROUP BY row),
+more AS (SELECT row, string_agg('term:' || s || ':' || e, ',' ORDER BY s) AS more FROM found GROUP BY row)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(line, '')) AS base_sha256, concat_ws(',', line, more) AS spans
+FROM t LEFT JOIN line ON line.row = t.row LEFT JOIN more ON more.row = t.row"""

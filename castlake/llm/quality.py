@@ -58,7 +58,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """doc_id, stratum and the counts of every row of docs."""
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
+        F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")).alias("stratum"),  # a null language is not the empty one
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     solid = _without(F.col("text"), BLANKS)

@@ -122,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": oracles.JACCARD, "op4_quality_rules": oracles.QUALITY, "op12_hard_negatives": oracles.NEGATIVES}
+    return {"op3_ngram_jaccard": oracles.JACCARD, "op4_quality_rules": oracles.QUALITY, "op12_hard_negatives": oracles.NEGATIVES, "op13_disclosure": oracles.DISCLOSURE}

@@ -12,7 +12,7 @@ from ..operators import assets as A
 from ..operators import details as D
 from ..operators import encodes as C
 from ..operators import transitions as T
-from ..sources.media import first_keyframe_ms
+from ..sources.media import first_keyframe_ms, measured_loudness
 from .registry import ASSETS, JCOLS, JCORE, JOBS, SUB, registered, table
 from .relations import RELATIONS, relation
 
@@ -156,6 +156,34 @@ registered("j08_listed", "SELECT uuid, current_path FROM media_assets WHERE curr
 registered("j09_encoders", "SELECT p_partkey, profile, 1920 AS target_width, 1080 AS target_height, profile = 'B' AS interlaced, CASE WHEN profile = 'C' THEN 'smpte170m' ELSE 'bt709' END AS colorspace, CASE WHEN profile = 'C' THEN 'smpte170m' ELSE 'bt709' END AS color_trc, CASE WHEN profile = 'C' THEN 'smpte170m' ELSE 'bt709' END AS color_primaries, 'high' AS profile_h264, '4.2' AS level_h264 FROM (SELECT p_partkey, CASE WHEN p_size * 40 > 900 AND p_brand LIKE '%1' THEN 'B' WHEN p_size * 40 > 900 THEN 'A' ELSE 'C' END AS profile FROM part)")(
     lambda spark, sf: table(spark, sf, "part").select("p_partkey", R.profile(F.col("p_size") * 40, F.when(F.col("p_brand").endswith("1"), "tff").otherwise("progressive")).alias("profile")).join(F.broadcast(D.encoders(spark)), "profile")
 )
+LOUD = """SELECT event_id, CAST(event_id % 8 AS DOUBLE) AS secs, CASE WHEN event_id % 13 = 0 THEN 'no document' ELSE '[log 1] begins' || chr(10) || chr(123) || chr(10) || '"input_i" : "' || CASE WHEN event_id % 9 = 0 THEN '-inf' ELSE CAST(-(event_id % 90) AS STRING) || '.50' END || '", "input_tp" : "-3.00", "input_lra" : "' || CAST(event_id % 15 AS STRING) || '.00", "input_thresh" : "-40.00"' || CASE WHEN event_id % 4 = 0 THEN '' ELSE ', "target_offset" : "0.25"' END || chr(125) || chr(10) || 'end' END AS text FROM {events}"""
+LOUDNESS = """SELECT event_id, CASE WHEN NOT isinf(i) THEN i END AS input_i, CASE WHEN i IS NULL THEN NULL WHEN event_id % 4 > 0 THEN 0.25::DOUBLE WHEN isinf(i) THEN 0 ELSE -23 - i END AS target_offset, i <= -70 AS is_silent, CASE WHEN i IS NOT NULL THEN secs > 0 AND secs < 3 END AS is_short, NOT (i <= -70) AND NOT (secs > 0 AND secs < 3) AND -3.0 + (-23.0 - i) <= -0.999 AND lra <= 10.501 AS is_linear
+ FROM (SELECT event_id, CAST(event_id % 8 AS DOUBLE) AS secs, CAST(event_id % 15 AS DOUBLE) AS lra, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 9 = 0 THEN '-infinity'::DOUBLE ELSE -(event_id % 90) - 0.5 END AS i FROM events)"""
+
+
+@registered("s20_loudness", LOUDNESS)
+def loudness(spark: SparkSession, sf: str) -> DataFrame:
+    """Loudness logs of the events, one in 13 of them without a document."""
+    m = measured_loudness(F.col("text"), F.col("secs"), [F.lit(-23.0), F.lit(-1.0), F.lit(7.0)])
+    rows = view(spark, sf, LOUD).withColumn("m", m).select("event_id", F.when(F.abs("m.input_i") < float("inf"), F.col("m.input_i")).alias("input_i"), "m.target_offset", "m.is_silent", "m.is_short", "m.is_linear")
+    return rows
+
+
+GOP = "SELECT uuid, NOT (short AND n > 1) AS closed FROM (SELECT uuid, fingerprint % 6 AS n, fingerprint % 4 = 0 AS short FROM media_assets)"
+
+
+@registered("w01_closed_gop", GOP, ASSETS)
+def closed_gop(assets: DataFrame) -> DataFrame:
+    """Keyframes at the GOP's distance, less up to half a frame; a quarter of the assets has one gap that is a frame too short."""
+    frame = F.lit(1000.0) * F.col("fps_den") / F.col("fps_num")
+    step = F.lit(1000.0) * R.gop(F.col("fps_num"), F.col("fps_den")) * F.col("fps_den") / F.col("fps_num")
+    n = (F.col("fingerprint") % 6).cast("int")
+    # whole gaps are cut off by less than a ms, which half a frame covers; the last one may be short
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda k: (F.ceil(k * step) - F.when((F.col("fingerprint") % 4 == 0) & (k == n - 1) & (k > 0), F.ceil(frame)).otherwise(F.lit(0))).cast("long"))
+    keyframes = F.when(n > 0, places).otherwise(F.array().cast("array<long>"))
+    return assets.select("uuid", R.closed_gop(keyframes, F.col("fps_num"), F.col("fps_den")).alias("closed"))
+
+
 NAMES = ("a", "ProfileB", "profile_c", "H264-720P50", "x-prores-1080i50", "prores-1080i50", "d", "", "profile-a")
 registered("x33_aliases", "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'h264-1080p25' WHEN 1 THEN 'h264-1080i50' WHEN 2 THEN 'h264-1080p25-sd-pal' WHEN 3 THEN 'h264-720p50' WHEN 5 THEN 'prores-1080i50' END AS profile FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", C.profile_name(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("event_id") % 9 + 1).cast("int"))).alias("profile"))

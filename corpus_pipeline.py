@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Defined results: documents whose text is null or has no letter go in the first stage; a repeated row is judged by its own
+text, and copies of a text (one doc_id or several) leave one row; rows with a null doc_id are taken as any other, but for
+the join of near copies, in which they stay; further columns go along unchanged, whatever their names; an empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 

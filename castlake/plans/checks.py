@@ -157,7 +157,7 @@ registered("j09_encoders", "SELECT p_partkey, profile, 1920 AS target_width, 108
     lambda spark, sf: table(spark, sf, "part").select("p_partkey", R.profile(F.col("p_size") * 40, F.when(F.col("p_brand").endswith("1"), "tff").otherwise("progressive")).alias("profile")).join(F.broadcast(D.encoders(spark)), "profile")
 )
 LOUD = """SELECT event_id, CAST(event_id % 8 AS DOUBLE) AS secs, CASE WHEN event_id % 13 = 0 THEN 'no document' ELSE '[log 1] begins' || chr(10) || chr(123) || chr(10) || '"input_i" : "' || CASE WHEN event_id % 9 = 0 THEN '-inf' ELSE CAST(-(event_id % 90) AS STRING) || '.50' END || '", "input_tp" : "-3.00", "input_lra" : "' || CAST(event_id % 15 AS STRING) || '.00", "input_thresh" : "-40.00"' || CASE WHEN event_id % 4 = 0 THEN '' ELSE ', "target_offset" : "0.25"' END || chr(125) || chr(10) || 'end' END AS text FROM {events}"""
-LOUDNESS = """SELECT event_id, CASE WHEN NOT isinf(i) THEN i END AS input_i, CASE WHEN i IS NULL THEN NULL WHEN event_id % 4 > 0 THEN 0.25::DOUBLE WHEN isinf(i) THEN 0 ELSE -23 - i END AS target_offset, i <= -70 AS is_silent, CASE WHEN i IS NOT NULL THEN secs > 0 AND secs < 3 END AS is_short, NOT (i <= -70) AND NOT (secs > 0 AND secs < 3) AND -3.0 + (-23.0 - i) <= -0.999 AND lra <= 10.501 AS is_linear
+LOUDNESS = """SELECT event_id, CASE WHEN NOT isinf(i) THEN i END AS input_i, CASE WHEN i IS NULL THEN NULL WHEN event_id % 4 > 0 THEN 0.25::DOUBLE WHEN isinf(i) THEN 0 ELSE -23 - i END AS target_offset, i <= -70 AS is_silent, CASE WHEN i IS NOT NULL THEN secs > 0 AND secs < 3 END AS is_short, CASE WHEN i IS NOT NULL THEN NOT (i <= -70) AND NOT (secs > 0 AND secs < 3) AND -3.0 + (-23.0 - i) <= -0.999 AND lra <= 10.501 END AS is_linear
  FROM (SELECT event_id, CAST(event_id % 8 AS DOUBLE) AS secs, CAST(event_id % 15 AS DOUBLE) AS lra, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 9 = 0 THEN '-infinity'::DOUBLE ELSE -(event_id % 90) - 0.5 END AS i FROM events)"""
 
 

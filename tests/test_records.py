@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from castlake.functions import rules as R
 from castlake.plans import records, registry
-from castlake.sources import sidecars, storage
+from castlake.sources import media, sidecars, storage
 
 SF = "/root/testdata/sf0.001"
 DOCUMENT = {
@@ -90,3 +90,37 @@ def test_folders(spark, tmp_path):
     got = {r.folder: (r.n_files, r.bytes) for r in storage.by_folder(storage.files(spark, str(tmp_path)), str(tmp_path)).collect()}
     assert got == {"": (3, 12), "x": (2, 9), "x/y": (1, 5)}
     assert storage.by_table(storage.files(spark, str(tmp_path))).count() == 0
+
+
+def test_snapshots_are_never_written_over(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([("a", 1)], "uuid string, n int")
+    path = media.write_snapshot(df, str(tmp_path), 3)
+    assert path.endswith("/v00000003") and [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 1)]
+    with pytest.raises(Exception, match="exist"):
+        media.write_snapshot(df, str(tmp_path), 3)
+    assert media.write_snapshot(df.limit(0), str(tmp_path), 4) != path
+
+
+def test_schema_rows(spark):
+    df = spark.createDataFrame([("a", 1)], "uuid string not null, n int")
+    assert media.schema_rows({"t": df, "empty": df.select("n").limit(0)}) == [("t", "uuid", "string", False), ("t", "n", "int", True), ("empty", "n", "int", True)]
+
+
+def test_fixture_manifest(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"version": 1, "fixtures": [{"name": "a", "frames": 250}, {"name": "b", "frames": None}]}, indent=1))
+    assert sorted((r.name, r.frames) for r in media.fixtures(spark, f"{tmp_path}/m.json").collect()) == [("a", 250), ("b", None)]
+
+
+def test_new_files_as_a_stream(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.mp4").write_bytes(b"123")
+    q = media.watched(spark, str(root), 1).writeStream.format("memory").queryName("watched").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    (root / "sub").mkdir()
+    (root / "sub" / "b.mp4").write_bytes(b"12345")
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.path.rsplit("/", 1)[1], r.size) for r in spark.table("watched").collect()) == [("a.mp4", 3), ("b.mp4", 5)]

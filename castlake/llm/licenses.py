@@ -74,6 +74,33 @@ TEMPLATES = {
     "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 }
+#: What licences are called in short notices.
+NAMES = {
+    "Apache-2.0": "Apache License 2.0",
+    "GPL-2.0": "GNU General Public License v2.0",
+    "GPL-3.0": "GNU General Public License v3.0",
+    "LGPL-2.1": "GNU Lesser General Public License v2.1",
+    "LGPL-3.0": "GNU Lesser General Public License v3.0",
+    "AGPL-3.0": "GNU Affero General Public License v3.0",
+    "MIT": "MIT License",
+    "ISC": "ISC License",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "MPL-2.0": "Mozilla Public License 2.0",
+    "BSL-1.0": "Boost Software License 1.0",
+    "EPL-2.0": "Eclipse Public License 2.0",
+    "Unlicense": "Unlicense",
+}
+NOTICES = ("Licensed under the {}", "Licensed under the terms of the {}", "Released under the {}", "Distributed under the {}", "Distributed under the terms of the {}", "This project is licensed under the {}", "This software is licensed under the {}")
+
+
+def _noticed(templates: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    """The templates, with identifier lines of all licences and short notices of those that have a name."""
+    lines = {name: [f"SPDX-License-Identifier: {name}", *(n.format(NAMES[name]) for n in NOTICES if name in NAMES)] for name in templates if name != "All-rights-reserved"}
+    return {name: tuple(dict.fromkeys([*texts, *lines.get(name, [])])) for name, texts in templates.items()}
+
+
+TEMPLATES = _noticed(TEMPLATES)
 BREAK = np.zeros(256, np.int64)
 BREAK[[ord(c) for c in ".!?\n"]] = 1
 

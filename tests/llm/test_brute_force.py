@@ -128,6 +128,18 @@ def test_licence_passages(spark):
     assert sum(map(len, got.values())) > 60
 
 
+def test_short_notices(spark):
+    rows = {
+        1: ("# SPDX-License-Identifier: MIT\nimport x", {"MIT"}), 2: ("Licensed under the MIT license.", {"MIT"}), 3: ("It is nice. Distributed under the terms of the MIT License. Have fun", {"MIT"}),
+        4: ("// SPDX-License-Identifier: GPL-3.0", {"GPL-3.0"}), 5: ("This project is licensed under the Apache License 2.0.", {"Apache-2.0"}), 6: ("Released under the BSD 3-Clause License!", {"BSD-3-Clause"}),
+        7: ("The license of the MIT was released.", set()), 8: ("SPDX-License-Identifier: CC-BY-NC-4.0", {"CC-BY-NC-4.0"}), 9: ("Licensed under the GNU Lesser General Public License v3.0", {"LGPL-3.0"}),
+    }
+    got = {i: set() for i in rows}
+    for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.licence)
+    assert got == {i: names for i, (_, names) in rows.items()}
+
+
 def test_licences_of_documents(spark):
     texts = {i: t for i, t in texts_of(spark, "/root/testdata/sf0.01").items() if re.search("icen[sc]|rights", t) and len(t) < 12_000}
     got = {}

@@ -269,6 +269,7 @@ def qc_findings(out_secs: Column, num: Column, den: Column, src_num: Column, src
     """Array of (severity, code), in the order of the checks."""
     finding = lambda test, severity, code: F.when(test, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
     off = lambda n, d: F.abs(rate(n, d) - 25.0) > 0.01
+    # The codes and their severities.
     return F.filter(
         F.array(
             finding(F.round(out_secs * 1000) <= 0, "error", "zero_duration"),

@@ -206,7 +206,7 @@ def expected_ms(frames: Column, num: Column, den: Column) -> Column:
     return F.when((num > 0) & (den > 0) & (ms > 0), ms)
 
 
-# labels
+# labels; fixed values: their texts and limits
 def progress_fields(line: Column) -> dict[str, Column]:
     """frame, fps, bitrate and speed of a line of progress; null where it has none."""
     part = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))

@@ -57,7 +57,7 @@ def claimed(jobs: DataFrame, worker: str, now: Column, lease_secs: int) -> DataF
     open_ = jobs.where(((F.col("state") == "Pending") & (F.col("phase") == "queued")) | ((F.col("state") == "Processing") & (F.col("leased_until") < now)))
     first = open_.orderBy("created_at", "id").limit(1).select("id", F.lit(True).alias("_mine"))
     mine = F.col("_mine").isNotNull()
-    values = {
+    values = {  # the stage's text is a fixed value
         "state": F.lit("Processing"),
         "phase": F.lit("probing"),
         "current_stage": F.lit("Claimed by worker"),
@@ -105,6 +105,7 @@ def recovered(jobs: DataFrame, now: Column) -> DataFrame:
     """After a crash: processing jobs are queued for another attempt while there is one, else failed."""
     lost = F.col("state") == "Processing"
     again = lost & (F.col("attempt") < F.col("max_attempts"))
+    # The stages, the error and its category.
     values = {
         "state": (F.lit("Pending"), F.lit("Failed")),
         "phase": (F.lit("queued"), F.lit("failed")),

@@ -78,15 +78,23 @@ def measured_loudness(text: Column, secs: Column, targets: list[Column]) -> Colu
     """Struct of a loudness log: its figures as numbers, the targets (i, tp, lra), and whether the sound is silent, short,
     or can be brought to the target by gain alone; null where a figure is missing or no number. Without an offset it is the way
     from the measured loudness to the target (0 for silence)."""
-    d = loudness_document(text)
-    number = lambda name: F.nullif(R.stripped(d[name]).try_cast("double"), F.lit(float("nan")))
-    i, tp, lra, thresh = (number(n) for n in ("input_i", "input_tp", "input_lra", "input_thresh"))
-    given = F.when(F.abs(i) < float("inf"), targets[0] - i).otherwise(F.lit(0.0))
-    offset = F.when(d["target_offset"].isNotNull(), number("target_offset")).otherwise(given)
-    flags = {"is_silent": R.is_silent(i), "is_short": R.is_short(secs), "is_linear": R.is_linear(i, tp, lra, secs, *targets)}
-    figures = {"input_i": i, "input_tp": tp, "input_lra": lra, "input_thresh": thresh, "target_offset": offset, **dict(zip(("target_i", "target_tp", "target_lra"), targets)), **flags}
-    whole = i.isNotNull() & tp.isNotNull() & lra.isNotNull() & thresh.isNotNull() & offset.isNotNull()
-    return F.when(whole, F.struct(*(v.alias(n) for n, v in figures.items())))
+    # transform computes its array once; written out, each use of a figure would parse the document anew
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def of_document(d: Column) -> Column:
+        texts = F.array(*(d[n] for n in ("input_i", "input_tp", "input_lra", "input_thresh", "target_offset")))
+        numbers = F.transform(texts, lambda t: R.stripped(t).try_cast("double"))
+        return once(F.transform(numbers, lambda x: F.when(~F.isnan(x), x)), lambda x: of_figures(d, *(F.get(x, F.lit(k)) for k in range(5))))
+
+    def of_figures(d: Column, i: Column, tp: Column, lra: Column, thresh: Column, written: Column) -> Column:
+        given = F.when(F.abs(i) < float("inf"), targets[0] - i).otherwise(F.lit(0.0))
+        offset = F.when(d["target_offset"].isNotNull(), written).otherwise(given)
+        flags = {"is_silent": R.is_silent(i), "is_short": R.is_short(secs), "is_linear": R.is_linear(i, tp, lra, secs, *targets)}
+        figures = {"input_i": i, "input_tp": tp, "input_lra": lra, "input_thresh": thresh, "target_offset": offset, **dict(zip(("target_i", "target_tp", "target_lra"), targets)), **flags}
+        whole = i.isNotNull() & tp.isNotNull() & lra.isNotNull() & thresh.isNotNull() & offset.isNotNull()
+        return F.when(whole, F.struct(*(v.alias(n) for n, v in figures.items())))
+
+    return once(loudness_document(text), of_document)
 
 
 def fixtures(spark: SparkSession, path: str) -> DataFrame:

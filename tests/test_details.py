@@ -154,3 +154,17 @@ def test_texts_of_the_probe(spark):
     assert one(spark, *(media.first_keyframe_ms(F.lit(x)) for x in ("\nN/A\n 1.5\r\n2", "", "none", "0.04"))) == (1500, 0, 0, 40)
     (got,) = one(spark, media.loudness_document(F.lit('[x] {\n"input_i" : "-23.1", "target_offset": "0.2"\n} end')))
     assert (got.input_i, got.target_offset, got.input_tp) == ("-23.1", "0.2", None)
+
+
+def test_loudness_log_is_parsed_once(spark):
+    texts = ["a {\n%s} b" % ", ".join(f'"{k}": "{v}"' for k, v in zip(("input_i", "input_tp", "input_lra", "input_thresh", "target_offset"), row)) for row in (
+        ("-23.5", "-3.0", "5.0", "-40", "0.25"), ("-30", "-9", "5", "-40"), (" -inf ", "-3", "5", "-40"), ("-inf", "-3", "5", "-40", "nan"), ("NaN", "-3", "5", "-40"), ("-20", "x", "5", "-40"), ("-20", "-3", "5"), ("inf", "-3", "0", "-inf", "1"), ("-20", "-3", "11", "-40"))]
+    df = spark.createDataFrame([(k, t, s) for k, (t, s) in enumerate([(t, 10.0) for t in texts] + [(texts[0], 2.0), (texts[0], 0.0), ("none", 9.0), ("{bad}", 9.0), ("", 9.0), (None, 9.0)])], "k int, text string, secs double")
+    df = df.withColumn("m", media.measured_loudness(F.col("text"), F.col("secs"), [F.lit(-23.0), F.lit(-1.0), F.lit(7.0)]))
+    df = df.select("k", "m.input_i", "m.input_tp", "m.target_offset", "m.is_silent", "m.is_short", "m.is_linear")
+    inf, none = float("inf"), (None,) * 6
+    assert [tuple(r)[1:] for r in df.orderBy("k").collect()] == [
+        (-23.5, -3.0, 0.25, False, False, True), (-30.0, -9.0, 7.0, False, False, True), (-inf, -3.0, 0.0, True, False, False), none, none, none, none, (inf, -3.0, 1.0, True, False, False), (-20.0, -3.0, -3.0, False, False, False),
+        (-23.5, -3.0, 0.25, False, True, False), (-23.5, -3.0, 0.25, False, False, True), none, none, none, none,
+    ]
+    assert df._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1

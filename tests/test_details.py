@@ -168,3 +168,15 @@ def test_loudness_log_is_parsed_once(spark):
         (-23.5, -3.0, 0.25, False, True, False), (-23.5, -3.0, 0.25, False, False, True), none, none, none, none,
     ]
     assert df._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+
+
+def test_responses_have_every_field(spark):
+    from castlake.plans import registry
+
+    df = registry.QUERIES["f07_responses"](spark, "/root/testdata/sf0.001")
+    plain = "uuid id current_path duration_ms trim_in_ms trim_out_ms rating tp status display_name virtual_folder mezzanine_ok fps fps_num fps_den total_frames gop_frames keyframe_safe_start_ms deleted_at original_virtual_folder"
+    assert sorted(df.columns) == sorted([*plain.split(), "warnings", "keyframe_offsets"])
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    odd = [("a", 1, "x", '["w"]', "[1,2]"), ("b", 2, None, None, None), ("c", 3, "", "[1]", "[1,null]")]
+    got = D.as_response(spark.createDataFrame(odd, "uuid string, fingerprint long, tp string, warnings string, keyframe_offsets_json string")).orderBy("uuid")
+    assert [tuple(r) for r in got.collect()] == [("a", "x", "a", ["w"], [1, 2]), ("b", None, "b", [], []), ("c", "", "c", [], [])]
